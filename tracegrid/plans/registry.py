@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import quality
+from tracegrid.plans import engine, quality
 
 
 def _modules():
-    return (quality,)
+    return (engine, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
