@@ -325,7 +325,7 @@ def session_metadata(spark, d):
 
 
 @query(_FILES + """, st AS (SELECT session, min(absolute_start_ns) AS s0 FROM g GROUP BY 1)
-SELECT g.session AS session_key, g.absolute_start_ns - s0 AS time_ns, 0 AS file_time_ns, g.file AS source_file, CAST(g.absolute_end_ns - g.absolute_start_ns AS BIGINT) AS span FROM g JOIN st USING (session) WHERE session = (SELECT max(session) FROM g)""")
+SELECT g.session AS session_key, g.absolute_start_ns - s0 AS time_ns, CAST(0 AS BIGINT) AS file_time_ns, g.file AS source_file, CAST(g.absolute_end_ns - g.absolute_start_ns AS BIGINT) AS span FROM g JOIN st USING (session) WHERE session = (SELECT max(session) FROM g)""")
 def session_stitch(spark, d):
     f = _files(spark, d)
     rows = f.select("file", F.lit(0).cast("bigint").alias("time_ns"), (F.col("absolute_end_ns") - F.col("absolute_start_ns")).alias("span"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import engine, quality
+from tracegrid.plans import codec, engine, quality, relational
 
 
 def _modules():
-    return (engine, quality)
+    return (engine, relational, codec, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
