@@ -49,6 +49,14 @@ def test_wide_has_null_for_what_a_file_lacks(spark):
     assert [(r.file, r.speed, r.rpm) for r in rows] == [("f", 1, None), ("f", 2, None), ("g", None, 5)]
 
 
+def test_wide_without_moving_ticks(spark, monkeypatch):
+    s = series(spark, [1, 2, 3], name="Speed").unionByName(series(spark, [5, 9], name="RPM", step=700_000_000)).unionByName(series(spark, [4], name="RPM", file="g", step=20 * SEC))
+    monkeypatch.setattr(rs, "BUCKET", 3)
+    for kw in ({}, {"interpolate": "previous"}, {"start_ns": SEC, "end_ns": 3 * SEC}):
+        a, b = rs.wide(rs.resample(s, 4, **kw), ["speed", "rpm"]), rs.resample_wide(s, ["speed", "rpm"], 4, **kw)
+        assert a.count() and sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
 def test_tick_arithmetic_has_no_overflow(spark):
     day = 40 * 86_400 * SEC
     assert spark.range(1).select(rs.first_tick(F.lit(day + 1), 5000), rs.tick_time(F.lit(day // SEC * 5000), 5000)).first()[:] == (day // SEC * 5000 + 1, day)

@@ -14,6 +14,8 @@ from tracegrid.model import is_step
 SECOND = 1_000_000_000
 #: Stored samples of one channel that share a task.
 BLOCK = 1 << 14
+#: Ticks of one file that share a task when channels are gathered into rows.
+BUCKET = 1 << 12
 
 
 def lead_in_blocks(df: DataFrame, keys: list[str], order: str, carried: list[str], block: Column | None = None, name: str = "next") -> DataFrame:
@@ -43,24 +45,17 @@ def tick_time(r: Column, rate: int) -> Column:
     return (whole * SECOND + F.floor(part * SECOND / F.lit(rate))).cast("bigint")
 
 
-def resample(samples: DataFrame, rate: int = 100, interpolate: str = "linear", start_ns: int = 0, end_ns: int | None = None) -> DataFrame:
-    """(file, channel, tick, time_ns, value): every channel on the grid of ``rate`` ticks a second.
-
-    ``samples``: file, channel, sample_index, time_ns, value, duration_ns (of the
-    channel) and data_type; optionally extent_ns, the end of the stretch a sample
-    stands for (the end of its chunk for a chunk's last sample).  At a tick the
-    sample before it counts; after ``extent_ns`` and before the first sample it is
-    the sample that follows; the last sample holds until the duration, from which
-    on there is no value.  ``linear`` draws lines between samples of floating
-    channels whose name is not that of a step channel, ``previous`` never does.
-    """
+def _check(rate: int, interpolate: str, start_ns: int, end_ns: int | None) -> None:
     if not 1 <= rate <= 5000:
         raise ValueError("rate must be between 1 and 5000")
     if interpolate not in ("linear", "previous"):
         raise ValueError("interpolate must be 'linear' or 'previous'")
     if end_ns is not None and end_ns < start_ns:
         raise ValueError("end_ns lies before start_ns")
-    start_ns = max(0, start_ns)
+
+
+def _stretches(samples: DataFrame, rate: int, start_ns: int, end_ns: int | None) -> DataFrame:
+    """One row per sample with the one after it (``next``) and its first and last tick, ``lo`` and ``hi``."""
     extent = F.col("extent_ns") if "extent_ns" in samples.columns else F.lit(None).cast("bigint")
     s = samples.select("file", "channel", "sample_index", "time_ns", "value", "duration_ns", "data_type", extent.alias("extent_ns"))
     s = lead_in_blocks(s, ["file", "channel"], "sample_index", ["time_ns", "value"], F.expr(f"sample_index div {BLOCK}"))
@@ -70,13 +65,57 @@ def resample(samples: DataFrame, rate: int = 100, interpolate: str = "linear", s
         end = F.least(end, F.lit(end_ns))
     lo = first_tick(F.greatest(begin - start_ns, F.lit(0)), rate)
     hi = first_tick(F.greatest(end - start_ns, F.lit(0)), rate) - 1
-    g = s.withColumns({"lo": lo, "hi": hi}).where("hi >= lo").withColumn("tick", F.explode(F.sequence("lo", "hi")))
-    g = g.withColumn("at", F.lit(start_ns) + tick_time(F.col("tick"), rate))
+    return s.withColumns({"lo": lo, "hi": hi}).where("hi >= lo")
+
+
+def _value_at(interpolate: str) -> Column:
+    """The value of a stretch at the time ``at``."""
     a, ta, b, tb, t = F.col("value"), F.col("time_ns"), F.col("next.value"), F.col("next.time_ns"), F.col("at")
     line = a + (b - a) * ((t - ta) / (tb - ta))
     slopes = F.lit(False) if interpolate == "previous" else ~is_step(F.col("channel"), F.col("data_type"))
-    value = F.when((t >= F.col("extent_ns")) & F.col("next").isNotNull(), b).when(slopes & F.col("next").isNotNull() & (t > ta) & (tb > ta), line).otherwise(a)
-    return g.select("file", "channel", "tick", F.col("at").alias("time_ns"), value.alias("value"))
+    return F.when((t >= F.col("extent_ns")) & F.col("next").isNotNull(), b).when(slopes & F.col("next").isNotNull() & (t > ta) & (tb > ta), line).otherwise(a)
+
+
+def resample(samples: DataFrame, rate: int = 100, interpolate: str = "linear", start_ns: int = 0, end_ns: int | None = None) -> DataFrame:
+    """(file, channel, tick, time_ns, value): every channel on the grid of ``rate`` ticks a second.
+
+    ``samples``: file, channel, sample_index, time_ns, value, duration_ns (of the
+    channel) and data_type; optionally extent_ns, the end of the stretch a sample
+    stands for (the end of its chunk for a chunk's last sample).  At a tick the
+    sample before it counts; after ``extent_ns`` and before the first sample it is
+    the sample that follows; the last sample holds until the duration, from which
+    on there is no value.  ``linear`` draws lines between samples of floating
+    channels whose name is not that of a step channel, ``previous`` never does.
+    """
+    _check(rate, interpolate, start_ns, end_ns)
+    start_ns = max(0, start_ns)
+    g = _stretches(samples, rate, start_ns, end_ns).withColumn("tick", F.explode(F.sequence("lo", "hi")))
+    g = g.withColumn("at", F.lit(start_ns) + tick_time(F.col("tick"), rate))
+    return g.select("file", "channel", "tick", F.col("at").alias("time_ns"), _value_at(interpolate).alias("value"))
+
+
+def _spelled(channels: list[str]) -> dict[str, str]:
+    return {c.lower(): c for c in channels}
+
+
+def resample_wide(samples: DataFrame, channels: list[str], rate: int = 100, interpolate: str = "linear", start_ns: int = 0, end_ns: int | None = None) -> DataFrame:
+    """(file, time_ns, one column per channel): ``wide`` of ``resample`` without moving the ticks.
+
+    The samples, not the ticks they make, are shuffled: by file and stretch of
+    ``BUCKET`` ticks, into which long pauses are cut.  Ticks are generated and
+    gathered into rows inside a partition.
+    """
+    _check(rate, interpolate, start_ns, end_ns)
+    start_ns = max(0, start_ns)
+    folded = _spelled(channels)
+    s = _stretches(samples.where(F.lower("channel").isin(list(folded))), rate, start_ns, end_ns)
+    s = s.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"hi div {BUCKET}"))))
+    s = s.withColumns({"lo": F.greatest("lo", F.col("bucket") * BUCKET), "hi": F.least("hi", F.col("bucket") * BUCKET + BUCKET - 1)}).repartition("file", "bucket")
+    g = s.withColumn("tick", F.explode(F.sequence("lo", "hi"))).withColumn("at", F.lit(start_ns) + tick_time(F.col("tick"), rate))
+    g = g.select("file", "bucket", F.col("at").alias("time_ns"), F.lower("channel").alias("k"), _value_at(interpolate).alias("value"))
+    # One value a channel and tick, so that the largest is the value.
+    w = g.groupBy("file", "bucket", "time_ns").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in folded.items()])
+    return w.drop("bucket")
 
 
 def wide(long: DataFrame, channels: list[str]) -> DataFrame:
@@ -84,7 +123,7 @@ def wide(long: DataFrame, channels: list[str]) -> DataFrame:
 
     Names match without regard to case; the column takes the spelling given.
     """
-    folded = {c.lower(): c for c in channels}
+    folded = _spelled(channels)
     names = F.create_map(*[x for k, v in folded.items() for x in (F.lit(k), F.lit(v))])
     picked = long.withColumn("channel", F.try_element_at(names, F.lower("channel"))).where("channel is not null")
     return picked.groupBy("file", "time_ns").pivot("channel", list(folded.values())).agg(F.first("value"))

@@ -63,18 +63,18 @@ def _wide_sql(expr: str) -> str:
 
 @query(_wide_sql(f"round({_LINE}, 6)"))
 def wide_linear(spark, d):
-    w = rs.wide(rs.resample(with_duration(samples(spark, d)), rate=2), CHANNELS)
+    w = rs.resample_wide(with_duration(samples(spark, d)), CHANNELS, rate=2)
     return w.select("file", "time_ns", *[rounded(c) for c in CHANNELS])
 
 
 @query(_wide_sql("coalesce(a, f)"))
 def wide_previous(spark, d):
-    return rs.wide(rs.resample(with_duration(samples(spark, d)), rate=2, interpolate="previous"), CHANNELS)
+    return rs.resample_wide(with_duration(samples(spark, d)), CHANNELS, rate=2, interpolate="previous")
 
 
 @query(_wide_sql("coalesce(a, f)"))
 def wide_step_types(spark, d):
-    return rs.wide(rs.resample(with_duration(samples(spark, d), "int32"), rate=2), CHANNELS)
+    return rs.resample_wide(with_duration(samples(spark, d), "int32"), CHANNELS, rate=2)
 
 
 @query("> x AS (SELECT DISTINCT file, time_ns FROM smp) SELECT file, time_ns, " + ", ".join(f"(SELECT max(value) FROM smp s WHERE s.file = x.file AND s.time_ns = x.time_ns AND s.channel = '{c}') AS \"{c}\"" for c in CHANNELS[:2]) + " FROM x WHERE EXISTS (SELECT 1 FROM smp s WHERE s.file = x.file AND s.time_ns = x.time_ns AND s.channel IN ('click', 'error'))")

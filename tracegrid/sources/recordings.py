@@ -213,8 +213,7 @@ def read_wide(spark: SparkSession, path: str, rate: int = 100, channels: str | N
     s = read(spark, path, "samples", channels=",".join(n for n, _ in names.values()), **pick)
     s = s.withColumn("k", F.lower("channel")).join(first, ["file", "k"]).where("channel_id = c.channel_id").select("file", "channel", "sample_index", "time_ns", "value", F.col("c.duration_ns").alias("duration_ns"), F.col("c.data_type").alias("data_type"))
     ch = read(spark, path, "chunks", **pick).join(cols.select("file", "channel_id", F.col("name").alias("channel")), ["file", "channel_id"])
-    long = rs.resample(rs.chunk_extents(s, ch), rate, interpolate, start_ns, end_ns)
-    out = rs.wide(long, [n for n, _ in names.values()])
+    out = rs.resample_wide(rs.chunk_extents(s, ch), [n for n, _ in names.values()], rate, interpolate, start_ns, end_ns)
     by = {r.source.lower(): r for r in rules}
     shown = []
     for key, (name, unit) in names.items():
