@@ -172,3 +172,25 @@ def test_reference_tables_are_bounded(spark):
 
     with pytest.raises(ValueError, match="more than 3 rows"):
         bounded_rows(spark.range(5), 3, "t")
+
+
+def test_units_told_from_values(spark):
+    from tracegrid.operators.unit_links import link_units
+
+    r = np.random.default_rng(8)
+    speed = lambda f: (50 + 12 * np.sin(np.arange(60) / 5 + r.uniform(0, 6)) + r.normal(0, 0.2, 60)) * f
+    series, defs, files = {}, [], []
+    for k in range(12):
+        f, factor, unit, name = f"f{k:02d}", 1.0, "m/s", "Vehicle Speed"
+        if k >= 6:
+            factor, unit = 3.6, "" if k % 2 else "km/h"
+        if k >= 10:
+            name, unit = "SPD_1", ""  # renamed under the same id: linked through the logger
+        series[f, 1], files = (name, unit, speed(factor), None), [*files, (f, "L" if k >= 8 else f"G{k}", k, None, None, None, None, None, "a", "b", "c")]
+        defs.append((f, 1, name, unit, "d", "float32"))
+    series["f00", 2], series["f01", 2] = ("flat", "", [1.0] * 60, None), ("few", "", [1.0, 2.0], None)
+    defs += [("f00", 2, "flat", "", "d", "float32"), ("f01", 2, "few", "", "d", "float32"), (None, 1, None, None, None, None)]
+    s, c, g = T.samples(spark, series), T.channels(spark, defs), spark.createDataFrame(files, T.FILES)
+    got = {(x.file, x.channel_id): x.unit for x in link_units(s, c, g, *T.reference(spark)).collect()}
+    assert got == {(f"f{k:02d}", 1): "km/h" for k in (7, 9, 10, 11)}
+    assert link_units(s.limit(0), c, g, *T.reference(spark)).count() == 0 == link_units(s, c, g.limit(0), *T.empty_reference(spark)).count()

@@ -10,6 +10,7 @@ from tracegrid.operators.anomalies import find_faults
 from tracegrid.operators.drift import consistent_channels, layout_changes
 from tracegrid.operators.instants import normalise_instants
 from tracegrid.operators.regular_grid import uncovered_ticks
+from tracegrid.operators.unit_links import link_units
 from tracegrid.operators.unit_resolution import base_unit_profile, recorded_units
 from tracegrid.sources.tables import table
 
@@ -36,6 +37,10 @@ def p4_base_units(spark: SparkSession, d: str) -> DataFrame:
     return base_unit_profile(*_tables(spark, d, "telemetry_samples", "channels", *REFERENCE))
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return link_units(*_tables(spark, d, "telemetry_samples", "channels", "source_files", *REFERENCE)).select("file", "channel_id", "unit", "dimension", "misfit")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return layout_changes(*_tables(spark, d, "channels", "source_files", *REFERENCE)).select("file", "channel_id", "change").distinct()
 
@@ -49,7 +54,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p4_found, p4_base_units, p5_found, p5_consistent, p6_found)
+    f.__name__: f for f in (p1_found, p3_found, p4_found, p4_base_units, p4_links, p5_found, p5_consistent, p6_found)
 }
 
 SQL: dict[str, str] = {
