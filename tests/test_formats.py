@@ -177,5 +177,28 @@ def test_sql_surface(spark, logs):
     assert spark.sql(f"select * from telemetry_metadata('{logs}/a.pds', channels => 'speed')").count() == 1
     assert [r.Speed for r in spark.sql(f"select Speed from read_telemetry('{logs}/a.pds', rate => 2, channels => 'Speed') order by time_ns limit 3").collect()] == [10, 10.5, 11]
     assert spark.sql("select telemetry_convert(36D, 'km/h', 'm/s'), telemetry_can_convert('bar', 's')").first()[:] == (10.0, False)
+    assert spark.sql(f"select * from read_vbo('{logs}/*', rate => 1)").count() == 2 and spark.sql(f"select * from read_motec('{logs}/*', rate => 1)").count() == 4
+    assert spark.sql("select count(*) from telemetry_units()").first()[0] == 249
+    assert spark.sql(f"select kv_metadata from telemetry_column_comments('{logs}/a.pds', 'lap', channels => 'Speed')").first()[0] == "unit=m/s; native_frequency_hz=1; native_sample_period_ns=1000000000"
     with pytest.raises(Exception, match="unknown unit"):
         spark.sql("select telemetry_convert(36D, 'x', 'm/s')").collect()
+
+
+def test_library(spark, tmp_path):
+    from tracegrid.sources.library import Library
+
+    for k, itow in enumerate((573634560, 573634760)):
+        g = np.frombuffer(gps(), aim.GPS_RECORD).copy()
+        g["itow"] = itow
+        (tmp_path / f"part{k}.mp4").write_bytes(aim.encode([(42, "RPM", [(100, 5000.0 + k)]), (43, "DRIVER_ID", [(100, 3.0)]), (44, "Lap_Number", [(100, 1.0)])], [g.tobytes()]))
+    lib = Library(spark, f"{tmp_path}/*.mp4")
+    f = lib.file_metadata().orderBy("file").collect()
+    assert [r.absolute_start_ns for r in f] == [(2429 * 604_800_000 + i) * 1_000_000 for i in (573634560, 573634760)] and f[0].driver_ids == "3" and f[0].absolute_clock == "gps" and f[0].video_frame_count == 3
+    assert f[0].session_key == f[1].session_key and f[0].session_key.startswith("gps:2429:") and f[0].channel_count == 18
+    m = lib.session_metadata(1).collect()
+    assert len(m) == 1 and (m[0].file_count, m[0].driver_ids, m[0].lap_count) == (2, "3", 1)
+    s = lib.read_session(rate=20, channels="RPM", max_gap_seconds=1).orderBy("source_file", "time_ns").collect()
+    assert len({r.source_file for r in s}) == 2 and (s[0].video_frame_index, s[0].driver_id, s[0].lap_number, s[0].RPM) == (0, 3, 1, 5000.0)
+    assert {r.time_ns - r.file_time_ns for r in s if r.source_file.endswith("part1.mp4")} == {200_000_000}
+    with pytest.raises(ValueError, match="unknown options"):
+        Library(spark, str(tmp_path), format="x")

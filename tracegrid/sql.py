@@ -57,45 +57,50 @@ class FileMetadata:
             yield from recordings._file_rows(p, recordings.open_recording(p))
 
 
-@udtf
-class ReadTelemetry:
-    """The wide relation; its schema follows from the files when the query is analysed."""
-
-    @staticmethod
-    def analyze(path: AnalyzeArgument, rate: AnalyzeArgument | None = None, channels: AnalyzeArgument | None = None, interpolate: AnalyzeArgument | None = None) -> AnalyzeResult:
-        wanted = {c.strip().lower() for c in channels.value.split(",")} if channels and channels.value else None
-        names: dict[str, str] = {}
-        for p in find_files(path.value):
-            for c in recordings.open_recording(p).channels:
-                if c.sample_count and (wanted is None or c.name.lower() in wanted):
-                    names.setdefault(c.name.lower(), c.name)
-        return AnalyzeResult(StructType([StructField("filename", StringType()), StructField("time_ns", LongType()), *(StructField(n, DoubleType()) for n in names.values())]))
-
-    def eval(self, path: str, rate: int = 100, channels: str | None = None, interpolate: str = "linear"):
-        import numpy as np
-
-        if not 1 <= rate <= 5000 or interpolate not in ("linear", "previous"):
-            raise ValueError("rate must be between 1 and 5000, interpolate 'linear' or 'previous'")
-        wanted = {c.strip().lower() for c in channels.split(",")} if channels else None
-        names: dict[str, int] = {}
-        recs = []
-        for p in find_files(path):
-            rec = recordings.open_recording(p)
-            picked: dict[str, object] = {}
-            for c in rec.channels:
-                if c.sample_count and (wanted is None or c.name.lower() in wanted):
-                    names.setdefault(c.name.lower(), len(names))
-                    picked.setdefault(c.name.lower(), c)
-            recs.append((p, picked))
-        for p, picked in recs:
-            end = max((c.duration_ns for c in picked.values()), default=0)
-            ticks = np.arange(-(-end * rate // 1_000_000_000), dtype=np.int64)
-            at = ticks * 1_000_000_000 // rate
-            table = np.full((len(ticks), len(names)), np.nan)
-            for k, c in picked.items():
-                table[:, names[k]] = sampled(c, at, interpolate == "linear")
-            for t, row in zip(at.tolist(), table.tolist(), strict=True):
-                yield (p, t, *(None if x != x else x for x in row))
+def wide_function(only: str | None = None):
+    """The wide table function over all formats or one."""
+
+    @udtf
+    class ReadTelemetry:
+        """The wide relation; its schema follows from the files when the query is analysed."""
+
+        @staticmethod
+        def analyze(path: AnalyzeArgument, rate: AnalyzeArgument | None = None, channels: AnalyzeArgument | None = None, interpolate: AnalyzeArgument | None = None) -> AnalyzeResult:
+            wanted = {c.strip().lower() for c in channels.value.split(",")} if channels and channels.value else None
+            names: dict[str, str] = {}
+            for p in find_files(path.value, only):
+                for c in recordings.open_recording(p).channels:
+                    if c.sample_count and (wanted is None or c.name.lower() in wanted):
+                        names.setdefault(c.name.lower(), c.name)
+            return AnalyzeResult(StructType([StructField("filename", StringType()), StructField("time_ns", LongType()), *(StructField(n, DoubleType()) for n in names.values())]))
+
+        def eval(self, path: str, rate: int = 100, channels: str | None = None, interpolate: str = "linear"):
+            import numpy as np
+
+            if not 1 <= rate <= 5000 or interpolate not in ("linear", "previous"):
+                raise ValueError("rate must be between 1 and 5000, interpolate 'linear' or 'previous'")
+            wanted = {c.strip().lower() for c in channels.split(",")} if channels else None
+            names: dict[str, int] = {}
+            recs = []
+            for p in find_files(path, only):
+                rec = recordings.open_recording(p)
+                picked: dict[str, object] = {}
+                for c in rec.channels:
+                    if c.sample_count and (wanted is None or c.name.lower() in wanted):
+                        names.setdefault(c.name.lower(), len(names))
+                        picked.setdefault(c.name.lower(), c)
+                recs.append((p, picked))
+            for p, picked in recs:
+                end = max((c.duration_ns for c in picked.values()), default=0)
+                ticks = np.arange(-(-end * rate // 1_000_000_000), dtype=np.int64)
+                at = ticks * 1_000_000_000 // rate
+                table = np.full((len(ticks), len(names)), np.nan)
+                for k, c in picked.items():
+                    table[:, names[k]] = sampled(c, at, interpolate == "linear")
+                for t, row in zip(at.tolist(), table.tolist(), strict=True):
+                    yield (p, t, *(None if x != x else x for x in row))
+
+    return ReadTelemetry
 
 
 def sampled(c, at, linear: bool):
@@ -120,6 +125,30 @@ def sampled(c, at, linear: bool):
     return out
 
 
+@udtf(returnType="column_name string, unit string, ddl string, kv_metadata string, channel_map_rule string")
+class ColumnComments:
+    def eval(self, path: str, table: str, channels: str | None = None):
+        wanted = {c.strip().lower() for c in channels.split(",")} if channels else None
+        seen = set()
+        for p in find_files(path):
+            for r in recordings._channel_rows(p, recordings.open_recording(p)):
+                name, unit, hz, period = r[3], r[4], r[10], r[11]
+                if name.lower() in seen or (wanted is not None and name.lower() not in wanted):
+                    continue
+                seen.add(name.lower())
+                payload = f"unit={unit}" + (f"; native_frequency_hz={hz:g}; native_sample_period_ns={period}" if period else "")
+                double = lambda x: '"' + x.replace('"', '""') + '"'
+                yield name, unit, f"COMMENT ON COLUMN {double(table)}.{double(name)} IS '{payload.replace(chr(39), chr(39) * 2)}'", payload, channelmap.rule_text(name, name, unit or None)
+
+
+@udtf(returnType="unit string, canonical_unit string, is_canonical boolean, dimension string, base_unit string, to_base_factor double, to_base_offset double, is_convertible boolean")
+class Units:
+    def eval(self):
+        for u in units.UNITS:
+            for s in u.spellings:
+                yield s, u.unit, s == u.unit, u.dimension, u.base_unit, u.factor, u.offset, u.convertible
+
+
 @pandas_udf("double")
 def telemetry_convert(value: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v or s is None or t is None else units.convert_value(v, s, t) for v, s, t in zip(value, source, target, strict=True)], dtype="float64")
@@ -133,7 +162,8 @@ def telemetry_can_convert(source: pd.Series, target: pd.Series) -> pd.Series:
 def install(spark: SparkSession) -> None:
     """Registers the data source, the table functions, the unit functions and the view ``telemetry_units``."""
     recordings.register(spark)
-    for name, f in (("telemetry_samples", Samples), ("telemetry_metadata", Metadata), ("telemetry_file_metadata", FileMetadata), ("read_telemetry", ReadTelemetry)):
+    wide = {"read_telemetry": None, "read_aim": "aimd", "read_aimd": "aimd", "read_cosworth": "pds", "read_motec": "motec", "read_vbo": "vbo"}
+    for name, f in (("telemetry_samples", Samples), ("telemetry_metadata", Metadata), ("telemetry_file_metadata", FileMetadata), ("telemetry_column_comments", ColumnComments), ("telemetry_units", Units), *((name, wide_function(only)) for name, only in wide.items())):
         spark.udtf.register(name, f)
     spark.udf.register("telemetry_convert", telemetry_convert)
     spark.udf.register("telemetry_can_convert", telemetry_can_convert)
