@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.unit_text import squeeze
-from tracegrid.operators._series import SIDE, WIDEST, excursions, group_quantiles, runs, second_difference, shifted
+from tracegrid.operators._series import WIDEST, excursions, group_quantiles, runs, second_difference, shifted
 from tracegrid.operators.unit_resolution import resolve_units
 from tracegrid.runtime import columns_named, materialise
 
@@ -48,19 +47,13 @@ _RESTING_NAMES = ("speed", "throttle", "brake", "pedal", "brk", "tps", "spd", "v
 _RESTING_STARTS = ("ws0", "ws1", "ws2", "vss", "engn")
 
 
-def _kind():
+def _kind(name: Column, quantity: Column, is_step: Column, dimension: Column) -> Column:
     """Discrete quantity, speed or pedal, or other: by quantity, dimension and name."""
-
-    @F.udf("int")
-    def kind(name, quantity, is_step, dimension):
-        if is_step or dimension == "count":
-            return DISCRETE
-        for text in (squeeze(quantity), squeeze(name)):
-            if any(x in text for x in _RESTING_NAMES) or text.startswith(_RESTING_STARTS):
-                return RESTING
-        return RESTING if dimension == "speed" else OTHER
-
-    return kind
+    text = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+    pattern = f"{'|'.join(_RESTING_NAMES)}|^(?:{'|'.join(_RESTING_STARTS)})"
+    resting = text(quantity).rlike(pattern) | text(name).rlike(pattern) | F.coalesce(dimension == "speed", F.lit(False))
+    discrete = F.coalesce(is_step, F.lit(False)) | F.coalesce(dimension == "count", F.lit(False))
+    return F.when(discrete, DISCRETE).when(resting, RESTING).otherwise(OTHER)
 
 
 def channel_heads(channels: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
@@ -70,7 +63,7 @@ def channel_heads(channels: DataFrame, unit_defs: DataFrame, channel_rules: Data
     c = resolve_units(c, unit_defs, channel_rules, channel_limits).select("file", "channel_id", "name", "resolved")
     return c.select(
         "file", "channel_id", r.to_base_scale.alias("scale"), r.to_base_offset.alias("shift"), r.low.alias("low"), r.high.alias("high"),
-        _kind()(F.col("name"), r.quantity, r.is_step, r.dimension).alias("kind"),
+        _kind(F.col("name"), r.quantity, r.is_step, r.dimension).alias("kind"),
     )
 
 
@@ -168,7 +161,6 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
     cg, cx, ct, cat = g[c], x[c], t[c], at[c]
     groups = group[-1] + 1
     spiky = np.zeros(len(x), bool)
-    spread_of = {}
     if len(c):
         d = second_difference(cx, cg)
         hour = (ct // HOUR_NS).astype(np.int64)
@@ -241,7 +233,6 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
             points_all=[sketch["points_all"].get(k, [s_all[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
             points_moving=[sketch["points_moving"].get(k, [s_moving[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
         )
-    del spread_of
 
     # Long runs, cut where the index jumps (a missing value) and to the block's own rows.
     runs_to_emit = [(p, q) for p, q in zip(s.tolist(), e.tolist(), strict=True) if kind[g[p]] != DISCRETE]
