@@ -21,7 +21,7 @@ ABBREVIATIONS = {
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
-_ZONE = r"\s*(?:Z|[+-]\d{2}(?::?\d{2})?|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5})$"
+_ZONE = r"(?i)\s*(?:Z|[+-]\d{2}(?::?\d{2})?|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5})$"
 KEY = ["date_text", "time_text", "clock", "tz_name", "day_first"]
 
 
@@ -96,13 +96,13 @@ def _clean(c: str) -> Column:
 
 def parse_instants(entries: DataFrame) -> DataFrame:
     """``start_utc_us`` of dictionary entries (columns ``KEY``), parsed exhaustively with JVM expressions."""
-    stamp = r"^(\d{4}-\d{2}-\d{2}|\d{8})[T ](.+)$"
+    stamp = r"^(\d{4}-\d{2}-\d{2}|\d{8})[Tt ](.+)$"
     d, t = F.col("date_text"), F.col("time_text")
     whole = F.when((t == "") & d.rlike(stamp), d).when((d == "") & t.rlike(stamp), t)
     df = entries.withColumns({"d": F.when(whole.isNotNull(), _group(whole, stamp, 1)).otherwise(d), "tz": F.when(whole.isNotNull(), _group(whole, stamp, 2)).otherwise(t)})
     tz = F.col("tz")
     half_day = tz.rlike(r"(?i)^[\d:.,]+\s*[ap]\.?m\.?$")
-    df = df.withColumn("zone", F.when(half_day, "").otherwise(F.trim(F.regexp_extract(tz, _ZONE, 0))))
+    df = df.withColumn("zone", F.when(half_day, "").otherwise(F.upper(F.trim(F.regexp_extract(tz, _ZONE, 0)))))
     df = df.withColumn("t", F.when(F.col("zone") == "", tz).otherwise(F.trim(F.expr("substr(tz, 1, length(tz) - length(zone))"))))
     df = df.withColumns({"day": _parsed_day(F.col("d"), F.col("day_first")), "us": _parsed_time(F.col("t"))})
     wall = F.col("day").cast("long") * 86_400_000_000 + F.col("us")

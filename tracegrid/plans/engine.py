@@ -11,7 +11,7 @@ from tracegrid import channelmap, units
 from tracegrid.operators import events as ev
 from tracegrid.operators import resample as rs
 from tracegrid.operators import sessions as se
-from tracegrid.plans.recordings import SECOND, samples, with_duration
+from tracegrid.plans.recordings import SECOND, UNITS, samples, with_duration
 from tracegrid.plans.recordings import SQL as REC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,8 +367,7 @@ def convert_units(spark, d):
 SELECT a.unit AS source, b.unit AS target, a.dim = b.dim AND (a.unit = b.unit OR a.conv) AS possible FROM d a, d b WHERE a.unit IN (SELECT unit FROM u) AND b.unit IN (SELECT unit FROM u)""")
 def can_convert(spark, d):
     u = samples(spark, d).select("unit").distinct()
-    # At most as many rows as the registry has spellings.
-    pairs = u.select(F.col("unit").alias("source")).join(F.broadcast(u.select(F.col("unit").alias("target"))))
+    pairs = u.select(F.col("unit").alias("source"), F.explode(F.array(*[F.lit(x) for x in UNITS.values()])).alias("target"))
     return pairs.withColumn("possible", units.can_convert(F.col("source"), F.col("target")))
 
 

@@ -159,8 +159,8 @@ def percentiles(spark, d):
 @query("SELECT dimension, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT DISTINCT * FROM channels) GROUP BY 1")
 def share_of_total(spark, d):
     g = channels(spark, d).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
-    total = g.agg(F.sum("n").alias("t"))
-    return g.join(F.broadcast(total)).select("dimension", "n", F.round(100.0 * F.col("n") / F.col("t"), 9).alias("share"))
+    total = channels(spark, d).agg(F.count(F.lit(1))).scalar()
+    return g.select("dimension", "n", F.round(100.0 * F.col("n") / total, 9).alias("share"))
 
 
 @query(f"WITH {_ONCE} SELECT file, channel_id FROM smp WHERE {_FINITE} GROUP BY 1, 2 HAVING min(value) = max(value)")
