@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.llm.tokens import TOKENIZERS, with_tokens
-from tracegrid.runtime import bounded_rows, columns_named, materialise
+from tracegrid.runtime import bounded_rows, broadcast_if_small, columns_named, materialise
 
 #: Buckets of the sampling key within a source; only their token sums meet in one place.
 BUCKETS = 4096
@@ -69,7 +69,7 @@ def mix_sources(documents: DataFrame, mix_targets: DataFrame, folder: str = TOKE
     only; ties go by doc_id; an empty table gives an empty result.
     """
     docs = materialise(_weighted(documents, folder), "mix-documents")
-    plan = plan_mixture(docs.join(F.broadcast(_known(mix_targets)), "source").groupBy("source").agg(F.sum("tokens")), mix_targets)
+    plan = plan_mixture(docs.join(broadcast_if_small(_known(mix_targets)), "source").groupBy("source").agg(F.sum("tokens")), mix_targets)
     spark = documents.sparkSession
     if not plan:
         return spark.createDataFrame([], "doc_id bigint, source string, tokens bigint, repeats int")
@@ -98,7 +98,7 @@ def mixture_report(mixture: DataFrame, mix_targets: DataFrame) -> DataFrame:
     A target without documents has reached share 0.
     """
     got = mixture.groupBy(source_key("source").alias("key")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
+    whole = mixture.agg(F.sum(F.col("tokens") * F.col("repeats"))).scalar()
     t = columns_named(mix_targets, "source", "target_share", "max_repeats").distinct().withColumn("key", source_key("source"))
-    out = t.join(got, "key", "left").join(F.broadcast(whole))
-    return out.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")
+    out = t.join(got, "key", "left")
+    return out.select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")
