@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests import tables as T
 from tracegrid.operators import anomalies
+from tracegrid.operators import drift as drift_module
 from tracegrid.operators.anomalies import find_faults
 from tracegrid.operators.drift import consistent_channels, layout_changes
 from tracegrid.operators.instants import normalise_instants
@@ -129,6 +130,35 @@ def test_layout_changes(spark):
     assert table["f1", 1].version == 1 and table["f2", 7].version == table["f3", 7].version == 2
 
 
+def columns_of(spark, files, defs):
+    c, f = drift(spark, files, defs)
+    return {(r.file, r.channel_id): (r.column_name, r.common_type) for r in consistent_channels(c, f, *T.reference(spark)).collect()}
+
+
+def test_renames_are_carried_along_the_files(spark, monkeypatch):
+    d = lambda i, name, kind="int16", unit="": (i, name, unit, "d", kind)
+    defs = {
+        "f1": [d(1, "A1"), d(4, "DMP_F1"), d(8, "twin"), d(9, "Twin"), d(6, "xx", unit="bar")],
+        "f2": [d(1, "A2"), d(4, "FDamp"), d(8, "twin"), d(9, "Twin"), d(6, "yy", unit="K")],
+        "f3": [d(1, "A3"), d(8, "twin")],
+        "f4": [d(1, "A4"), d(7, "A1", "uint8"), d(5, "F-Damp", "int32"), d(8, "twin"), d(9, "Twin")],
+        "f5": [d(1, "A5"), d(7, "A1", "uint8"), d(5, "FDamp")],
+        "f6": [d(1, "A6", "float64"), d(7, "A7", "uint8")],
+        "g1": [d(4, "FDamp")],
+    }
+    files = [("L", 5 * i, f"f{i}") for i in range(1, 7)] + [("M", 1, "g1")]
+    got = columns_of(spark, files, defs)
+    assert {got[f"f{i}", 1] for i in range(1, 7)} == {("a1", "float64")}
+    assert {got["f4", 7], got["f5", 7], got["f6", 7]} == {("a1_2", "uint8")}  # another channel under a name that was given up
+    assert {got[x] for x in (("f1", 4), ("f2", 4), ("f4", 5), ("f5", 5))} == {("dmpf1", "int32")}  # renamed, absent, back again
+    assert got["g1", 4] == ("fdamp", "int16")
+    assert {got[f, 8][0] for f in ("f1", "f2", "f3", "f4")} == {"twin"} and {got[f, 9][0] for f in ("f1", "f2", "f4")} == {"twin_2"}
+    assert got["f1", 6][0] == "xx" and got["f2", 6][0] == "yy"  # one id, two dimensions
+    assert len(got) == sum(map(len, defs.values())) and len({(f, n) for (f, _), (n, _) in got.items()}) == len(got)
+    monkeypatch.setattr(drift_module, "SEQ_BLOCK", 7)
+    assert columns_of(spark, files, defs) == got
+
+
 def grid(spark, s, k, **kw):
     return {(r.chunk_index, r.tick): (r.state, r.value) for r in regular_grid(s, k, **kw).collect()}
 

@@ -11,6 +11,10 @@ from tracegrid.runtime import columns_named, materialise
 #: file_seq values that share a task when the files of one logger are put in order.
 SEQ_BLOCK = 4096
 
+#: Keys of a comparison, what is compared, and the condition under which the rest of two layouts meets by channel_id.
+PAIR, FIELDS = ["logger_id", "file", "previous"], ["channel_id", "name", "unit_source", "data_type"]
+BY_ID = "new_channel_id is not null and old_channel_id is not null and not apart"
+
 
 def _previous_file(files: DataFrame) -> DataFrame:
     """(logger_id, file, file_seq, previous): each file with the one before it.
@@ -44,24 +48,14 @@ def fingerprints(layout: DataFrame) -> DataFrame:
     return layout.groupBy("file").agg(F.concat_ws(":", F.count(F.lit(1)), h(1), h(2)).alias("fingerprint"))
 
 
-def layout_changes(channels: DataFrame, source_files: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
-    """(logger_id, file, previous, channel_id, change, old, new): every change between consecutive files of a logger.
-
-    Files whose fingerprints agree are not compared.  Channels are the same if
-    their base names (without unit text, case, blanks and punctuation) agree; of
-    the rest, those with equal channel_id, unless both dimensions are known and
-    differ.  ``change`` is added, removed, renamed, retyped or unit_source; ``old``
-    and ``new`` are the texts concerned.  ``channel_id`` is that of the later file,
-    for ``removed`` that of the earlier one.
+def _compared(layout: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The layouts of consecutive files side by side: what meets by name, and what of the rest has one channel_id.
 
-    A file without channel definitions has the empty layout; files with a NULL
-    logger_id or file_seq have no place in an order and are left out, as are
-    definitions with a NULL key; NULL texts compare as equal to NULL only;
-    repeated rows count once; empty tables give an empty result.
+    ``new_`` and ``old_`` columns of both sides; NULL on the side where there is
+    no counterpart.  Rows of the second with both sides and without ``apart`` meet by id.
     """
-    layout = materialise(layouts(channels, unit_defs, channel_rules, channel_limits), "layouts")
     prints = fingerprints(layout)
-    pairs = _previous_file(source_files).where("previous is not null")
+    pairs = order.where("previous is not null")
     pairs = (
         pairs.join(prints, "file", "left")
         .join(prints.select(F.col("file").alias("previous"), F.col("fingerprint").alias("old_fingerprint")), "previous", "left")
@@ -69,21 +63,40 @@ def layout_changes(channels: DataFrame, source_files: DataFrame, unit_defs: Data
         .select("logger_id", "file", "previous")
     )
     pairs = materialise(pairs, "layout-pairs")
-    fields = ["channel_id", "name", "unit_source", "data_type", "base_name", "dimension", "twin"]
+    fields = [*FIELDS, "base_name", "dimension", "twin"]
     side = lambda p: layout.select(F.col("file").alias(f"{p}_file"), *[F.col(x).alias(f"{p}_{x}") for x in fields])
     new = pairs.join(side("new"), F.col("file") == F.col("new_file")).drop("new_file")
     old = pairs.join(side("old"), F.col("previous") == F.col("old_file")).drop("old_file")
-    key = ["logger_id", "file", "previous"]
+    key = PAIR
     a, b = new.withColumnsRenamed({"new_base_name": "base_name", "new_twin": "twin"}), old.withColumnsRenamed({"old_base_name": "base_name", "old_twin": "twin"})
     by_name = materialise(a.join(b, [*key, "base_name", "twin"], "full"), "layout-names")
     both = by_name.where("new_channel_id is not null and old_channel_id is not null")
-    rest_new = by_name.where("old_channel_id is null").select(*key, *[f"new_{x}" for x in fields[:4]], "new_dimension", F.col("new_channel_id").alias("id"))
-    rest_old = by_name.where("new_channel_id is null").select(*key, *[f"old_{x}" for x in fields[:4]], "old_dimension", F.col("old_channel_id").alias("id"))
+    rest_new = by_name.where("old_channel_id is null").select(*key, *[f"new_{x}" for x in fields[:4]], "new_dimension", F.col("base_name").alias("new_base_name"), F.col("twin").alias("new_twin"), F.col("new_channel_id").alias("id"))
+    rest_old = by_name.where("new_channel_id is null").select(*key, *[f"old_{x}" for x in fields[:4]], "old_dimension", F.col("base_name").alias("old_base_name"), F.col("twin").alias("old_twin"), F.col("old_channel_id").alias("id"))
     by_id = rest_new.join(rest_old, [*key, "id"], "full")
-    apart = F.coalesce(F.col("new_dimension") != F.col("old_dimension"), F.lit(False))
-    cells = [*key, *[f"{p}_{x}" for p in ("new", "old") for x in fields[:4]]]
-    matched = by_id.where(F.col("new_channel_id").isNotNull() & F.col("old_channel_id").isNotNull() & ~apart).select(*cells).unionByName(both.select(*cells))
-    unmatched = by_id.where(F.col("new_channel_id").isNull() | F.col("old_channel_id").isNull() | apart)
+    return both, by_id.withColumn("apart", F.coalesce(F.col("new_dimension") != F.col("old_dimension"), F.lit(False)))
+
+
+def layout_changes(channels: DataFrame, source_files: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
+    """(logger_id, file, previous, channel_id, change, old, new): every change between consecutive files of a logger.
+
+    Files whose fingerprints agree are not compared.  Channels are the same if
+    their base names (without unit text, case, blanks and punctuation) agree; of
+    the rest, those with equal channel_id, unless both dimensions are known and
+    differ.  ``change`` is added, removed, renamed, retyped or unit_source; ``old``
+    and ``new`` are the texts concerned.  ``channel_id`` is that of the later file,
+    for ``removed`` that of the earlier one.
+
+    A file without channel definitions has the empty layout; files with a NULL
+    logger_id or file_seq have no place in an order and are left out, as are
+    definitions with a NULL key; NULL texts compare as equal to NULL only;
+    repeated rows count once; empty tables give an empty result.
+    """
+    layout = materialise(layouts(channels, unit_defs, channel_rules, channel_limits), "layouts")
+    both, by_id = _compared(layout, _previous_file(source_files))
+    key, cells = PAIR, [*PAIR, *[f"{p}_{x}" for p in ("new", "old") for x in FIELDS]]
+    matched = by_id.where(BY_ID).select(*cells).unionByName(both.select(*cells))
+    unmatched = by_id.where(f"not ({BY_ID})")
     change = lambda df, cond, cid, what, o, n: df.where(cond).select(*key, F.col(cid).alias("channel_id"), F.lit(what).alias("change"), F.col(o).alias("old") if o else F.lit(None).cast("string").alias("old"), F.col(n).alias("new") if n else F.lit(None).cast("string").alias("new"))
     differs = lambda x: ~F.col(f"new_{x}").eqNullSafe(F.col(f"old_{x}"))
     parts = [
@@ -99,23 +112,70 @@ def layout_changes(channels: DataFrame, source_files: DataFrame, unit_defs: Data
     return out.distinct()
 
 
+def _columns(layout: DataFrame, order: DataFrame) -> DataFrame:
+    """(logger_id, file, channel_id, column_name): the column each definition belongs to over the files of its logger.
+
+    A definition continues the one it is the same as in the file before (see
+    ``layout_changes``), under whatever name, and one that is new continues the
+    channel that last left under its name.  So a channel runs along one name from
+    rename to rename; the runs that a rename by id joins are chained by pointer
+    doubling, as often as the logarithm of the longest chain asks.
+
+    The column is called after the first name of its chain.  Where several chains
+    of a logger begin with one name, the second has ``_2`` after it and so on.
+    """
+    _, by_id = _compared(layout, order)
+    renames = materialise(by_id.where(BY_ID).select("logger_id", "file", "new_channel_id", "previous", "old_channel_id"), "renames")
+    into = renames.select("logger_id", "file", F.col("new_channel_id").alias("channel_id"), F.lit(True).alias("into"))
+    away = renames.select("logger_id", F.col("previous").alias("file"), F.col("old_channel_id").alias("channel_id"), F.lit(True).alias("away")).distinct()
+    d = layout.select("file", "channel_id", "base_name", "twin").join(order.select("logger_id", "file", "file_seq"), "file")
+    d = d.join(into, ["logger_id", "file", "channel_id"], "left").join(away, ["logger_id", "file", "channel_id"], "left")
+    # A run begins with the definition renamed to its name (0) or after the one renamed to another (1).
+    mark = lambda flag, kind: F.when(F.col(flag), F.struct(F.col("file_seq").alias("seq"), F.col("file").alias("file"), F.lit(kind).alias("kind")))
+    d = d.withColumns({"block": F.expr(f"file_seq div {SEQ_BLOCK}"), "into": mark("into", 0), "away": mark("away", 1)})
+    name = ["logger_id", "base_name", "twin"]
+    inside = Window.partitionBy(*name, "block").orderBy("file_seq", "file")
+    ends = d.groupBy(*name, "block").agg(F.max(F.greatest("into", "away")).alias("end"))
+    before = Window.partitionBy(*name).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.max("end").over(before)).drop("end")
+    d = d.withColumn("inner", F.greatest(F.max("into").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.max("away").over(inside.rowsBetween(Window.unboundedPreceding, -1))))
+    start = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("seq"), F.lit("").alias("file"), F.lit(1).alias("kind"))
+    d = d.join(ends, [*name, "block"]).withColumn("run", F.struct("base_name", "twin", F.coalesce("inner", "before", start).alias("since")))
+    runs = materialise(d.select("logger_id", "file", "file_seq", "channel_id", "run"), "runs")
+    run_of = lambda cid, file, what: runs.select("logger_id", F.col("file").alias(file), F.col("channel_id").alias(cid), F.col("run").alias(what))
+    steps = renames.join(run_of("new_channel_id", "file", "run"), ["logger_id", "file", "new_channel_id"]).join(run_of("old_channel_id", "previous", "first"), ["logger_id", "previous", "old_channel_id"])
+    steps = materialise(steps.select("logger_id", "run", "first"), "rename-steps")
+    while True:
+        ahead = steps.select("logger_id", F.col("run").alias("first"), F.col("first").alias("further"))
+        steps = steps.select("logger_id", "run", "first").join(ahead, ["logger_id", "first"], "left")
+        steps = materialise(steps.select("logger_id", "run", F.coalesce("further", "first").alias("first"), F.col("further").isNotNull().alias("moved")), "rename-steps")
+        if not steps.where("moved").limit(1).count():
+            break
+    chained = runs.join(steps.select("logger_id", "run", "first"), ["logger_id", "run"], "left").withColumn("first", F.coalesce("first", "run"))
+    names = chained.groupBy("logger_id", "first").agg(F.min(F.struct("file_seq", "file", F.col("run.twin").alias("twin"))).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("logger_id", "first.base_name").orderBy("at"))
+    names = names.withColumn("nth", nth).withColumn("column_name", F.when(F.col("nth") == 1, F.col("first.base_name")).otherwise(F.concat_ws("_", "first.base_name", "nth")))
+    return chained.join(names.select("logger_id", "first", "column_name"), ["logger_id", "first"]).select("logger_id", "file", "channel_id", "column_name")
+
+
 def consistent_channels(channels: DataFrame, source_files: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
     """One consistent table over all files, each definition routed through rename, default and cast rules.
 
     (logger_id, file, channel_id, column_name, name, data_type, common_type,
-    unit_source, version): ``column_name`` is the base name, ``common_type`` the
-    type that holds every type of the column over the logger's files (float64 over
-    mixed kinds, the widest of one kind otherwise), ``unit_source`` defaults to
+    unit_source, version): ``column_name`` is the base name the channel
+    had first, carried through every later rename, ``common_type`` the type that
+    holds every type of the column over the logger's files (float64 over mixed
+    kinds, the widest of one kind otherwise), ``unit_source`` defaults to
     ``unknown``, ``version`` numbers the logger's distinct layouts by first use.
     """
-    layout = layouts(channels, unit_defs, channel_rules, channel_limits)
-    order = _previous_file(source_files).select("logger_id", "file", "file_seq")
+    layout = materialise(layouts(channels, unit_defs, channel_rules, channel_limits), "layouts")
+    order = materialise(_previous_file(source_files), "file-order")
     prints = fingerprints(layout).join(order, "file")
     first = prints.groupBy("logger_id", "fingerprint").agg(F.min("file_seq").alias("since"))
     versions = first.withColumn("version", F.row_number().over(Window.partitionBy("logger_id").orderBy("since", "fingerprint")))
     prints = prints.join(versions, ["logger_id", "fingerprint"]).select("logger_id", "file", "version")
     rank = F.create_map(*[F.lit(x) for k, v in (("uint8", 1), ("int16", 2), ("uint16", 3), ("int32", 4), ("uint32", 5), ("float32", 6), ("float64", 7)) for x in (k, v)])
-    rows = layout.join(prints, "file")
-    kinds = rows.groupBy("logger_id", "base_name").agg(F.max(F.struct(F.coalesce(F.try_element_at(rank, F.col("data_type")), F.lit(7)).alias("r"), "data_type")).alias("widest"), F.count_distinct(F.col("data_type").startswith("float")).alias("families"))
-    kinds = kinds.select("logger_id", "base_name", F.when(F.col("families") > 1, "float64").otherwise(F.col("widest.data_type")).alias("common_type"))
-    return rows.join(kinds, ["logger_id", "base_name"]).select("logger_id", "file", "channel_id", F.col("base_name").alias("column_name"), "name", "data_type", "common_type", F.coalesce(F.nullif("unit_source", F.lit("")), F.lit("unknown")).alias("unit_source"), "version")
+    rows = layout.join(prints, "file").join(_columns(layout, order), ["logger_id", "file", "channel_id"])
+    kinds = rows.groupBy("logger_id", "column_name").agg(F.max(F.struct(F.coalesce(F.try_element_at(rank, F.col("data_type")), F.lit(7)).alias("r"), "data_type")).alias("widest"), F.count_distinct(F.col("data_type").startswith("float")).alias("families"))
+    kinds = kinds.select("logger_id", "column_name", F.when(F.col("families") > 1, "float64").otherwise(F.col("widest.data_type")).alias("common_type"))
+    return rows.join(kinds, ["logger_id", "column_name"]).select("logger_id", "file", "channel_id", "column_name", "name", "data_type", "common_type", F.coalesce(F.nullif("unit_source", F.lit("")), F.lit("unknown")).alias("unit_source"), "version")
