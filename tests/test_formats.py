@@ -159,6 +159,35 @@ def test_wide(spark, logs):
             R.read_wide(spark, f"{logs}/a.pds", **kw)
 
 
+def test_no_channel_is_dropped_unseen(spark, logs, tmp_path, monkeypatch):
+    from tracegrid.sources import library
+
+    late = [Channel(9, "SPEED", "km/h", "declared", 7, [Chunk(SEC, 2, 0, 0, 0)], None, np.array([36.0, 72.0])), Channel(2, "Lap", "", "declared", 7, [Chunk(SEC, 2, 0, 0, 0)], None, np.array([1.0, 2.0]))]
+    (logs / "z.pds").write_bytes(pds.encode(late))
+    path = f"{logs}/{{a.pds,b.ld,z.pds}}"
+    # Eight definitions, five names and units: the bound counts the latter.
+    monkeypatch.setattr(R, "MOST_NAMES", 5)
+    w = R.read_wide(spark, path, rate=1, unit_tags=True)
+    assert w.columns == ["time_ns", "Speed", "Throttle Pos", "Gear", "Lap"] and w.schema["Speed"].metadata == {}
+    assert sorted(r.Lap for r in w.where("Lap is not null").collect()) == [1, 2]
+    monkeypatch.setattr(R, "MOST_NAMES", 4)
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        R.read_wide(spark, path, rate=1)
+    monkeypatch.setattr(R, "MOST_NAMES", 1)
+    assert R.read(spark, path, channels="Gear").count() == 8
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        R.read(spark, path, channels="Speed")
+    monkeypatch.setattr(library, "MOST_NAMES", 0)
+    with pytest.raises(ValueError, match="more than 0 rows"):
+        library.Library(spark, path).role("lap")
+    monkeypatch.setattr(sinks, "MOST_MARKERS", 2)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.write_recording(R.read(spark, f"{logs}/a.pds"), str(tmp_path / "o.ld"), markers=spark.range(3).withColumnRenamed("id", "time_ns"))
+    monkeypatch.setattr(sinks, "MOST_SAMPLES", 11)
+    with pytest.raises(FormatError, match="more than 11"):
+        sinks.write_recording(R.read(spark, f"{logs}/a.pds"), str(tmp_path / "o.ld"))
+
+
 def test_export(spark, logs, tmp_path):
     out = str(tmp_path / "out.ld")
     row = sinks.write_recording(R.read(spark, f"{logs}/a.pds"), out, "a.pds", driver="Ann").first()

@@ -9,8 +9,8 @@ from tracegrid.model import normalised, round_half_away
 from tracegrid.operators import events as ev
 from tracegrid.operators import resample as rs
 from tracegrid.operators import sessions as se
-from tracegrid.runtime import materialise
-from tracegrid.sources.recordings import open_recording, read, read_wide
+from tracegrid.runtime import bounded_rows, materialise
+from tracegrid.sources.recordings import MOST_NAMES, open_recording, read, read_wide
 
 GPS_WEEK, GPS_ITOW = ("gpsweek",), ("gpsitow", "itow")
 _ROLES = {"driver": ev.DRIVER_NAMES, "lap": ev.LAP_NAMES, "timer": ev.TIMER_NAMES, "reference": ev.REFERENCE_NAMES, "reported": ev.REPORTED_NAMES, "week": GPS_WEEK, "itow": GPS_ITOW}
@@ -34,7 +34,7 @@ class Library:
         if self._semantic is None:
             wanted = [n for names in _ROLES.values() for n in names]
             found = self.channels.where((F.col("sample_count") > 0) & normalised(F.col("name")).isin(wanted))
-            names = [r[0] for r in found.select("name").distinct().limit(10_000).collect()]
+            names = [r[0] for r in bounded_rows(found.select("name").distinct(), MOST_NAMES, "spellings of role channels")]
             c = found.select("file", "channel_id", normalised(F.col("name")).alias("role_name"), "duration_ns")
             s = read(self.spark, self.path, "samples", channels=",".join(names) if names else ",", **self.pick).join(c, ["file", "channel_id"]) if names else None
             empty = "file string, channel_id bigint, time_ns bigint, value double, role_name string, duration_ns bigint"

@@ -23,12 +23,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from tracegrid import units
 from tracegrid.model import CHANNELS, CHUNKS, FILES, SAMPLES
+from tracegrid.runtime import bounded_rows
 from tracegrid.sources.formats import aim, ld, pds, vbo
 from tracegrid.sources.formats.common import Recording
 from tracegrid.sources.paths import find_files, format_of
 
 RELATIONS = {"samples": SAMPLES, "channels": CHANNELS, "chunks": CHUNKS, "files": FILES}
 _BATCH = 1 << 16
+#: Names (with their units) that reach the driver at most, as columns or as a list of channels to read; more are an error.
+MOST_NAMES = 1_000_000
 
 
 def decode(raw: bytes, form: str) -> Recording:
@@ -165,7 +168,8 @@ def read(spark: SparkSession, path: str, relation: str = "samples", **options) -
         if v is not None:
             reader = reader.option(k, str(v))
     if relation == "samples" and options.get("channels"):
-        have = {r[0].lower() for r in read(spark, path, "channels", **{k: v for k, v in options.items() if k in ("only", "created_from", "created_to")}).select("name").distinct().limit(1_000_000).collect()}
+        named = read(spark, path, "channels", **{k: v for k, v in options.items() if k in ("channels", "only", "created_from", "created_to")})
+        have = {r[0].lower() for r in bounded_rows(named.select("name").distinct(), MOST_NAMES, "channel names")}
         missing = [c for c in options["channels"].split(",") if c.strip() and c.strip().lower() not in have]
         if missing:
             raise ValueError(f"channels not found: {', '.join(missing)}")
@@ -196,10 +200,12 @@ def read_wide(spark: SparkSession, path: str, rate: int = 100, channels: str | N
 
     pick = {"only": only, "created_from": created_from, "created_to": created_to}
     cols = read(spark, path, "channels", **pick).where("sample_count > 0").select("file", "channel_id", "name", "unit", "data_type", "duration_ns")
-    listed = [tuple(r) for r in cols.orderBy("file").limit(1_000_000).collect()]
+    # One row per name and unit, with the first definition of each; a file is one partition, so the row number keeps its order.
+    named = cols.withColumn("at", F.monotonically_increasing_id()).groupBy(F.lower("name").alias("k"), "unit").agg(F.min(F.struct("file", "at", "name")).alias("first"))
+    listed = sorted((r.file, r.at, r.name, r.unit) for r in bounded_rows(named.select("first.*", "unit"), MOST_NAMES, "sampled channels"))
     wanted = {c.strip().lower() for c in channels.split(",") if c.strip()} if channels else None
     names: dict[str, tuple[str, str | None]] = {}
-    for _, _, name, unit, _, _ in listed:
+    for _, _, name, unit in listed:
         if wanted is None or name.lower() in wanted:
             known = names.setdefault(name.lower(), (name, units.normalise(unit)))
             if known[1] != units.normalise(unit):

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tracegrid import units
 from tracegrid.model import STORAGE
 from tracegrid.operators import events
+from tracegrid.runtime import bounded_rows
 from tracegrid.sources.formats import ld, ldx
 from tracegrid.sources.formats.common import Channel, Chunk, FormatError
 
 #: Samples of one logger file at most: the format itself ends at 4 GiB.
 MOST_SAMPLES = 1 << 30
+#: Lap markers of one sidecar at most.
+MOST_MARKERS = 1_000_000
 _CODES = {name: code for code, (name, _) in STORAGE.items()}
 SUMMARY = "source string, output string, format string, channels bigint, samples bigint, bytes bigint, sidecar string, sidecar_bytes bigint"
 
@@ -28,7 +31,9 @@ def write_recording(samples: DataFrame, output: str, source: str = "", data_type
     """
     if not output.lower().endswith(".ld"):
         raise ValueError("only .ld recordings can be written")
-    rows = samples.select("channel", "unit", "frequency_hz", "sample_index", "time_ns", "value").orderBy("channel", "sample_index").limit(MOST_SAMPLES).toArrow().to_pandas()
+    rows = samples.select("channel", "unit", "frequency_hz", "sample_index", "time_ns", "value").orderBy("channel", "sample_index").limit(MOST_SAMPLES + 1).toArrow().to_pandas()
+    if len(rows) > MOST_SAMPLES:
+        raise FormatError(f"more than {MOST_SAMPLES} samples")
     if rows.empty:
         raise FormatError("nothing to write")
     channels = []
@@ -41,7 +46,7 @@ def write_recording(samples: DataFrame, output: str, source: str = "", data_type
         channels.append(Channel(i, name, g.unit.iloc[0] or "", "declared", code, [Chunk(period, len(g), 0, 0, int(t[0]))], None, g.value.to_numpy()))
     who = ld.Identity(**identity)
     body = ld.encode(channels, who)
-    beacons = [r[0] for r in markers.select("time_ns").orderBy("time_ns").limit(1_000_000).collect()] if markers is not None else []
+    beacons = [r[0] for r in bounded_rows(markers.select("time_ns").orderBy("time_ns"), MOST_MARKERS, "lap markers")] if markers is not None else []
     text = ldx.sidecar(beacons, {"Driver": who.driver, "Vehicle": who.vehicle, "Venue": who.venue, "Event": who.event, "Session": who.session, "Comment": who.comment}).encode()
     side = ldx.sidecar_path(output)
     for path, data in ((output, body), (side, text)):
