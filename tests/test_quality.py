@@ -69,6 +69,26 @@ def test_faults_edges(spark):
     assert faults(spark, s.withColumn("file", F.lit(None).cast("string")), k, c) == set()
 
 
+def test_contexts_count_by_their_samples(spark):
+    # One long quiet hour and eight short noisy ones: the fence is that of the quiet samples.
+    n = [900] + [20] * 8
+    x = np.concatenate([wave(m, i, noise=5.0 if i else 0.1) for i, m in enumerate(n)])
+    x[300] += 9
+    at = [k * 3600 * SEC + i * 100_000_000 for k, m in enumerate(n) for i in range(m)]
+    base = np.r_[0, np.cumsum(n)]
+    s, c = T.samples(spark, {("f", 1): ("m", "", x, at)}), T.channels(spark, [("f", 1, "m", "", "d", "float32")])
+    k = T.chunks(spark, [("f", 1, i, 100_000_000, m, int(base[i]), i * 3600 * SEC) for i, m in enumerate(n)])
+    assert 300 in {i for *_, i, kind in faults(spark, s, k, c) if kind == "spike"}
+
+
+def test_stuck_for_most_of_the_time(spark):
+    x = wave(1000, 7)
+    x[100:500], x[550:950] = x[100], x[550]
+    s, c = T.samples(spark, {("f", 1): ("m", "", x, None)}), T.channels(spark, [("f", 1, "m", "", "d", "float32")])
+    got = faults(spark, s, T.chunks(spark, [("f", 1, 0, 100_000_000, 1000, 0, 0)]), c)
+    assert {i for *_, i, kind in got if kind == "stuck"} == {*range(100, 500), *range(550, 950)}
+
+
 def test_missing_value_inside_a_run(spark):
     x = wave(120, 6).tolist()
     x[40:50] = [5.5] * 10

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.operators._series import WIDEST, excursions, group_quantiles, runs, second_difference, shifted
@@ -30,6 +30,8 @@ SIGMA = 1.21
 FENCE, LATTICE_FENCE, LATTICE_WIDE_FENCE = 9.0, 4.9, 3.0
 #: Share of changes between neighbouring samples from which on a channel "changes at nearly every sample".
 LIVELY = 0.85
+#: Samples outside the runs that are enough to tell; a channel of few samples needs but 30 % of them.
+OUTSIDE = 8
 #: Points of a block's quantile sketch.
 POINTS = 33
 _BATCH_ROWS = 150_000
@@ -223,13 +225,15 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
         parts = ~alone[cg] & mine
         sketch: dict = {}
         for f, v in (("points_all", d), ("points_moving", moving)):
-            gs, _, qs = group_quantiles(np.where(parts, v, np.nan), context, ranks)
+            gs, count, qs = group_quantiles(np.where(parts, v, np.nan), context, ranks)
             sketch[f] = dict(zip(gs.tolist(), qs.tolist(), strict=True))
+        # What a point of the moving sketch stands for; 0 where the context has no such deviation.
+        weight = dict(zip(gs.tolist(), count.tolist(), strict=True))
         ks = np.flatnonzero(n > 0)
         gk = context_group[ks]
         emit(
             STATS, gk, n=n[ks], moves=moves[ks], changes=changes[ks], held=in_run[ks], least=np.where(np.isfinite(least[ks]), least[ks], np.nan), most=np.where(np.isfinite(most[ks]), most[ks], np.nan),
-            s_all=s_all[ks], s_moving=s_moving[ks], weight=np.maximum(n[ks] // POINTS, 1), kind=kind[gk].astype(np.int32),
+            s_all=s_all[ks], s_moving=s_moving[ks], weight=[weight.get(k, 0) for k in ks.tolist()], kind=kind[gk].astype(np.int32),
             points_all=[sketch["points_all"].get(k, [s_all[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
             points_moving=[sketch["points_moving"].get(k, [s_moving[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
         )
@@ -308,12 +312,12 @@ def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit
     found = materialise(_block_analysis(_layout(samples, chunks, heads)), "faults")
     channel = ["file", "channel_id"]
     stats = found.where(F.col("what") == STATS)
-    merged = (
-        stats.where("points_all is not null")
-        .select(*channel, "weight", F.explode(F.arrays_zip("points_all", "points_moving")).alias("p"))
-        .groupBy(*channel)
-        .agg(*[F.percentile_approx(F.col(f"p.points_{k}"), 0.5, F.lit(1000)).alias(f"m_{k}") for k in ("all", "moving")])
-    )
+    # The median of the points, each counted as often as its context has deviations.
+    sketches = stats.where("points_moving is not null and weight > 0")
+    whole = sketches.groupBy(*channel).agg(F.sum(F.col("weight") * F.size("points_moving")).alias("whole"))
+    points = sketches.select(*channel, "weight", F.explode("points_moving").alias("point"))
+    upto = F.sum("weight").over(Window.partitionBy(*channel).orderBy("point").rowsBetween(Window.unboundedPreceding, 0))
+    merged = points.withColumn("upto", upto).join(whole, channel).where(2 * F.col("upto") >= F.col("whole")).groupBy(*channel).agg(F.min("point").alias("m_moving"))
     total = stats.groupBy(*channel).agg(
         *[F.sum(c).alias(c) for c in ("n", "moves", "changes", "held")],
         F.max(F.nanvl("most", F.lit(None))).alias("most"), F.max("kind").alias("kind"), F.max("s_all").alias("s1_all"), F.max("s_moving").alias("s1_moving"),
@@ -321,7 +325,7 @@ def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit
     fences = total.join(merged, channel, "left").select(
         *channel, "most", F.col("kind").alias("channel_kind"),
         F.coalesce("m_moving", "s1_moving").alias("channel_spread"),
-        ((F.col("changes") >= LIVELY * F.col("moves")) & (F.col("n") - F.col("held") >= 0.3 * F.col("n"))).alias("lively"),
+        ((F.col("changes") >= LIVELY * F.col("moves")) & (F.col("n") - F.col("held") >= F.least(F.lit(OUTSIDE), 0.3 * F.col("n")))).alias("lively"),
     )
     events = found.where(F.col("what").isin(SPIKE, RUN)).select(*channel, "what", "lo", "hi", "measure", "spread", "lattice", "width", "rest", "s_all").join(fences, channel)
     fence = F.when(F.col("lattice"), F.when((F.col("width") >= 2) & (F.col("s_all") == 0), LATTICE_WIDE_FENCE).otherwise(LATTICE_FENCE)).otherwise(FENCE)
