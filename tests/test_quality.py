@@ -244,3 +244,19 @@ def test_units_told_from_values(spark):
     got = {(x.file, x.channel_id): x.unit for x in link_units(s, c, g, *T.reference(spark)).collect()}
     assert got == {(f"f{k:02d}", 1): "km/h" for k in (7, 9, 10, 11)}
     assert link_units(s.limit(0), c, g, *T.reference(spark)).count() == 0 == link_units(s, c, g.limit(0), *T.empty_reference(spark)).count()
+
+
+def test_units_spread_along_long_chains(spark):
+    from tracegrid.operators.unit_links import link_units
+
+    names, series, defs, files = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "omega"], {}, [], []
+    x = 50 + 12 * np.sin(np.arange(60) / 5)
+    for k in range(6):
+        for j in (k, k + 1):  # logger k renames names[k] to names[k + 1] under one id
+            f, unit = f"g{k}{j}", "" if j else "m/s"
+            series[f, 1] = (names[j], unit, x * (3.6 if j else 1.0), None)
+            defs.append((f, 1, names[j], unit, "d", "float32"))
+            files.append((f, f"G{k}", j, None, None, None, None, None, "a", "b", "c"))
+    s, c, g = T.samples(spark, series), T.channels(spark, defs), spark.createDataFrame(files, T.FILES)
+    got = {x.file: x.unit for x in link_units(s, c, g, *T.reference(spark)).collect()}
+    assert got == {f: "km/h" for f, _, name, *_ in defs if name != "alpha"}
