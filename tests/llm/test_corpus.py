@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tracegrid.llm import digest as dg
-from tracegrid.llm.mixing import mix_sources, mixture_report, plan_mixture
+from tracegrid.llm.mixing import BUCKETS, _weighted, mix_sources, mixture_report, plan_mixture, with_bucket
 from tracegrid.llm.packing import SquaresPacker, pack_documents, packing_report
 from tracegrid.llm.reading import FEATURES, Words, features, fit_ordinal, prose, reading_levels
 from tracegrid.llm.tokens import TOKENIZERS, encoder
@@ -158,6 +158,41 @@ def test_plan_has_complete_epochs_first(spark):
     assert plan["b"]["epochs"] == 3 and plan["b"]["rest"] == 0 and plan["a"]["epochs"] == 0 and plan["a"]["rest"] == pytest.approx(900)
 
 
+def test_buckets_are_of_equal_depth_whatever_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    for weight in ("1.0", "0.1", "if(id % 3 = 0, 1.0, 0.1)"):
+        u = (F.pmod(F.xxhash64("id"), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
+        d = spark.range(60_000).select(F.lit("s").alias("source"), "id", (-F.log(u) / F.expr(weight)).alias("key"))
+        b = with_bucket(d)
+        n = [r[1] for r in b.groupBy("bucket").count().collect()]
+        assert len(n) > 0.9 * BUCKETS and max(n) < 3 * 60_000 / BUCKETS
+        lo = {r.bucket: (r.a, r.z) for r in b.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).collect()}
+        assert all(lo[i][1] <= lo[j][0] for i, j in zip(sorted(lo), sorted(lo)[1:], strict=False))
+
+
+def test_the_sample_is_the_prefix_of_the_keys(spark):
+    # Against brute force: the documents in the order of their keys, up to the budget.
+    import math
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, "the people of the village walk to the river " * (1 + i % 7), "m") for i in range(500)] + [(5000, "word " * 9000, "lim")]
+    t = spark.createDataFrame([("m", 0.8, 1, 1), ("lim", 0.2, 1, 1)], TARGETS)
+    d = docs(spark, rows)
+    w = {r.doc_id: r for r in _weighted(d, TOKENIZERS).where("source = 'm'").select("*", F.pmod(F.xxhash64(F.lit(42), "doc_id"), F.lit(2**52)).alias("u")).collect()}
+    order = sorted(w, key=lambda i: (-math.log((w[i].u + 0.5) / 2**52) / w[i].weight, i))
+    have = {"m": sum(r.tokens for r in w.values()), "lim": len(encoder().encode_ordinary(rows[-1][1]))}
+    size = min(have["m"] / 0.8, have["lim"] / 0.2)
+    rest, upto, taken = 0.8 * size, 0, set()
+    for i in order:
+        if upto + w[i].tokens / 2 <= rest:
+            taken.add(i)
+        upto += w[i].tokens
+    got = {r.doc_id for r in mix_sources(d, t).where("source = 'm'").collect()}
+    assert got == (taken if rest < have["m"] else set(w))
+
+
 def test_sampling_follows_the_weights(spark):
     # Prose has more characters a token than digits, hence the larger weight.
     rows = [(i, "the people of the village walk to the river " * 3, "m") for i in range(300)] + [(1000 + i, "83 92 17 55 2 9 1 4 7 3 8 1 9 9 2 8 4 0 1 3 5 9 2 7 1 6 4 8", "m") for i in range(300)] + [(5000, "word " * 2000, "lim")]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tracegrid.llm.tokens import TOKENIZERS, with_tokens
 from tracegrid.runtime import bounded_rows, columns_named, materialise
 
-#: Pieces that one packing run places; a run is one task.
-SHARD = 100_000
+#: Documents that one packing run places; a run of a container is one task.
+SHARD = 25_000
 
 
 class SquaresPacker:
@@ -70,7 +70,7 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, folder: str = TO
     ``bin`` names a container of the kind, ``at`` is the fill before the piece.  A
     document is split only if it alone exceeds the capacity, into full containers
     and a rest that is packed like any document.  Rests and short documents are
-    spread at random over runs of about ``shard`` pieces, each packed online by
+    spread at random over runs of about ``shard`` documents, each packed online by
     one task, so that the number of tasks follows the data.
 
     A NULL doc_id, a NULL or empty text and a container without a positive
@@ -102,7 +102,8 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, folder: str = TO
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bins, pa.string()), pa.array(docs, pa.int64()), pa.array(piece, pa.int64()), pa.array(at, pa.int64()), pa.array(tokens, pa.int64())], names=["container", "bin", "doc_id", "piece", "at", "tokens"])
 
     order = F.xxhash64(F.lit(11), "doc_id")
-    lines = loose.repartition("container", "capacity", "run").sortWithinPartitions("container", "capacity", "run", order, "doc_id")
+    # A fixed number of partitions, since the runs are long work over few bytes that must not be put together.
+    lines = loose.repartition(runs * len(capacities), "container", "capacity", "run").sortWithinPartitions("container", "capacity", "run", order, "doc_id")
     return full.unionByName(lines.mapInArrow(pack, schema))
 
 
