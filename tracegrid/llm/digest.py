@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.runtime import broadcast_if_small, columns_named, materialise
+from tracegrid.operators.blocks import stored_once
+from tracegrid.runtime import columns_named, materialise
 
 #: A digest has at most about this many centroids, whatever the number of values.
 COMPRESSION = 200
@@ -25,7 +27,8 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 SLICE = 1 << 19
 #: Digests of one key that meet in the first level of a merge, by salt.
 SALTS = 32
-BLOCK = 1 << 14
+#: Sorted values that one row of a block holds.
+PART = 512
 
 DIGEST = "n bigint, least double, most double, means array<double>, weights array<double>"
 _HASHES = ["__h", "__i"]
@@ -190,24 +193,102 @@ def read_percentiles(digests: DataFrame, keys: list[str], percentiles: tuple[flo
     return columns_named(digests, *keys, "n", "least", "most", "means", "weights").mapInArrow(read, schema)
 
 
-def certify(values: DataFrame, read: DataFrame, keys: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+def sorted_blocks(values: DataFrame, keys: list[str], delta: float = COMPRESSION) -> DataFrame:
+    """(keys..., block, n, least, most, means, weights, part): ``values`` in sorted blocks with a digest each, without a shuffle.
+
+    A block holds the values of one key in a slice of a partition.  Its first row
+    has the digest; the others (``means`` NULL) its values in order, ``PART`` to a
+    row, so that a key of any size is many rows.  Meant to be written once: the
+    digests and, later, the counting pass read what they need of it.
+    """
+    v = _hashed(_counted(values, keys), keys)
+    kinds = dict(v.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "block bigint", DIGEST, "part array<double>"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        first_id = TaskContext.get().partitionId() << 40
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            h, i, x = (_column(table, c).to_numpy(zero_copy_only=False) for c in ("__h", "__i", "value"))
+            by = np.lexsort((x, i, h))
+            h, i, x = h[by], i[by], x[by]
+            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])])
+            stop = np.r_[start[1:], len(x)]
+            group = np.repeat(np.arange(len(start)), stop - start)
+            where, means, weights = cluster(x, np.ones(len(x)), group, delta)
+            inside = np.arange(len(x)) - start[group]
+            cut = np.flatnonzero(inside % PART == 0)
+            owner, m, k = group[cut], len(cut), len(start)
+            block = first_id + made + np.arange(k)
+            made += k
+            who = np.r_[by[start], by[start][owner]]
+            offsets = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            digest = offsets(np.bincount(where, minlength=k))
+            none = pa.nulls(m, pa.list_(pa.float64()))
+            wide = lambda a, kind: pa.concat_arrays([pa.array(a), pa.nulls(m, kind)])
+            columns = {c: _column(table, c).take(pa.array(who)) for c in keys}
+            columns |= {
+                "block": pa.array(np.r_[block, block[owner]]), "n": wide(stop - start, pa.int64()), "least": wide(x[start], pa.float64()), "most": wide(x[stop - 1], pa.float64()),
+                "means": pa.concat_arrays([pa.ListArray.from_arrays(digest, pa.array(means)), none]), "weights": pa.concat_arrays([pa.ListArray.from_arrays(digest, pa.array(weights)), none]),
+                "part": pa.concat_arrays([pa.nulls(k, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.r_[cut, len(x)].astype(np.int32)), pa.array(x))]),
+            }
+            yield from pa.table(columns).to_batches(max_chunksize=5_000)
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= SLICE:
+                yield from blocks(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from blocks(pa.Table.from_batches(held))
+
+    return v.mapInArrow(make, schema)
+
+
+def count_below(blocks: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys..., b0.., u0..): for each key the values below and up to each of its ``width`` cuts (keys..., cuts).
+
+    The cuts go to the blocks, not the values to the cuts: the list of blocks, one
+    row each, meets the cuts of its key, and the values then meet the cuts of
+    their block.  No key, however large, is brought together.
+    """
+    same = lambda a, b: [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys]
+    listed = blocks.where("means is not null").select(*keys, "block")
+    marks = listed.alias("l").join(cuts.alias("c"), same("l", "c")).select(*[F.col(f"l.`{k}`").alias(k) for k in keys], "l.block", "c.cuts")
+    parts = blocks.where("part is not null").select("block", "part").join(marks, "block").select(*keys, "part", "cuts")
+    names = [*(f"b{j}" for j in range(width)), *(f"u{j}" for j in range(width))]
+    kinds = dict(parts.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} bigint" for c in names)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("part")
+            x, at = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            c = b.column("cuts").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            found = np.empty((len(c), 2 * width), np.int64)
+            for r in range(len(c)):
+                v = x[at[r] : at[r + 1]]
+                found[r, :width], found[r, width:] = v.searchsorted(c[r]), v.searchsorted(c[r], "right")
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(np.ascontiguousarray(found[:, j])) for j in range(2 * width))], names=[*keys, *names])
+
+    return parts.mapInArrow(count, schema).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def certify(read: DataFrame, tally: DataFrame, keys: list[str], percentiles: tuple[float, ...] = PERCENTILES, first: int = 0) -> DataFrame:
     """(keys..., n, percentile, estimate, bound, rank_error): the estimates of ``read`` with their exact rank error.
 
-    One pass over ``values`` counts for each group the values below and up to each
-    estimate; the counts are combined before the shuffle.  ``rank_error`` is the
-    distance, as a share of n, from the wanted rank to the nearest rank that the
-    estimate has among the values (0 where ties cover it).
+    ``tally`` counts for each key the values below (``b``) and up to (``u``) each
+    estimate, whose columns begin at ``first``.  ``rank_error`` is the distance, as
+    a share of n, from the wanted rank to the nearest rank that the estimate has
+    among the values (0 where ties cover it).
     """
-    cuts = read.select(*keys, *[F.get("estimates", F.lit(j)).alias(f"__c{j}") for j in range(len(percentiles))])
-    v = _counted(values, keys)
-    joined = v.alias("v").join(broadcast_if_small(cuts).alias("c"), [F.col(f"v.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in keys])
-    x = F.col("v.value")
-    tally = joined.groupBy(*[F.col(f"v.`{k}`").alias(k) for k in keys]).agg(
-        *[F.sum((x < F.col(f"__c{j}")).cast("long")).alias(f"__b{j}") for j in range(len(percentiles))],
-        *[F.sum((x <= F.col(f"__c{j}")).cast("long")).alias(f"__u{j}") for j in range(len(percentiles))],
-    )
     both = read.alias("r").join(tally.alias("t"), [F.col(f"r.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys])
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.get("r.estimates", F.lit(j)).alias("e"), F.get("r.bounds", F.lit(j)).alias("b"), F.col(f"__b{j}").alias("below"), F.col(f"__u{j}").alias("upto")) for j, p in enumerate(percentiles)]))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.get("r.estimates", F.lit(j)).alias("e"), F.get("r.bounds", F.lit(j)).alias("b"), F.col(f"b{first + j}").alias("below"), F.col(f"u{first + j}").alias("upto")) for j, p in enumerate(percentiles)]))
     out = both.select(*[F.col(f"r.`{k}`").alias(k) for k in keys], F.col("r.n").alias("n"), each.alias("x"))
     wanted = F.col("x.p") * F.col("n")
     off = F.greatest(F.col("x.below") - wanted, wanted - F.col("x.upto"), F.lit(0.0)) / F.col("n")
@@ -221,43 +302,51 @@ def certified_percentiles(values: DataFrame, keys: list[str], percentiles: tuple
     rows; a NULL key is a group of its own; every row of ``values`` is a value of
     its own; an empty table gives an empty result; extra columns are ignored.
     """
-    digests = merge_digests(build_digests(values, keys, delta), keys, delta)
-    return certify(values, materialise(read_percentiles(digests, keys, percentiles), "percentiles"), keys, percentiles)
+    blocks = materialise(sorted_blocks(values, keys, delta), "sorted-blocks")
+    read = materialise(read_percentiles(merge_digests(blocks.where("means is not null"), keys, delta), keys, percentiles), "percentiles")
+    return certify(read, count_below(blocks, read.select(*keys, F.col("estimates").alias("cuts")), keys, len(percentiles)), keys, percentiles)
 
 
 def distinct_readings(samples: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., value): each stored reading once, though delivered several times.
+    """(keep..., value): each stored reading with a finite value once, though delivered several times.
 
     Compared within blocks of stored samples, so that a hot channel is spread.
     """
-    key = ["file", "channel_id", F.expr(f"sample_index div {BLOCK}")]
     x = F.col("value")
-    s = columns_named(samples, *dict.fromkeys([*keep, "file", "channel_id", "sample_index", "value"])).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    s = s.withColumns({"__h": F.xxhash64(*key), "__i": F.hash(*key)})
-    order = Window.partitionBy("__h", "__i").orderBy("sample_index")
-    return s.withColumn("__before", F.lag("sample_index").over(order)).where(~F.col("__before").eqNullSafe(F.col("sample_index")) | F.col("sample_index").isNull()).select(*keep, "value")
+    finite = samples.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return stored_once(columns_named(finite, *dict.fromkeys([*keep, "file", "channel_id", "sample_index", "value"]))).select(*keep, "value")
 
 
 def telemetry_percentiles(samples: DataFrame, days: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """(grouping, channel, file, day, n, percentile, estimate, bound, rank_error) for the three groupings of sample values.
 
-    Digests are built once, per file and channel; those of a channel and those of
-    a day of recording (``days``: file, day) come from merging them.  Recordings
-    whose day is unknown form the day NULL.  A reading delivered twice counts once.
+    Digests are built once, per block of file and channel; those of a channel and
+    those of a day of recording (``days``: file, day) come from merging them.  One
+    counting pass certifies all three: the cuts of a file and channel are its own,
+    those of its channel and those of its day, and the counts of a channel or day
+    are sums.  Recordings whose day is unknown form the day NULL.  A reading
+    delivered twice counts once.
     """
-    fine = ["file", "channel"]
-    values = materialise(distinct_readings(samples, *fine), "readings")
-    digests = materialise(merge_digests(build_digests(values, fine), fine), "digests")
+    fine, k = ["file", "channel"], len(percentiles)
+    blocks = materialise(sorted_blocks(distinct_readings(samples, *fine), fine), "sorted-blocks")
+    digests = materialise(merge_digests(blocks.where("means is not null"), fine), "digests")
     day = columns_named(days, "file", "day").where("file is not null").groupBy("file").agg(F.min("day").alias("day"))
-    by_day = digests.join(day, "file", "left")
-    none = F.lit(None).cast("string")
+    groupings = {"file_channel": (fine, digests), "channel": (["channel"], merge_digests(digests, ["channel"])), "day": (["day"], merge_digests(digests.join(day, "file", "left"), ["day"]))}
+    shown = lambda keys: [(F.col(c) if c in keys else F.lit(None)).cast("string").alias(c) for c in ("channel", "file", "day")]
+    reads = None
+    for name, (keys, d) in groupings.items():
+        r = read_percentiles(d, keys, percentiles).select(F.lit(name).alias("grouping"), *shown(keys), "n", "estimates", "bounds")
+        reads = r if reads is None else reads.unionByName(r)
+    reads = materialise(reads, "percentiles")
+    read = {name: reads.where(F.col("grouping") == name).select(*keys, "n", "estimates", "bounds") for name, (keys, _) in groupings.items()}
+    placed = read["file_channel"].select(*fine, F.col("estimates").alias("e1")).join(day, "file", "left").alias("f")
+    cuts = placed.join(read["channel"].alias("c"), F.col("f.channel").eqNullSafe(F.col("c.channel"))).join(read["day"].alias("d"), F.col("f.day").eqNullSafe(F.col("d.day")))
+    cuts = cuts.select("f.file", "f.channel", F.concat("f.e1", "c.estimates", "d.estimates").alias("cuts"))
+    tally = materialise(count_below(blocks, cuts, fine, 3 * k), "tallies")
     parts = []
-    for name, keys, d, v in (
-        ("file_channel", fine, digests, values),
-        ("channel", ["channel"], merge_digests(digests, ["channel"]), values),
-        ("day", ["day"], merge_digests(by_day, ["day"]), values.join(broadcast_if_small(day), "file", "left")),
-    ):
-        read = materialise(read_percentiles(d, keys, percentiles), f"percentiles-{name}")
-        out = certify(v, read, keys, percentiles)
-        parts.append(out.select(F.lit(name).alias("grouping"), *[(F.col(k) if k in keys else none).cast("string").alias(k) for k in ("channel", "file", "day")], "n", "percentile", "estimate", "bound", "rank_error"))
+    for at, (name, (keys, _)) in enumerate(groupings.items()):
+        t = tally.join(day, "file", "left") if "day" in keys else tally
+        t = t.groupBy(*keys).agg(*[F.sum(f"{c}{j}").alias(f"{c}{j}") for c in "bu" for j in range(at * k, at * k + k)])
+        out = certify(read[name], t, keys, percentiles, at * k)
+        parts.append(out.select(F.lit(name).alias("grouping"), *shown(keys), "n", "percentile", "estimate", "bound", "rank_error"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
