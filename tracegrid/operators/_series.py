@@ -22,8 +22,8 @@ def shifted(a: np.ndarray, g: np.ndarray, k: int) -> np.ndarray:
 
 
 def second_difference(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """|x - mean of both neighbours|; NaN at the ends of a group."""
-    return np.abs(x - 0.5 * (shifted(x, g, 1) + shifted(x, g, -1)))
+    """x less the mean of both neighbours; NaN at the ends of a group."""
+    return x - 0.5 * (shifted(x, g, 1) + shifted(x, g, -1))
 
 
 def _neighbour(n: int, g: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

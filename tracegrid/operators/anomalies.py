@@ -2,9 +2,9 @@
 
 One shuffle of the samples.  Readings are laid out in blocks of consecutive
 stored samples with a halo, so that no channel, however large, meets in one
-task; each block yields its quantile sketch and its suspicious rows, the
-sketches of a channel are merged, and only suspicious rows meet the merged
-fences.
+task; each block yields a quantile sketch for each hour it reaches into and its
+suspicious rows, the sketches of an hour and of a channel are merged across
+blocks, and only suspicious rows meet the merged fences.
 """
 
 from __future__ import annotations
@@ -18,22 +18,25 @@ from pyspark.sql import functions as F
 
 from tracegrid.operators._series import WIDEST, excursions, group_quantiles, runs, second_difference, shifted
 from tracegrid.operators.unit_resolution import resolve_units
-from tracegrid.runtime import columns_named, materialise
+from tracegrid.runtime import columns_named, materialise, spread
 
 BLOCK = 1 << 14
 HALO = 16
 HOUR_NS = 3_600_000_000_000
 #: Shortest run of one value that counts as stuck.
 STUCK = 8
-#: Fences in half interquartile ranges of the local deviation, times SIGMA.
+#: Fences in half interquartile ranges of the local deviation, times SIGMA.  A deviation from the mean of two
+#: neighbours scatters by sqrt(1.5) standard deviations and half the interquartile range of a normal variable is
+#: 0.674 of them, so SIGMA of these make one.  The outer fence is nine, or 5 interquartile ranges beyond a
+#: quartile; that of channels whose values lie on a lattice, where half ranges are whole grains, is lower.
 SIGMA = 1.21
 FENCE, LATTICE_FENCE, LATTICE_WIDE_FENCE = 9.0, 4.9, 3.0
 #: Share of changes between neighbouring samples from which on a channel "changes at nearly every sample".
 LIVELY = 0.85
 #: Samples outside the runs that are enough to tell; a channel of few samples needs but 30 % of them.
 OUTSIDE = 8
-#: Points of a block's quantile sketch.
-POINTS = 33
+#: Points of a block's quantile sketch, and classes of size for each factor of e in which points are merged.
+POINTS, CLASSES = 25, 50
 _BATCH_ROWS = 150_000
 
 OTHER, DISCRETE, RESTING = 0, 1, 2
@@ -42,7 +45,7 @@ STATS, LIMIT, SPIKE, RUN = 0, 1, 2, 3
 _HEAD = "struct<file:string,channel_id:bigint,block:bigint,scale:double,shift:double,low:double,high:double,kind:int>"
 _OUT = (
     "file string, channel_id bigint, block bigint, what int, lo bigint, hi bigint, measure double, spread double, lattice boolean, width int,"
-    " rest boolean, kind int, n bigint, moves bigint, changes bigint, held bigint, least double, most double, s_all double, s_moving double, weight bigint, points_all array<double>, points_moving array<double>"
+    " rest boolean, kind int, hour bigint, n bigint, moves bigint, changes bigint, held bigint, most double, s_all double, weight bigint, points array<double>"
 )
 
 _RESTING_NAMES = ("speed", "throttle", "brake", "pedal", "brk", "tps", "spd", "vcar", "vwhl", "rpm")
@@ -82,14 +85,14 @@ def _layout(samples: DataFrame, chunks: DataFrame, heads: DataFrame) -> DataFram
     )
     at = F.col("sample_index")
     own, inside = F.expr(f"sample_index div {BLOCK}"), F.pmod(at, F.lit(BLOCK))
-    spread = lambda df: df.withColumn(
+    haloed = lambda df: df.withColumn(
         "block",
         F.explode(F.when((inside < HALO) & (own > 0), F.array(own, own - 1)).when(inside >= BLOCK - HALO, F.array(own, own + 1)).otherwise(F.array(own))),
     )
     none = F.lit(None)
-    rows = spread(s).select(*key("block"), at.alias("position"), F.lit(2).alias("mark"), "time_ns", "value", none.cast(_HEAD).alias("head"))
+    rows = haloed(s).select(*key("block"), at.alias("position"), F.lit(2).alias("mark"), "time_ns", "value", none.cast(_HEAD).alias("head"))
     starts = columns_named(chunks, "file", "channel_id", "sample_base").dropna().distinct().withColumnRenamed("sample_base", "sample_index")
-    marks = spread(starts).select(*key("block"), at.alias("position"), F.lit(1).alias("mark"), none.cast("long").alias("time_ns"), none.cast("double").alias("value"), none.cast(_HEAD).alias("head"))
+    marks = haloed(starts).select(*key("block"), at.alias("position"), F.lit(1).alias("mark"), none.cast("long").alias("time_ns"), none.cast("double").alias("value"), none.cast(_HEAD).alias("head"))
     blocks = s.groupBy("file", "channel_id", own.alias("block")).agg(F.count(F.lit(1)).alias("rows"))
     # A block that holds nothing but the halo of its neighbour needs no head: its rows are dropped.
     head = F.struct("file", "channel_id", "block", "scale", "shift", "low", "high", "kind").cast(_HEAD)
@@ -164,7 +167,8 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
     groups = group[-1] + 1
     spiky = np.zeros(len(x), bool)
     if len(c):
-        d = second_difference(cx, cg)
+        leaning = second_difference(cx, cg)
+        d = np.abs(leaning)
         hour = (ct // HOUR_NS).astype(np.int64)
         context = np.unique(np.stack([cg, hour]), axis=1, return_inverse=True)[1].ravel() if len(np.unique(hour)) > 1 else np.unique(cg, return_inverse=True)[1]
         n_context = context.max() + 1
@@ -201,7 +205,7 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
             k = np.flatnonzero(z > fence / 2)
             if len(k):
                 a, w = cand[k], width[k]
-                emit(SPIKE, cg[a], lo=cat[a], hi=cat[a + w - 1], measure=dev[k], spread=s_moving[context[a]], lattice=lat[a], width=w.astype(np.int32), s_all=s_all[context[a]])
+                emit(SPIKE, cg[a], lo=cat[a], hi=cat[a + w - 1], measure=dev[k], spread=s_moving[context[a]], lattice=lat[a], width=w.astype(np.int32), s_all=s_all[context[a]], hour=hour[a])
                 sure = z[k] > fence[k]
                 for j in range(WIDEST):
                     spiky[c[a[sure & (w > j)] + j]] = True
@@ -214,28 +218,21 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
         moves = np.bincount(context[outside], minlength=n_context)
         changes = np.bincount(context[outside & (step > 0)], minlength=n_context)
         in_run = np.bincount(context[mine & held[c]], minlength=n_context)
-        least, most = np.full(n_context, np.inf), np.full(n_context, -np.inf)
-        np.minimum.at(least, context[clean], cx[clean])
+        most = np.full(n_context, -np.inf)
         np.maximum.at(most, context[clean], cx[clean])
-        last_row = np.zeros(groups, np.int64)
-        np.maximum.at(last_row, cg, cat)
-        per_group = np.bincount(context_group, minlength=groups)
-        alone = (block == 0) & (last_row < BLOCK - 1) & (per_group == 1)
+        hour_of = np.zeros(n_context, np.int64)
+        hour_of[context] = hour
+        # Points at equal steps of rank of the deviations that are not 0, upwards and downwards; each stands for as many.
         ranks = (np.arange(POINTS) + 0.5) / POINTS
-        parts = ~alone[cg] & mine
-        sketch: dict = {}
-        for f, v in (("points_all", d), ("points_moving", moving)):
-            gs, count, qs = group_quantiles(np.where(parts, v, np.nan), context, ranks)
-            sketch[f] = dict(zip(gs.tolist(), qs.tolist(), strict=True))
-        # What a point of the moving sketch stands for; 0 where the context has no such deviation.
-        weight = dict(zip(gs.tolist(), count.tolist(), strict=True))
+        gs, count, qs = group_quantiles(np.where(mine & (d > 0), leaning, np.nan), context, ranks)
+        weight = np.zeros(n_context, np.int64)
+        weight[gs] = count
+        sketch = dict(zip(gs.tolist(), qs.tolist(), strict=True))
         ks = np.flatnonzero(n > 0)
         gk = context_group[ks]
         emit(
-            STATS, gk, n=n[ks], moves=moves[ks], changes=changes[ks], held=in_run[ks], least=np.where(np.isfinite(least[ks]), least[ks], np.nan), most=np.where(np.isfinite(most[ks]), most[ks], np.nan),
-            s_all=s_all[ks], s_moving=s_moving[ks], weight=[weight.get(k, 0) for k in ks.tolist()], kind=kind[gk].astype(np.int32),
-            points_all=[sketch["points_all"].get(k, [s_all[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
-            points_moving=[sketch["points_moving"].get(k, [s_moving[k]] if not alone[q] else None) for k, q in zip(ks.tolist(), gk, strict=True)],
+            STATS, gk, n=n[ks], moves=moves[ks], changes=changes[ks], held=in_run[ks], most=np.where(np.isfinite(most[ks]), most[ks], np.nan),
+            weight=weight[ks], points=[sketch.get(k) for k in ks.tolist()], kind=kind[gk].astype(np.int32), hour=hour_of[ks],
         )
 
     # Long runs, cut where the index jumps (a missing value) and to the block's own rows.
@@ -255,8 +252,8 @@ def _analyse(table: pa.Table, fields: list[str]) -> dict | None:
     return out
 
 
-def _block_analysis(layout: DataFrame) -> DataFrame:
-    """Runs ``_analyse`` over the laid-out rows, a bounded number of rows at a time."""
+def _block_analysis(layout: DataFrame, source: DataFrame) -> DataFrame:
+    """Runs ``_analyse`` over the laid-out rows of ``source``, a bounded number of rows at a time."""
     schema = layout.sparkSession.createDataFrame([], _OUT).schema
     fields = schema.names
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
@@ -285,10 +282,24 @@ def _block_analysis(layout: DataFrame) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    ordered = layout.repartition("h", "i").sortWithinPartitions("h", "i", "position", "mark")
+    ordered = spread(layout, source, "h", "i").sortWithinPartitions("h", "i", "position", "mark")
     return ordered.mapInArrow(run, schema)
 
 
+def merged_spreads(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., spread): half the interquartile range of the deviations of each key, from any number of sketches.
+
+    ``sketches``: keys, size (class of size and sign), weight, total.  The points
+    of all sketches meet in classes of size, at most 2 % wide, whose number is
+    bounded; their weights are summed where they are before anything is moved.
+    """
+    classes = sketches.groupBy(*keys, "size").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    upto = F.sum("weight").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = classes.select(*keys, "size", (F.col("total") / F.col("weight")).alias("mean"), upto.alias("upto"), F.sum("weight").over(Window.partitionBy(*keys)).alias("whole"))
+    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("whole"), F.struct("size", "mean")))["mean"]
+    return ranked.groupBy(*keys).agg(((quartile(3) - quartile(1)) / 2).alias("spread"))
+
+
 def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
     """(file, channel_id, sample_index, fault): the implausible stored samples with finite value.
 
@@ -299,9 +310,10 @@ def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit
     sample; speeds and pedals at rest on zero or on their end stop, channels of
     coarse resolution and discrete quantities excepted).  A sample may have several.
 
-    The fence of a sample is the larger of that of its channel and half that of
-    its context, an hour of the recording within a block of 16,384 stored samples;
-    the channel's comes from the merged sketches of its contexts.
+    The fence of a sample is the largest of that of its channel, half that of its
+    channel in this hour of the recording (both from sketches merged over all
+    blocks, whatever their number) and half that of its surroundings, the part of
+    the hour within its block of 16,384 stored samples.
 
     NULL, NaN and infinite values are no faults and do not interrupt a run; rows
     with a NULL key or time are left out; repeated rows count once; empty tables
@@ -309,27 +321,23 @@ def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit
     counts as one chunk, one without definition has no limits.
     """
     heads = channel_heads(channels, unit_defs, channel_rules, channel_limits)
-    found = materialise(_block_analysis(_layout(samples, chunks, heads)), "faults")
+    found = materialise(_block_analysis(_layout(samples, chunks, heads), samples), "faults")
     channel = ["file", "channel_id"]
     stats = found.where(F.col("what") == STATS)
-    # The median of the points, each counted as often as its context has deviations.
-    sketches = stats.where("points_moving is not null and weight > 0")
-    whole = sketches.groupBy(*channel).agg(F.sum(F.col("weight") * F.size("points_moving")).alias("whole"))
-    points = sketches.select(*channel, "weight", F.explode("points_moving").alias("point"))
-    upto = F.sum("weight").over(Window.partitionBy(*channel).orderBy("point").rowsBetween(Window.unboundedPreceding, 0))
-    merged = points.withColumn("upto", upto).join(whole, channel).where(2 * F.col("upto") >= F.col("whole")).groupBy(*channel).agg(F.min("point").alias("m_moving"))
-    total = stats.groupBy(*channel).agg(
-        *[F.sum(c).alias(c) for c in ("n", "moves", "changes", "held")],
-        F.max(F.nanvl("most", F.lit(None))).alias("most"), F.max("kind").alias("kind"), F.max("s_all").alias("s1_all"), F.max("s_moving").alias("s1_moving"),
-    )
-    fences = total.join(merged, channel, "left").select(
-        *channel, "most", F.col("kind").alias("channel_kind"),
-        F.coalesce("m_moving", "s1_moving").alias("channel_spread"),
+    point = F.explode("points").alias("point")
+    size = (F.signum("point") * (F.floor(F.log(F.abs("point")) * CLASSES) + 1000 * CLASSES)).cast("int").alias("size")
+    sketches = stats.where("points is not null").select(*channel, "hour", "weight", point).select(*channel, "hour", size, "weight", (F.col("weight") * F.col("point")).alias("total"))
+    hours = sketches.groupBy(*channel, "hour", "size").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    total = stats.groupBy(*channel).agg(*[F.sum(c).alias(c) for c in ("n", "moves", "changes", "held")], F.max(F.nanvl("most", F.lit(None))).alias("most"), F.max("kind").alias("kind"))
+    fences = total.join(merged_spreads(hours, channel), channel, "left").select(
+        *channel, "most", F.col("kind").alias("channel_kind"), F.coalesce("spread", F.lit(0.0)).alias("channel_spread"),
         ((F.col("changes") >= LIVELY * F.col("moves")) & (F.col("n") - F.col("held") >= F.least(F.lit(OUTSIDE), 0.3 * F.col("n")))).alias("lively"),
     )
-    events = found.where(F.col("what").isin(SPIKE, RUN)).select(*channel, "what", "lo", "hi", "measure", "spread", "lattice", "width", "rest", "s_all").join(fences, channel)
+    hourly = merged_spreads(hours, [*channel, "hour"]).withColumnRenamed("spread", "hour_spread")
+    events = found.where(F.col("what").isin(SPIKE, RUN)).select(*channel, "hour", "what", "lo", "hi", "measure", "spread", "lattice", "width", "rest", "s_all").join(fences, channel).join(hourly, [*channel, "hour"], "left")
     fence = F.when(F.col("lattice"), F.when((F.col("width") >= 2) & (F.col("s_all") == 0), LATTICE_WIDE_FENCE).otherwise(LATTICE_FENCE)).otherwise(FENCE)
-    spike = (F.col("what") == SPIKE) & (F.col("measure") > fence * SIGMA * F.greatest(F.col("channel_spread"), F.col("spread") / 2))
+    scatter = F.greatest("channel_spread", F.coalesce("hour_spread", F.lit(0.0)) / 2, F.col("spread") / 2)
+    spike = (F.col("what") == SPIKE) & (F.col("measure") > fence * SIGMA * scatter)
     at_stop = F.col("rest") | ((F.col("channel_kind") == RESTING) & (F.col("measure") >= F.col("most")))
     stuck = (F.col("what") == RUN) & F.col("lively") & ~at_stop
     judged = events.where(spike | stuck).select(*channel, "lo", "hi", F.when(F.col("what") == SPIKE, "spike").otherwise("stuck").alias("fault"))

@@ -74,6 +74,24 @@ def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Source bytes whose shuffled rows one task takes at most, about.
+BYTES_A_TASK = 256 << 20
+
+
+def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys``, in a number of partitions that follows the size of ``source``.
+
+    The session's number of shuffle partitions counts until the source, by the
+    statistics of its plan, is too large for it; then there are as many as it
+    takes.  A window or join on the keys needs no further shuffle.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-size // BYTES_A_TASK)
+    # A size that Spark cannot tell is said to be enormous.
+    return df.repartition(needed, *keys) if usual < needed < 1 << 20 else df.repartition(*keys)
+
+
 def columns_named(df: DataFrame, *names: str) -> DataFrame:
     """``df`` reduced to ``names``, so that extra columns cannot clash later on."""
     return df.select(*[F.col(f"`{n}`") for n in names])
