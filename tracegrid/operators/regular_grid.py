@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrid.runtime import columns_named, materialise
+from tracegrid.runtime import columns_named, materialise, spread
 
 #: Stored samples that are looked at together, and ticks written by one row of a long gap.
 BLOCK = 1 << 14
@@ -51,7 +51,7 @@ def _readings(samples: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every stored sample with its chunk and nearest tick; ``last`` marks the last one of a chunk in a block."""
     block = Window.partitionBy("h", "i")
     stored = block.orderBy("position", "mark")
-    r = _slots(samples, chunks).withColumns({"slot": F.last("slot", ignorenulls=True).over(stored.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("mark").over(stored), "next_position": F.lead("position").over(stored)})
+    r = spread(_slots(samples, chunks), samples, "h", "i").withColumns({"slot": F.last("slot", ignorenulls=True).over(stored.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("mark").over(stored), "next_position": F.lead("position").over(stored)})
     r = r.where((F.col("mark") == 1) & F.col("slot").isNotNull() & (F.col("position") < F.col("slot.upto")))
     whole = F.coalesce(F.col("slot.period").cast("decimal(20,6)"), F.when(F.col("frequency_hz") > 0, (F.lit(1e9) / F.col("frequency_hz")).cast("decimal(20,6)")))
     exact = F.col("slot.period")
@@ -63,24 +63,11 @@ def _readings(samples: DataFrame, chunks: DataFrame) -> DataFrame:
     return r.select("h", "i", "slot", "position", "time_ns", "value", tick.cast("bigint").alias("tick"), whole.alias("period"), (F.col("next").isNull() | (F.col("next") == 0) | (F.col("next_position") >= F.col("slot.upto"))).alias("last")).where("tick is not null")
 
 
-def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_LIMIT) -> DataFrame:
-    """(file, channel_id, chunk_index, tick, time_ns, value, state): one row per tick of each chunk.
+def _paired(samples: DataFrame, chunks: DataFrame, every: bool) -> DataFrame:
+    """Finite readings with the one after them in their block and chunk, and the last stored sample of each.
 
-    Tick k of a chunk lies at ``time_base_ns + k * period``, from 0 to the tick
-    nearest to the chunk's last stored sample; the period is sample_period_ns or,
-    where that is NULL or 0, 1e9 / frequency_hz.  A finite reading covers its
-    nearest tick (the later one if it lies midway; the nearest reading gives the
-    value).  ``state`` is ``reading``, or ``filled`` for a tick in a gap of at most
-    ``fill_limit`` ticks between two readings (value on the line between them), or
-    ``missing`` (value NULL) in longer gaps and before the first or after the last
-    reading.
-
-    Consecutive readings are paired with lead; only the ticks between them are
-    generated.  Windows cover blocks of 16,384 stored samples; pairs across blocks
-    come from one row per block and chunk.  Times are taken not to fall from one
-    block to the next.  Rows with a NULL key or time are left out, repeated rows
-    count once, a chunk without stored samples or without a period has no ticks,
-    empty tables give an empty result, extra columns are ignored.
+    With ``every`` also ``nearer``, the place of a reading among those of its tick
+    (1 is the one whose value counts), and ``local_end``, the tick of the last row.
     """
     r = _readings(samples, chunks).withColumn("finite", _finite(F.col("value")))
     near = Window.partitionBy("h", "i", "slot.chunk_index")
@@ -97,11 +84,58 @@ def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_L
     # At most one row of a block and chunk, its last, is not finite.
     follow = F.when(F.col("n1.finite") == F.lit(False), F.col("n2")).otherwise(F.col("n1"))
     kept = kept.withColumn("next", F.when(F.col("finite"), follow))
+    slot = [F.col(f"slot.{f}").alias(f) for f in ("file", "channel_id", "chunk_index", "base", "block")]
+    shown = [*slot, "period", "position", "tick", "time_ns", "value", "finite", "last", "first_cover", "last_cover", "next"]
+    if every:
+        off = F.abs(F.col("time_ns") - F.col("slot.base") - F.round(F.col("tick") * F.col("period"), 0))
+        kept = kept.withColumn("off", off).withColumns({"nearer": F.row_number().over(Window.partitionBy("h", "i", "slot.chunk_index", "tick").orderBy(F.col("finite").desc(), "off", "position")), "local_end": F.max(F.when(F.col("last"), F.col("tick"))).over(near)})
+        shown += ["off", "nearer", "local_end"]
+    return kept.select(*shown)
+
+
+def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_LIMIT) -> DataFrame:
+    """(file, channel_id, chunk_index, tick, time_ns, value, state): one row per tick of each chunk.
+
+    Tick k of a chunk lies at ``time_base_ns + k * period``, from 0 to the tick
+    nearest to the chunk's last stored sample; the period is sample_period_ns or,
+    where that is NULL or 0, 1e9 / frequency_hz.  A finite reading covers its
+    nearest tick (the later one if it lies midway; the nearest reading gives the
+    value).  ``state`` is ``reading``, or ``filled`` for a tick in a gap of at most
+    ``fill_limit`` ticks between two readings (value on the line between them), or
+    ``missing`` (value NULL) in longer gaps and before the first or after the last
+    reading.
+
+    Consecutive readings are paired with lead; only the ticks between them are
+    generated.  Windows cover blocks of 16,384 stored samples; what crosses blocks
+    comes from one row per block and chunk, and only the outermost ticks of a block
+    can be covered from two.  Times are taken not to fall from one block to the
+    next.  Rows with a NULL key or time are left out, repeated rows count once, a
+    chunk without stored samples or without a period has no ticks, empty tables
+    give an empty result, extra columns are ignored.
+    """
+    kept = materialise(_paired(samples, chunks, True), "paired")
+    open_ticks, tail = _open_ticks(kept, fill_limit)
+    chunk = ["file", "channel_id", "chunk_index"]
+    best = kept.where("finite and tick >= 0 and nearer = 1").withColumn("t", _at(F.col("tick")))
+    # A tick inside the block lies before the chunk's last stored sample and is covered from nowhere else.
+    clear = (F.col("tick") > F.col("first_cover")) & (F.col("tick") < F.col("last_cover")) & (F.col("tick") <= F.col("local_end"))
+    inside = best.where(clear).select(*chunk, "tick", F.col("t").alias("time_ns"), "value", F.lit("reading").alias("state"))
+    ends = tail.select(*chunk, (F.col("after") - 1).alias("end_tick"))
+    outer = best.where(~F.coalesce(clear, F.lit(False))).groupBy(*chunk, "tick").agg(F.min(F.struct("off", "position", "value", "t")).alias("best")).join(ends, chunk).where("tick <= end_tick")
+    return inside.unionByName(outer.select(*chunk, "tick", F.col("best.t").alias("time_ns"), F.col("best.value").alias("value"), F.lit("reading").alias("state"))).unionByName(open_ticks)
+
+
+def _at(tick: Column) -> Column:
+    """The time of a tick."""
+    return (F.col("base") + F.round(tick * F.col("period"), 0)).cast("bigint")
+
+
+def _open_ticks(kept: DataFrame, fill_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The ticks that no reading covers, filled or missing, and one row per chunk with the tick after its ``after`` - 1st, the last."""
     edge = (F.col("finite") & ((F.col("tick") == F.col("first_cover")) | (F.col("tick") == F.col("last_cover")))) | F.col("last")
     gap = F.col("next.finite") & (F.col("next.tick") - F.col("tick") > 1)
-    slot = [F.col(f"slot.{f}").alias(f) for f in ("file", "channel_id", "chunk_index", "base", "block")]
     spare = kept.where(edge | F.coalesce(gap, F.lit(False))).select(
-        *slot, "period", "position", "tick", "finite", "last", "value", "first_cover", "last_cover", F.when(gap, F.col("next.tick")).alias("next_tick"), F.when(gap, F.col("next.value")).alias("next_value")
+        "file", "channel_id", "chunk_index", "base", "block", "period", "position", "tick", "finite", "last", "value", "first_cover", "last_cover", F.when(gap, F.col("next.tick")).alias("next_tick"), F.when(gap, F.col("next.value")).alias("next_value")
     )
     spare = materialise(spare, "gaps")
     chunk = ["file", "channel_id", "chunk_index"]
@@ -128,22 +162,9 @@ def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_L
     ticks = pieces.withColumn("tick", F.explode(F.sequence("from", F.least(F.col("from") + PIECE - 1, F.col("after") - 1))))
     fill = (F.col("after") - F.col("before") - 1 <= fill_limit) & F.col("left").isNotNull() & F.col("right").isNotNull()
     line = F.col("left") + (F.col("right") - F.col("left")) * ((F.col("tick") - F.col("before")) / (F.col("after") - F.col("before")))
-    at = lambda t: (F.col("base") + F.round(t * F.col("period"), 0)).cast("bigint")
-    open_ticks = ticks.select(*chunk, "tick", at(F.col("tick")).alias("time_ns"), F.when(fill, line).alias("value"), F.when(fill, "filled").otherwise("missing").alias("state"))
-    ends = tail.select(*chunk, (F.col("after") - 1).alias("end_tick"))
-    distance = F.abs(F.col("time_ns") - at(F.col("tick")))
-    covered = (
-        r.where("finite and tick >= 0")
-        .select(*slot, "tick", "time_ns", "value", "position", "period")
-        .groupBy(*chunk, "tick")
-        .agg(F.min(F.struct(distance.alias("d"), "position", "value", at(F.col("tick")).alias("t"))).alias("best"))
-        .join(ends, chunk)
-        .where("tick <= end_tick")
-        .select(*chunk, "tick", F.col("best.t").alias("time_ns"), F.col("best.value").alias("value"), F.lit("reading").alias("state"))
-    )
-    return covered.unionByName(open_ticks)
+    return ticks.select(*chunk, "tick", _at(F.col("tick")).alias("time_ns"), F.when(fill, line).alias("value"), F.when(fill, "filled").otherwise("missing").alias("state")), tail
 
 
 def uncovered_ticks(samples: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file, channel_id, chunk_index, tick): ticks of ``regular_grid`` that no finite reading covers."""
-    return regular_grid(samples, chunks).where("state <> 'reading'").select("file", "channel_id", "chunk_index", "tick").distinct()
+    """(file, channel_id, chunk_index, tick): the ticks of ``regular_grid`` that no finite reading covers, without the readings."""
+    return _open_ticks(_paired(samples, chunks, False), FILL_LIMIT)[0].select("file", "channel_id", "chunk_index", "tick").distinct()
