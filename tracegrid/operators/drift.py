@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.operators.unit_resolution import resolve_units
-from tracegrid.runtime import columns_named, materialise
+from tracegrid.runtime import broadcast_if_small, columns_named, materialise
 
 #: file_seq values that share a task when the files of one logger are put in order.
 SEQ_BLOCK = 4096
@@ -158,24 +161,106 @@ def _columns(layout: DataFrame, order: DataFrame) -> DataFrame:
     return chained.join(names.select("logger_id", "first", "column_name"), ["logger_id", "first"]).select("logger_id", "file", "channel_id", "column_name")
 
 
+#: Storage types by kind and bits; the common type of several is the narrowest that holds every value of each.
+TYPES = {"uint8": ("u", 8), "int8": ("i", 8), "uint16": ("u", 16), "int16": ("i", 16), "uint32": ("u", 32), "int32": ("i", 32), "float32": ("f", 24), "float64": ("f", 53)}
+_SIGNED, _EXACT = ((8, "int8"), (16, "int16"), (32, "int32")), ((24, "float32"), (53, "float64"))
+
+
+def common_type(types: list[str]) -> str:
+    """The narrowest storage type that holds every value of all ``types``; float64 if one is unknown."""
+    if len(set(types)) == 1:
+        return types[0]
+    if not set(types) <= set(TYPES):
+        return "float64"
+    kinds = [TYPES[t] for t in types]
+    # Bits of an integer type without sign, of one with it, and of a float (its whole numbers).
+    if all(k == "u" for k, _ in kinds):
+        return f"uint{max(b for _, b in kinds)}"
+    if all(k != "f" for k, _ in kinds):
+        needed = max(b if k == "i" else b + 1 for k, b in kinds)
+        return next((name for bits, name in _SIGNED if bits >= needed), "float64")
+    needed = max(b - 1 if k == "i" else b for k, b in kinds)
+    return next(name for bits, name in _EXACT if bits >= needed)
+
+
+def _common(types: Column) -> Column:
+    """``common_type`` of a sorted array of type names, by a constant table over all sets of known types."""
+    names = sorted(TYPES)
+    table = {",".join(c): common_type(list(c)) for n in range(1, len(names) + 1) for c in combinations(names, n)}
+    book = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    return F.when(F.size(types) == 1, types[0]).otherwise(F.coalesce(F.try_element_at(book, F.array_join(types, ",")), F.lit("float64")))
+
+
+def versions(layout: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((logger_id, file, version), (logger_id, version, since)): the distinct layouts of each logger, numbered by first use."""
+    prints = fingerprints(layout).join(order, "file")
+    first = prints.groupBy("logger_id", "fingerprint").agg(F.min("file_seq").alias("since"))
+    numbered = first.withColumn("version", F.row_number().over(Window.partitionBy("logger_id").orderBy("since", "fingerprint")))
+    return prints.join(numbered, ["logger_id", "fingerprint"]).select("logger_id", "file", "version"), numbered.select("logger_id", "version", "since")
+
+
+def migration_steps(channels: DataFrame, source_files: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
+    """(logger_id, from_version, to_version, column_name, step, old, new, files): what leads from one layout of a logger to the next.
+
+    One row per change that the files with this pair of versions, one after the
+    other, have in common: ``rename``, ``cast`` (data_type), ``default``
+    (unit_source), ``add`` or ``drop``; ``column_name`` is the column of
+    ``consistent_channels``, ``files`` counts where the step was taken.
+    """
+    layout = materialise(layouts(channels, unit_defs, channel_rules, channel_limits), "layouts")
+    order = materialise(_previous_file(source_files), "file-order")
+    numbers, _ = versions(layout, order)
+    numbers = materialise(numbers, "versions")
+    of = lambda file, name: numbers.select("logger_id", F.col("file").alias(file), F.col("version").alias(name))
+    changes = layout_changes(channels, source_files, unit_defs, channel_rules, channel_limits)
+    # A channel that is gone has its column in the file before.
+    place = F.when(F.col("change") == "removed", F.col("previous")).otherwise(F.col("file"))
+    named = changes.withColumn("place", place).join(_columns(layout, order).select("logger_id", F.col("file").alias("place"), "channel_id", "column_name"), ["logger_id", "place", "channel_id"])
+    named = named.join(of("file", "to_version"), ["logger_id", "file"], "left").join(of("previous", "from_version"), ["logger_id", "previous"], "left")
+    steps = {"renamed": "rename", "retyped": "cast", "unit_source": "default", "added": "add", "removed": "drop"}
+    step = F.try_element_at(F.create_map(*[F.lit(x) for kv in steps.items() for x in kv]), F.col("change"))
+    return named.groupBy("logger_id", "from_version", "to_version", "column_name", step.alias("step"), "old", "new").agg(F.count_distinct("file").alias("files"))
+
+
 def consistent_channels(channels: DataFrame, source_files: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
     """One consistent table over all files, each definition routed through rename, default and cast rules.
 
     (logger_id, file, channel_id, column_name, name, data_type, common_type,
-    unit_source, version): ``column_name`` is the base name the channel
-    had first, carried through every later rename, ``common_type`` the type that
-    holds every type of the column over the logger's files (float64 over mixed
-    kinds, the widest of one kind otherwise), ``unit_source`` defaults to
-    ``unknown``, ``version`` numbers the logger's distinct layouts by first use.
+    unit_source, version): ``column_name`` is the base name the channel had
+    first, carried through every later rename, ``common_type`` the narrowest type
+    that holds every value of the types the column has over the logger's files,
+    ``unit_source`` defaults to ``unknown``, ``version`` numbers the logger's
+    distinct layouts by first use.
+
+    A NULL data_type does not count towards the common type; a column of no other
+    is float64.  Files with a NULL logger_id or file_seq and definitions with a
+    NULL key are left out; repeated rows count once; empty tables give an empty
+    result.
     """
     layout = materialise(layouts(channels, unit_defs, channel_rules, channel_limits), "layouts")
     order = materialise(_previous_file(source_files), "file-order")
-    prints = fingerprints(layout).join(order, "file")
-    first = prints.groupBy("logger_id", "fingerprint").agg(F.min("file_seq").alias("since"))
-    versions = first.withColumn("version", F.row_number().over(Window.partitionBy("logger_id").orderBy("since", "fingerprint")))
-    prints = prints.join(versions, ["logger_id", "fingerprint"]).select("logger_id", "file", "version")
-    rank = F.create_map(*[F.lit(x) for k, v in (("uint8", 1), ("int16", 2), ("uint16", 3), ("int32", 4), ("uint32", 5), ("float32", 6), ("float64", 7)) for x in (k, v)])
-    rows = layout.join(prints, "file").join(_columns(layout, order), ["logger_id", "file", "channel_id"])
-    kinds = rows.groupBy("logger_id", "column_name").agg(F.max(F.struct(F.coalesce(F.try_element_at(rank, F.col("data_type")), F.lit(7)).alias("r"), "data_type")).alias("widest"), F.count_distinct(F.col("data_type").startswith("float")).alias("families"))
-    kinds = kinds.select("logger_id", "column_name", F.when(F.col("families") > 1, "float64").otherwise(F.col("widest.data_type")).alias("common_type"))
+    numbers, _ = versions(layout, order)
+    rows = layout.join(numbers, "file").join(_columns(layout, order), ["logger_id", "file", "channel_id"])
+    # A column has as many types as the storage formats know.
+    kinds = rows.groupBy("logger_id", "column_name").agg(F.array_sort(F.collect_set("data_type")).alias("types"))
+    kinds = kinds.select("logger_id", "column_name", F.when(F.size("types") == 0, "float64").otherwise(_common(F.col("types"))).alias("common_type"))
     return rows.join(kinds, ["logger_id", "column_name"]).select("logger_id", "file", "channel_id", "column_name", "name", "data_type", "common_type", F.coalesce(F.nullif("unit_source", F.lit("")), F.lit("unknown")).alias("unit_source"), "version")
+
+
+def consistent_samples(samples: DataFrame, consistent: DataFrame) -> DataFrame:
+    """(logger_id, file, column_name, sample_index, time_ns, value): samples under the columns of ``consistent_channels``, cast to their types.
+
+    A value that the common type cannot hold (whole numbers only, or single
+    precision) is rounded to it, one beyond its range is NULL; samples of
+    definitions that the table lacks are left out.  The definitions are broadcast
+    only if counted small, else both sides are shuffled by file and channel.
+    """
+    c = consistent.select("logger_id", "file", "channel_id", "column_name", "common_type").distinct()
+    s = columns_named(samples, "file", "channel_id", "sample_index", "time_ns", "value")
+    x, kind = F.col("value"), F.col("common_type")
+    bits = F.regexp_extract(kind, r"(\d+)$", 1).try_cast("int")
+    whole = F.round(x, 0)
+    low = F.when(kind.startswith("u"), F.lit(0.0)).otherwise(-F.pow(F.lit(2.0), bits - 1))
+    high = F.when(kind.startswith("u"), F.pow(F.lit(2.0), bits)).otherwise(F.pow(F.lit(2.0), bits - 1)) - 1
+    cast = F.when(kind == "float32", x.cast("float").cast("double")).when(kind.rlike("^u?int"), F.when(whole.between(low, high), whole)).otherwise(x)
+    return s.join(broadcast_if_small(c), ["file", "channel_id"]).select("logger_id", "file", "column_name", "sample_index", "time_ns", cast.alias("value"))

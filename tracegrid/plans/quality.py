@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracegrid.operators.anomalies import find_faults
-from tracegrid.operators.drift import consistent_channels, layout_changes
+from tracegrid.operators.drift import consistent_channels, layout_changes, migration_steps
 from tracegrid.operators.instants import normalise_instants
-from tracegrid.operators.regular_grid import uncovered_ticks
+from tracegrid.operators.regular_grid import regular_grid, uncovered_ticks
 from tracegrid.operators.unit_links import link_units
 from tracegrid.operators.unit_resolution import base_unit_profile, recorded_units
 from tracegrid.sources.tables import table
@@ -38,7 +38,7 @@ def p4_base_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
-    return link_units(*_tables(spark, d, "telemetry_samples", "channels", "source_files", *REFERENCE)).select("file", "channel_id", "unit", "dimension", "misfit")
+    return link_units(*_tables(spark, d, "telemetry_samples", "channels", "source_files", *REFERENCE)).select("file", "channel_id", "unit", "dimension", "step", "misfit")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,12 +49,20 @@ def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     return consistent_channels(*_tables(spark, d, "channels", "source_files", *REFERENCE))
 
 
+def p5_migrations(spark: SparkSession, d: str) -> DataFrame:
+    return migration_steps(*_tables(spark, d, "channels", "source_files", *REFERENCE))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return uncovered_ticks(*_tables(spark, d, "telemetry_samples", "chunks"))
 
 
+def p6_series(spark: SparkSession, d: str) -> DataFrame:
+    return regular_grid(*_tables(spark, d, "telemetry_samples", "chunks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p4_found, p4_base_units, p4_links, p5_found, p5_consistent, p6_found)
+    f.__name__: f for f in (p1_found, p3_found, p4_found, p4_base_units, p4_links, p5_found, p5_consistent, p5_migrations, p6_found, p6_series)
 }
 
 SQL: dict[str, str] = {
