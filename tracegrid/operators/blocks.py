@@ -36,3 +36,53 @@ def stored_once(samples: DataFrame) -> DataFrame:
     order = Window.partitionBy("__h", "__i").orderBy("sample_index")
     s = samples.withColumns({"__h": F.xxhash64(*key), "__i": F.hash(*key)}).withColumn("__before", F.lag("sample_index").over(order))
     return s.where(~F.col("__before").eqNullSafe(F.col("sample_index")) | F.col("sample_index").isNull()).drop("__h", "__i", "__before")
+
+
+def along(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, before: list[str] | None = None, after: list[str] | None = None, number: str | None = None,
+    latest: dict[str, Column] | None = None, upcoming: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``df`` plus what each row takes from its series (``keys``, in ``order``) around it.
+
+    ``before`` and ``after``: a struct of these columns of the row before or after
+    (NULL at the ends); ``number``: the place of the row, from 1; ``latest`` and
+    ``upcoming``: the last value that is not NULL up to the row, the first from it
+    on; ``sums``: running sums up to the row.
+
+    ``block`` must not fall along ``order``.  Windows cover a block; a table with
+    one row per block carries the rest, and meets the rows in a join on the keys
+    by which the windows have placed them.  Rows with a NULL key are left out.
+    """
+    latest, upcoming, sums = latest or {}, upcoming or {}, sums or {}
+    values = {f"__v{i}": c for i, c in enumerate([*latest.values(), *upcoming.values(), *sums.values()])}
+    of = dict(zip([*latest, *upcoming, *sums], values, strict=True))
+    d = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumns({"__b": block, **values})
+    place, whole = F.struct(*order), [*keys, "__b"]
+    inside = Window.partitionBy(*whole).orderBy(*order)
+    upto, onwards = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*whole).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("__b")
+    earlier, later = across.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    row, block_row, carried, made = {}, {}, {}, {}
+    if before:
+        row["__p"], block_row["__last"], carried["__cp"] = F.lag(F.struct(*before)).over(inside), F.max_by(F.struct(*before), place), F.lag("__last").over(across)
+        made["before"] = F.coalesce("__p", "__cp")
+    if after:
+        row["__n"], block_row["__first"], carried["__cn"] = F.lead(F.struct(*after)).over(inside), F.min_by(F.struct(*after), place), F.lead("__first").over(across)
+        made["after"] = F.coalesce("__n", "__cn")
+    if number:
+        row["__i"], block_row["__k"], carried["__ck"] = F.row_number().over(inside), F.count(F.lit(1)), F.sum("__k").over(earlier)
+        made[number] = F.coalesce("__ck", F.lit(0)) + F.col("__i")
+    for name in latest:
+        v = of[name]
+        row[f"{v}w"], block_row[f"{v}e"], carried[f"{v}c"] = F.last(v, ignorenulls=True).over(upto), F.max_by(v, F.when(F.col(v).isNotNull(), place)), F.last(f"{v}e", ignorenulls=True).over(earlier)
+        made[name] = F.coalesce(f"{v}w", f"{v}c")
+    for name in upcoming:
+        v = of[name]
+        row[f"{v}w"], block_row[f"{v}e"], carried[f"{v}c"] = F.last(v, ignorenulls=True).over(onwards), F.min_by(v, F.when(F.col(v).isNotNull(), place)), F.last(f"{v}e", ignorenulls=True).over(later)
+        made[name] = F.coalesce(f"{v}w", f"{v}c")
+    for name in sums:
+        v = of[name]
+        row[f"{v}w"], block_row[f"{v}e"], carried[f"{v}c"] = F.sum(v).over(upto), F.sum(v), F.sum(f"{v}e").over(earlier)
+        made[name] = F.coalesce(f"{v}w", F.lit(0)) + F.coalesce(f"{v}c", F.lit(0))
+    table = d.groupBy(*whole).agg(*[c.alias(n) for n, c in block_row.items()]).withColumns(carried).select(*whole, *carried)
+    return d.withColumns(row).join(table, whole).select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])

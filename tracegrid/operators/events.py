@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.model import finite, normalised, round_half_away
+from tracegrid.operators.blocks import along, time_block
 
 SECOND = 1_000_000_000
 #: Normalised channel names by meaning.
@@ -24,44 +25,47 @@ def semantic_channel(channels: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return c.groupBy("file").agg(F.min(F.struct("channel_id", "name")).alias("c")).select("file", "c.channel_id", "c.name")
 
 
+def _runs(samples: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """``integer_runs`` plus ``more``: whether another run follows."""
+    s = samples.where(finite(F.col("value"))).select(*keys, "time_ns", "duration_ns", round_half_away(F.col("value")).alias("v"))
+    fresh = along(s, list(keys), ["time_ns"], time_block(), before=["v"]).where(~F.col("v").eqNullSafe(F.col("before.v"))).drop("before")
+    r = along(fresh, list(keys), ["time_ns"], time_block(), after=["time_ns"], number="run")
+    return r.select(*keys, (F.col("run") - 1).cast("bigint").alias("run"), F.col("v").alias("value"), F.col("time_ns").alias("start_ns"), F.coalesce("after.time_ns", F.greatest("duration_ns", "time_ns")).alias("end_ns"), F.col("after").isNotNull().alias("more"))
+
+
 def integer_runs(samples: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keys, run, value, start_ns, end_ns): stretches of one rounded value; samples that are not finite do not count.
 
     A run ends where the next one starts, the last one at ``duration_ns`` (or its
     own start if that is later).
     """
-    order = Window.partitionBy(*keys).orderBy("time_ns")
-    s = samples.where(finite(F.col("value"))).select(*keys, "time_ns", "duration_ns", round_half_away(F.col("value")).alias("v"))
-    s = s.withColumn("fresh", (~F.col("v").eqNullSafe(F.lag("v").over(order))).cast("int")).where("fresh = 1")
-    return s.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("run"), F.col("v").alias("value"), F.col("time_ns").alias("start_ns"), F.coalesce(F.lead("time_ns").over(order), F.greatest("duration_ns", "time_ns")).alias("end_ns"))
+    return _runs(samples, keys).drop("more")
 
 
 def transitions(samples: DataFrame, keys: tuple[str, ...] = ("file", "channel")) -> DataFrame:
     """(keys, time_ns, before, after): where a discrete channel changes its value; the first sample counts."""
-    order = Window.partitionBy(*keys).orderBy("time_ns")
-    return samples.select(*keys, "time_ns", F.lag("value").over(order).alias("before"), F.col("value").alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
+    s = along(samples.select(*keys, "time_ns", "value"), list(keys), ["time_ns"], time_block(), before=["value"])
+    return s.select(*keys, "time_ns", F.col("before.value").alias("before"), F.col("value").alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def driver_stints(samples: DataFrame) -> DataFrame:
     """(file, driver_id, start_ns, end_ns): runs of a driver channel, without those below one second (unless alone) and negative ids."""
-    r = integer_runs(samples).withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("file")) == 1)
-    return r.where((F.col("alone") | (F.col("end_ns") - F.col("start_ns") >= SECOND)) & (F.col("value") >= 0)).select("file", F.col("value").alias("driver_id"), "start_ns", "end_ns")
+    alone = (F.col("run") == 0) & ~F.col("more")
+    return _runs(samples).where((alone | (F.col("end_ns") - F.col("start_ns") >= SECOND)) & (F.col("value") >= 0)).select("file", F.col("value").alias("driver_id"), "start_ns", "end_ns")
 
 
 def laps_from_counter(samples: DataFrame) -> DataFrame:
     """(file, number, start_ns, end_ns, duration_ns, complete): runs of a lap counter above 0; the first and last run are not complete."""
-    r = integer_runs(samples)
-    w = Window.partitionBy("file")
-    r = r.withColumn("complete", (F.col("run") > 0) & (F.col("run") < F.max("run").over(w)))
+    r = _runs(samples).withColumn("complete", (F.col("run") > 0) & F.col("more"))
     return r.where("value > 0").select("file", F.col("value").alias("number"), "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), "complete")
 
 
 def timer_resets(samples: DataFrame) -> DataFrame:
     """(file, time_ns): where a running lap time falls back by more than 5 s (5000 if the channel counts milliseconds)."""
-    s = samples.where(finite(F.col("value")))
-    order = Window.partitionBy("file").orderBy("time_ns")
-    s = s.withColumns({"before": F.lag("value").over(order), "most": F.max("value").over(Window.partitionBy("file"))})
-    return s.where(F.col("before") - F.col("value") > F.when(F.col("most") > 1000, 5000.0).otherwise(5.0)).select("file", "time_ns")
+    s = samples.where(finite(F.col("value"))).select("file", "time_ns", "value")
+    fall = along(s, ["file"], ["time_ns"], time_block(), before=["value"]).where(F.col("before.value") - F.col("value") > 5.0)
+    most = s.groupBy("file").agg(F.max("value").alias("most"))
+    return fall.join(most, "file").where(F.col("before.value") - F.col("value") > F.when(F.col("most") > 1000, 5000.0).otherwise(5.0)).select("file", "time_ns")
 
 
 def laps_from_timer(timer: DataFrame, counter: DataFrame | None = None) -> DataFrame:
@@ -81,45 +85,55 @@ def laps_from_timer(timer: DataFrame, counter: DataFrame | None = None) -> DataF
     if counter is None:
         laps = laps.withColumn("number", F.col("position"))
     else:
-        c = counter.select("file", "time_ns", F.lit(0).alias("k"), round_half_away(F.col("value")).alias("v"), *[F.lit(None).cast(t).alias(n) for n, t in laps.dtypes if n not in ("file", "start_ns")])
-        l = laps.select("file", F.col("start_ns").alias("time_ns"), F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("v"), "position", "end_ns", "complete")  # noqa: E741
-        w = Window.partitionBy("file").orderBy("time_ns", "k").rowsBetween(Window.unboundedPreceding, 0)
-        laps = c.unionByName(l).withColumn("number", F.coalesce(F.last("v", ignorenulls=True).over(w), F.col("position"))).where("k = 1").withColumnRenamed("time_ns", "start_ns")
+        laps = lap_at(laps.withColumnRenamed("start_ns", "time_ns"), counter).withColumn("number", F.coalesce("lap", "position")).withColumnRenamed("time_ns", "start_ns")
     return laps.where("number > 0").select("file", "number", "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), "complete")
 
 
+def lap_at(times: DataFrame, counter: DataFrame) -> DataFrame:
+    """``times`` (file, time_ns, ...) plus ``lap``: the rounded value of a lap counter (file, time_ns, value) at each, NULL before its first sample."""
+    rest = [c for c in times.columns if c not in ("file", "time_ns")]
+    t = times.select("file", "time_ns", F.lit(1).alias("__k"), F.struct(F.lit(0).alias("__none"), *rest).alias("__row"), F.lit(None).cast("bigint").alias("__v"))
+    c = counter.select("file", "time_ns", F.lit(0).alias("__k"), F.lit(None).cast(t.schema["__row"].dataType).alias("__row"), round_half_away(F.col("value")).alias("__v"))
+    out = along(t.unionByName(c), ["file"], ["time_ns", "__k"], time_block(), latest={"lap": F.col("__v")}).where("__k = 1")
+    return out.select("file", "time_ns", *[F.col(f"__row.`{x}`").alias(x) for x in rest], "lap")
+
+
 def plausible(duration: Column, reference: Column) -> Column:
     """At least 10 s and, if there is a reference lap, between half and one and a half of it."""
     return (duration >= 10 * SECOND) & (reference.isNull() | duration.between(F.floor(reference / 2), F.floor(reference * 3 / 2)))
 
 
+def _nanoseconds(value: Column, most: Column) -> Column:
+    """A lap time in ns, from ms if the channel exceeds 1000 anywhere, else from s; rounded half up."""
+    return F.round(value * F.when(most > 1000, 1e6).otherwise(1e9), 0).try_cast("bigint")
+
+
 def reference_lap(samples: DataFrame) -> DataFrame:
     """(file, reference_ns): the first finite value above 0 of a reference channel, in ms if it exceeds 1000 anywhere, else s."""
     s = samples.where(finite(F.col("value")))
     g = s.groupBy("file").agg(F.max("value").alias("most"), F.min_by("value", F.when(F.col("value") > 0, F.col("time_ns"))).alias("v"))
-    return g.where("v > 0").select("file", (F.col("v") * F.when(F.col("most") > 1000, 1e6).otherwise(1e9)).cast("bigint").alias("reference_ns"))
+    return g.where("v > 0").select("file", _nanoseconds(F.col("v"), F.col("most")).alias("reference_ns"))
 
 
-def fastest_lap(laps: DataFrame, reference: DataFrame | None = None, reported: DataFrame | None = None, counter: DataFrame | None = None) -> DataFrame:
+def fastest_lap(laps: DataFrame, reference: DataFrame | None = None, reported: DataFrame | None = None) -> DataFrame:
     """(file, number, duration_ns): the shortest plausible complete lap; a reported lap time outranks it.
 
-    ``reported``: (file, time_ns, value, number) of a previous-lap channel, whose
-    lap is the one before ``number``.  The first of equal laps wins.
+    ``reference``: (file, reference_ns), against which both kinds are plausible or
+    not.  ``reported``: (file, time_ns, value, number) of a previous-lap channel,
+    whose lap is the one before ``number``; 0 where no number is known.  The first
+    of equal laps wins.
     """
-    laps = laps.where("complete")
-    if reference is not None:
-        laps = laps.join(reference, "file", "left")
-    else:
-        laps = laps.withColumn("reference_ns", F.lit(None).cast("bigint"))
-    inferred = laps.where(plausible(F.col("duration_ns"), F.col("reference_ns"))).groupBy("file").agg(F.min(F.struct("duration_ns", "start_ns", "number")).alias("m"))
+    known = laps.select("file").distinct().limit(0).withColumn("reference_ns", F.lit(None).cast("bigint")) if reference is None else reference.select("file", "reference_ns")
+    inferred = laps.where("complete").join(known, "file", "left").where(plausible(F.col("duration_ns"), F.col("reference_ns"))).groupBy("file").agg(F.min(F.struct("duration_ns", "start_ns", "number")).alias("m"))
     out = inferred.select("file", F.col("m.number").alias("number"), F.col("m.duration_ns").alias("duration_ns"))
     if reported is None:
         return out
-    scale = reported.where(finite(F.col("value"))).withColumn("most", F.max("value").over(Window.partitionBy("file")))
-    r = scale.select("file", "time_ns", "number", (F.col("value") * F.when(F.col("most") > 1000, 1e6).otherwise(1e9)).cast("bigint").alias("duration_ns")).where("duration_ns > 0")
-    r = r.where(plausible(F.col("duration_ns"), F.lit(None).cast("bigint"))).groupBy("file").agg(F.min(F.struct("duration_ns", "time_ns", "number")).alias("r"))
+    told = reported.where(finite(F.col("value")))
+    most = told.groupBy("file").agg(F.max("value").alias("most"))
+    r = told.where("value > 0").join(most, "file").select("file", "time_ns", "number", _nanoseconds(F.col("value"), F.col("most")).alias("duration_ns"))
+    r = r.join(known, "file", "left").where(plausible(F.col("duration_ns"), F.col("reference_ns"))).groupBy("file").agg(F.min(F.struct("duration_ns", "time_ns", "number")).alias("r"))
     both = out.join(r, "file", "full")
-    return both.select("file", F.when(F.col("r").isNotNull(), F.greatest(F.coalesce("r.number", F.lit(1)) - 1, F.lit(0))).otherwise(F.col("number")).cast("bigint").alias("number"), F.coalesce("r.duration_ns", "duration_ns").alias("duration_ns"))
+    return both.select("file", F.when(F.col("r").isNotNull(), F.coalesce(F.col("r.number") - 1, F.lit(0))).otherwise(F.col("number")).cast("bigint").alias("number"), F.coalesce("r.duration_ns", "duration_ns").alias("duration_ns"))
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str], label: str, max_gap_ns: int) -> DataFrame:
@@ -135,20 +149,37 @@ def merge_intervals(intervals: DataFrame, keys: list[str], label: str, max_gap_n
 def spaced(times: DataFrame, keys: list[str], least_ns: int) -> DataFrame:
     """Greedy spacing: each event at least ``least_ns`` after the last one kept; (keys, time_ns).
 
-    Candidate events (rising edges, crossings, resets) are few; those of a key are
+    An event that far from the candidate before it is kept whatever came before,
+    so the candidates fall into clusters that do not depend on each other; each is
     folded in order inside the JVM.
     """
-    g = times.groupBy(*keys).agg(F.sort_array(F.collect_set("time_ns")).alias("t"))
+    t = times.select(*keys, "time_ns").distinct()
+    t = along(t, keys, ["time_ns"], time_block(), before=["time_ns"])
+    apart = F.col("before").isNull() | (F.col("time_ns") - F.col("before.time_ns") >= least_ns)
+    t = along(t.select(*keys, "time_ns", apart.cast("int").alias("new")), keys, ["time_ns"], time_block(), sums={"__cluster": F.col("new")})
+    g = t.groupBy(*keys, "__cluster").agg(F.sort_array(F.collect_list("time_ns")).alias("t"))
     fold = F.expr(f"aggregate(t, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x - element_at(a, -1) >= {int(least_ns)}L, concat(a, array(x)), a))")
     return g.select(*keys, F.explode(fold).alias("time_ns"))
 
 
-def beacons(samples: DataFrame, pulse: bool = True, least_ns: int = 5 * SECOND) -> DataFrame:
-    """(file, time_ns): lap markers, rising edges of a pulse channel or steps up of a counter, after time 0, at least 5 s apart."""
-    order = Window.partitionBy("file").orderBy("time_ns")
-    s = samples.where(finite(F.col("value"))).withColumn("before", F.lag("value").over(order))
-    edge = (F.col("value") > 0) & (F.col("before") <= 0) if pulse else F.col("value") > F.col("before")
-    return spaced(s.where(edge & (F.col("time_ns") > 0)), ["file"], least_ns)
+def beacons(samples: DataFrame, pulse: bool = True, least_ns: int = 5 * SECOND, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, time_ns): lap markers, rising edges of a pulse channel or steps up of a counter, after time 0, at least 5 s apart."""
+    s = along(samples.where(finite(F.col("value"))).select(*keys, "time_ns", "value"), list(keys), ["time_ns"], time_block(), before=["value"])
+    edge = (F.col("value") > 0) & (F.col("before.value") <= 0) if pulse else F.col("value") > F.col("before.value")
+    return spaced(s.where(edge & (F.col("time_ns") > 0)), list(keys), least_ns)
+
+
+def lap_markers(samples: DataFrame) -> DataFrame:
+    """(file, time_ns): the markers of each file's first channel that has any, pulse channels before counters, each kind in the order of its names."""
+    n = normalised(F.col("channel"))
+    parts = []
+    for kind, (names, pulse) in enumerate(((PULSE_NAMES, True), (COUNTER_NAMES, False))):
+        place = F.array_position(F.array(*map(F.lit, names)), n)
+        s = samples.where(n.isin(*names)).select("file", F.struct(F.lit(kind).alias("kind"), place.alias("place"), F.col("channel").alias("channel")).alias("source"), "time_ns", "value")
+        parts.append(beacons(s, pulse, keys=("file", "source")))
+    found = parts[0].unionByName(parts[1])
+    first = found.groupBy("file").agg(F.min("source").alias("source"))
+    return found.join(first, ["file", "source"], "left_semi").select("file", "time_ns")
 
 
 def lap_summary(markers: DataFrame) -> DataFrame:
@@ -168,8 +199,8 @@ def gate_crossings(track: DataFrame, gate: tuple[float, float, float, float], le
     the other, or on it.
     """
     ay, ax, by, bx = (F.lit(float(g)) for g in gate)
-    order = Window.partitionBy("file").orderBy("time_ns")
-    t = track.where(finite(F.col("latitude")) & finite(F.col("longitude"))).withColumns({"y0": F.lag("latitude").over(order), "x0": F.lag("longitude").over(order)}).where("y0 is not null")
+    t = track.where(finite(F.col("latitude")) & finite(F.col("longitude"))).select("file", "time_ns", "latitude", "longitude")
+    t = along(t, ["file"], ["time_ns"], time_block(), before=["latitude", "longitude"]).where("before is not null").withColumns({"y0": F.col("before.latitude"), "x0": F.col("before.longitude")})
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("longitude"), F.col("latitude")
     apart = (side(ax, ay, bx, by, x0, y0) * side(ax, ay, bx, by, x1, y1) <= 0) & (side(x0, y0, x1, y1, ax, ay) * side(x0, y0, x1, y1, bx, by) <= 0)
@@ -213,17 +244,14 @@ def lap_progress(samples: DataFrame, laps: DataFrame) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: str, name: str) -> DataFrame:
     """``left`` plus the ``take`` of the ``right`` row whose ``on`` is nearest (the lower of two as near); NULL if none.
 
-    Both sides are put in one order once; the neighbours before and after each left
-    row come from two running values.
+    Both sides are put in one order once, in blocks of time; the neighbours before
+    and after each left row come from two running values.
     """
     extra = [c for c in left.columns if c not in (*keys, on)]
-    l = left.select(*keys, on, F.lit(1).alias("__k"), F.lit(None).cast(dict(right.dtypes)[take]).alias("__v"), F.struct(*extra).alias("__row") if extra else F.struct(F.lit(1)).alias("__row"))  # noqa: E741
+    l = left.select(*keys, on, F.lit(1).alias("__k"), F.lit(None).cast(dict(right.dtypes)[take]).alias("__v"), F.struct(F.lit(0).alias("__none"), *extra).alias("__row"))  # noqa: E741
     r = right.select(*keys, on, F.lit(0).alias("__k"), F.col(take).alias("__v"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"))
-    u = l.unionByName(r)
     at = F.when(F.col("__k") == 0, F.struct(F.col(on).alias("o"), F.col("__v").alias("v")))
-    back = Window.partitionBy(*keys).orderBy(on, "__k").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(on).desc(), F.col("__k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({"__p": F.last(at, ignorenulls=True).over(back), "__n": F.last(at, ignorenulls=True).over(ahead)}).where("__k = 1")
+    u = along(l.unionByName(r), keys, [on, "__k"], time_block(on), latest={"__p": at}, upcoming={"__n": at}).where("__k = 1")
     p, n = F.col("__p"), F.col("__n")
     pick = F.when(n.isNull() | (F.col(on) - p.o <= n.o - F.col(on)), p.v).otherwise(n.v)
     return u.select(*keys, on, *[F.col(f"__row.`{c}`").alias(c) for c in extra], pick.alias(name))
@@ -231,8 +259,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: s
 
 def downsample(samples: DataFrame, keys: list[str], points: int = 80) -> DataFrame:
     """Every n-th sample of each key so that at most about ``points`` remain: n = greatest(1, ceil(total / points))."""
-    order = Window.partitionBy(*keys).orderBy("time_ns")
-    d = samples.withColumns({"__i": F.row_number().over(order), "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    total = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    d = along(samples, keys, ["time_ns"], time_block(), number="__i").join(total, keys)
     return d.where((F.col("__i") - 1) % F.greatest(F.lit(1), F.ceil(F.col("__n") / points)) == 0).drop("__i", "__n")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.model import is_step
+from tracegrid.operators.blocks import along, index_block, time_block
 
 SECOND = 1_000_000_000
 #: Stored samples of one channel that share a task.
@@ -136,12 +137,11 @@ def modal_chunks(samples: DataFrame) -> DataFrame:
     smallest of equals); a chunk ends where the distance exceeds two periods.
     """
     key = ["file", "channel"]
-    order = Window.partitionBy(*key).orderBy("time_ns")
-    d = samples.select(*key, "time_ns", (F.row_number().over(order) - 1).alias("i"), (F.col("time_ns") - F.lag("time_ns").over(order)).alias("delta"))
+    d = along(samples.select(*key, "time_ns"), key, ["time_ns"], time_block(), before=["time_ns"], number="i").select(*key, "time_ns", (F.col("i") - 1).alias("i"), (F.col("time_ns") - F.col("before.time_ns")).alias("delta"))
     counts = d.where("delta > 0").groupBy(*key, "delta").agg(F.count(F.lit(1)).alias("n"))
-    period = counts.groupBy(*key).agg(F.max(F.struct("n", -F.col("delta"))).alias("m")).select(*key, (-F.col("m.col2")).alias("period"))
+    period = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("delta")).alias("d"))).alias("m")).select(*key, (-F.col("m.d")).alias("period"))
     d = d.join(period, key, "left").withColumn("cut", (F.col("delta") > 2 * F.col("period")).cast("int"))
-    d = d.withColumn("chunk_index", F.coalesce(F.sum("cut").over(Window.partitionBy(*key).orderBy("i")), F.lit(0)))
+    d = along(d, key, ["i"], index_block("i"), sums={"chunk_index": F.col("cut")})
     return d.groupBy(*key, "chunk_index").agg(F.min("period").alias("sample_period_ns"), F.min("i").cast("bigint").alias("sample_base"), F.count(F.lit(1)).alias("sample_count"), F.min("time_ns").alias("time_base_ns"))
 
 
@@ -181,5 +181,5 @@ def sum_channels(samples: DataFrame, sources: list[str], target: str) -> DataFra
 def frame_at(times: DataFrame, frames: DataFrame) -> DataFrame:
     """``times`` (file, time_ns) plus frame_index: the last video frame shown at or before each time, 0 before the first."""
     t = times.select("file", "time_ns", F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("f")).unionByName(frames.select("file", "time_ns", F.lit(0).alias("k"), F.col("frame_index").cast("bigint").alias("f")))
-    w = Window.partitionBy("file").orderBy("time_ns", "k").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("frame_index", F.coalesce(F.last("f", ignorenulls=True).over(w), F.lit(0).cast("bigint"))).where("k = 1").select("file", "time_ns", "frame_index")
+    t = along(t, ["file"], ["time_ns", "k"], time_block(), latest={"last": F.col("f")}).where("k = 1")
+    return t.select("file", "time_ns", F.coalesce("last", F.lit(0).cast("bigint")).alias("frame_index"))

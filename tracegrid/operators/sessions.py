@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,17 @@ def fnv1a(data: Column) -> Column:
 
 
 def schema_hash(channels: DataFrame) -> DataFrame:
-    """(file, schema_hash): FNV-1a over the channels of a file in order: lower-case name, lower-case unit, type code.
+    """(file, schema_hash): FNV-1a over the channels of a file in the order of channel_id.
 
-    Channel lists are bounded by the file formats (thousands at most), so one
-    file's list is gathered in one row.
+    Each adds the bytes of its name and unit, A to Z in lower case, and one byte of
+    type code, with nothing between them.  Channel lists are bounded by the file
+    formats (thousands at most), so one file's list is gathered in one row.
     """
-    text = F.concat(F.lower(F.coalesce("name", F.lit(""))), F.lit("\x00"), F.lower(F.coalesce("unit", F.lit(""))), F.lit("\x00"), F.coalesce(F.col("type_code").cast("string"), F.lit("")))
-    g = channels.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_id", text.alias("t")))), lambda x: x.t), "\x01").alias("t"))
-    return g.withColumn("__fnv_data", F.encode("t", "utf-8")).select("file", fnv1a(F.col("__fnv_data")).alias("schema_hash"))
+    text = F.translate(F.concat(F.coalesce("name", F.lit("")), F.coalesce("unit", F.lit(""))), ascii_uppercase, ascii_lowercase)
+    code = F.lpad(F.hex(F.coalesce(F.col("type_code"), F.lit(0)).cast("bigint")), 2, "0")
+    one = F.concat(F.hex(F.encode(text, "utf-8")), code)
+    g = channels.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_id", one.alias("t")))), lambda x: x.t), "").alias("t"))
+    return g.withColumn("__fnv_data", F.unhex("t")).select("file", fnv1a(F.col("__fnv_data")).alias("schema_hash"))
 
 
 def hash_hex(h: Column) -> Column:

@@ -40,5 +40,5 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 def with_duration(s: DataFrame, data_type: str = "float64") -> DataFrame:
     """Samples plus the channel's duration (one second past its last sample) and storage type."""
-    last = F.max("time_ns").over(Window.partitionBy("file", "channel"))
-    return s.withColumns({"duration_ns": last + SECOND, "data_type": F.lit(data_type)})
+    last = s.groupBy("file", "channel").agg((F.max("time_ns") + SECOND).alias("duration_ns"))
+    return s.join(last, ["file", "channel"]).withColumn("data_type", F.lit(data_type))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.model import normalised, round_half_away
+from tracegrid.model import finite, normalised, round_half_away
 from tracegrid.operators import events as ev
 from tracegrid.operators import resample as rs
 from tracegrid.operators import sessions as se
+from tracegrid.operators.blocks import along, time_block
 from tracegrid.runtime import bounded_rows, materialise
 from tracegrid.sources.recordings import MOST_NAMES, open_recording, read, read_wide
 
+#: Normalised channel names by meaning.
 GPS_WEEK, GPS_ITOW = ("gpsweek",), ("gpsitow", "itow")
-_ROLES = {"driver": ev.DRIVER_NAMES, "lap": ev.LAP_NAMES, "timer": ev.TIMER_NAMES, "reference": ev.REFERENCE_NAMES, "reported": ev.REPORTED_NAMES, "week": GPS_WEEK, "itow": GPS_ITOW}
+VIDEO_FILE, VIDEO_SYNC = ("avifileindex",), ("avisynctime", "avitime")
+_ROLES = {"driver": ev.DRIVER_NAMES, "lap": ev.LAP_NAMES, "timer": ev.TIMER_NAMES, "reference": ev.REFERENCE_NAMES, "reported": ev.REPORTED_NAMES, "week": GPS_WEEK, "itow": GPS_ITOW, "video_file": VIDEO_FILE, "video_sync": VIDEO_SYNC}
 _PICK = ("only", "created_from", "created_to")
 
 
@@ -53,12 +57,8 @@ class Library:
         return timer.unionByName(counter.join(timer.select("file").distinct(), "file", "left_anti"))
 
     def fastest(self, laps: DataFrame) -> DataFrame:
-        at = self.role("lap").select("file", "time_ns", round_half_away(F.col("value")).alias("number"))
-        reported = self.role("reported").select("file", "time_ns", "value")
         # The lap in which a reported time first stands is the one after it.
-        w = Window.partitionBy("file").orderBy("time_ns", "k").rowsBetween(Window.unboundedPreceding, 0)
-        u = at.withColumns({"k": F.lit(0), "value": F.lit(None).cast("double")}).unionByName(reported.withColumns({"k": F.lit(1), "number": F.lit(None).cast("bigint")}))
-        r = u.withColumn("number", F.last("number", ignorenulls=True).over(w)).where("k = 1").select("file", "time_ns", "value", "number")
+        r = ev.lap_at(self.role("reported").select("file", "time_ns", "value"), self.role("lap")).withColumnRenamed("lap", "number")
         return ev.fastest_lap(laps, ev.reference_lap(self.role("reference")), r)
 
     def clocks(self) -> DataFrame:
@@ -87,33 +87,44 @@ class Library:
         """One row per session of files that continue each other."""
         return se.session_metadata(self.clocks().select("file", "session_key", "absolute_start_ns", "absolute_end_ns"), self.stints(), self.laps().select("file", "number", "start_ns", "end_ns"), max_gap_seconds)
 
-    def read_session(self, rate: int = 100, channels: str | None = None, interpolate: str = "linear", max_gap_seconds: int = 60, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    def read_session(
+        self, rate: int = 100, channels: str | None = None, interpolate: str = "linear", max_gap_seconds: int = 60, start_ns: int | None = None, end_ns: int | None = None, unit_tags: bool = False, channel_map: str | None = None, timestamps: bool = False
+    ) -> DataFrame:
         """The wide relation on the clock of the one session that the files form.
 
-        session_key, time_ns, file_time_ns, source_file, video_frame_index, driver_id, lap_number and the channels; files that form no or
-        more than one session are an error.
+        session_key, time_ns, file_time_ns, source_file, video_file_index,
+        video_frame_index, video_sync_time, driver_id, lap_number and the channels;
+        files that form no or more than one session are an error.  The named values
+        are those of the last sample, before the first one its value, and NULL from
+        the end of their channel on.
         """
-        w = read_wide(self.spark, self.path, rate, channels, interpolate, filename=True, **self.pick).withColumnRenamed("filename", "file")
+        w = read_wide(self.spark, self.path, rate, channels, interpolate, channel_map=channel_map, filename=True, unit_tags=unit_tags, timestamps=timestamps, **self.pick).withColumnRenamed("filename", "file")
         shown = [c for c in w.columns if c not in ("file", "time_ns")]
+        tags = {c: w.schema[c].metadata for c in shown}
         out = se.stitch(w, self.clocks().select("file", "session_key", "absolute_start_ns", "absolute_end_ns"), max_gap_seconds)
         out = rs.time_range(out, start_ns, end_ns)
-        for name, samples in (("driver_id", self.role("driver")), ("lap_number", self.role("lap"))):
-            at = Window.partitionBy("source_file").orderBy("file_time_ns", "__k").rowsBetween(Window.unboundedPreceding, 0)
-            marks = samples.select(F.col("file").alias("source_file"), F.col("time_ns").alias("file_time_ns"), round_half_away(F.col("value")).alias("__v"), F.lit(0).alias("__k"))
-            out = out.withColumn("__k", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn(name, F.last("__v", ignorenulls=True).over(at)).where("__k = 1").drop("__v", "__k")
-        frames = self.spark.createDataFrame(self._frames(), "source_file string, shown_ns bigint, video_frame_index bigint")
-        at = Window.partitionBy("source_file").orderBy("file_time_ns", "__k").rowsBetween(Window.unboundedPreceding, 0)
-        marks = frames.select("source_file", F.col("shown_ns").alias("file_time_ns"), F.col("video_frame_index").alias("__f"), F.lit(0).alias("__k"))
-        out = out.withColumn("__k", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("video_frame_index", F.last("__f", ignorenulls=True).over(at)).where("__k = 1")
-        return out.select("session_key", "time_ns", "file_time_ns", "source_file", "video_frame_index", "driver_id", "lap_number", *[F.col(f"`{c}`") for c in shown])
-
-    def _frames(self) -> list[tuple]:
-        """Frame times of the files' video tracks; one session has few files."""
-        from tracegrid.sources.paths import find_files
-
-        out = []
-        for p in find_files(self.path, *(self.pick.get(k) for k in _PICK)):
-            if p.lower().endswith(".mp4"):
-                frames = open_recording(p).frames
-                out += [(p, int(t), i) for i, t in enumerate([] if frames is None else frames)]
-        return out
+        marks = {"driver_id": self.role("driver"), "lap_number": self.role("lap"), "video_file_index": self.role("video_file"), "video_sync_time": self.role("video_sync")}
+        rows = out.withColumn("__k", F.lit(1)).unionByName(self.frames().select(F.col("file").alias("source_file"), F.col("time_ns").alias("file_time_ns"), F.lit(0).alias("__k"), F.col("frame_index").alias("__frame")), allowMissingColumns=True)
+        for name, samples in marks.items():
+            value = samples.select(F.col("file").alias("source_file"), F.col("time_ns").alias("file_time_ns"), F.lit(0).alias("__k"), F.struct("value", "duration_ns").alias(f"__{name}"))
+            rows = rows.unionByName(value, allowMissingColumns=True)
+        held = along(
+            rows, ["source_file"], ["file_time_ns", "__k"], time_block("file_time_ns"),
+            latest={"video_frame_index": F.col("__frame"), **{name: F.col(f"__{name}") for name in marks}}, upcoming={f"{name}_first": F.col(f"__{name}") for name in marks},
+        ).where("__k = 1")
+        at = lambda c: (lambda v: F.when((F.col("file_time_ns") < v["duration_ns"]) & finite(v["value"]), v["value"]))(F.coalesce(c, f"{c}_first"))
+        whole = lambda c: round_half_away(at(c)).alias(c)
+        video = F.when(at("video_file_index") >= 0, round_half_away(at("video_file_index"))).alias("video_file_index")
+        return held.select("session_key", "time_ns", "file_time_ns", "source_file", video, "video_frame_index", at("video_sync_time").alias("video_sync_time"), whole("driver_id"), whole("lap_number"), *[F.col(f"`{c}`").alias(c, metadata=tags[c]) for c in shown])
+
+    def frames(self) -> DataFrame:
+        """(file, time_ns, frame_index): when each frame of the files' video tracks is shown, read where the files are read."""
+        paths = self.files.where("video_frame_count > 0").select("file")
+
+        def run(batches):
+            for b in batches:
+                for p in b.column("file").to_pylist():
+                    t = open_recording(p).frames
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(t), pa.string()), pa.array(t, pa.int64()), pa.array(range(len(t)), pa.int64())], names=["file", "time_ns", "frame_index"])
+
+        return paths.mapInArrow(run, "file string, time_ns bigint, frame_index bigint")

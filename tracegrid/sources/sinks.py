@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracegrid import units
 from tracegrid.model import STORAGE
-from tracegrid.operators import events
 from tracegrid.runtime import bounded_rows
 from tracegrid.sources.formats import ld, ldx
 from tracegrid.sources.formats.common import Channel, Chunk, FormatError
@@ -56,21 +55,6 @@ def write_recording(samples: DataFrame, output: str, source: str = "", data_type
     return samples.sparkSession.createDataFrame([(source, output, "motec", len(channels), len(rows), len(body), side, len(text))], SUMMARY)
 
 
-def lap_markers(samples: DataFrame) -> DataFrame:
-    """(file, time_ns): beacons of the first pulse channel that has any, else of the first counter channel."""
-    from pyspark.sql import functions as F
-
-    from tracegrid.model import normalised
-
-    s = samples.withColumn("n", normalised(F.col("channel")))
-    for names, pulse in ((events.PULSE_NAMES, True), (events.COUNTER_NAMES, False)):
-        for name in names:
-            found = events.beacons(s.where(F.col("n") == name), pulse)
-            if found.limit(1).count():
-                return found
-    return events.beacons(s.where("false"))
-
-
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd", mode: str = "errorifexists") -> None:
     """Parquet with the column metadata, so that units tagged with ``units.tag_unit`` come back."""
     df.write.mode(mode).option("compression", compression).parquet(path)
