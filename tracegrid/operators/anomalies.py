@@ -286,18 +286,30 @@ def _block_analysis(layout: DataFrame, source: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def merged_spreads(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., spread): half the interquartile range of the deviations of each key, from any number of sketches.
+def merged_spreads(sketches: DataFrame) -> DataFrame:
+    """(file, channel_id, hour, hour_spread, channel_spread): half the interquartile range of the deviations of an hour and of the whole channel.
 
-    ``sketches``: keys, size (class of size and sign), weight, total.  The points
-    of all sketches meet in classes of size, at most 2 % wide, whose number is
-    bounded; their weights are summed where they are before anything is moved.
+    ``sketches``: file, channel_id, hour, weight and points, any number for each
+    hour.  All points meet in classes of size, at most 2 % wide; their weights are
+    summed where they are before anything is moved, so that a channel is as many
+    rows as its hours have classes, however many blocks it has.
     """
-    classes = sketches.groupBy(*keys, "size").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
-    upto = F.sum("weight").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = classes.select(*keys, "size", (F.col("total") / F.col("weight")).alias("mean"), upto.alias("upto"), F.sum("weight").over(Window.partitionBy(*keys)).alias("whole"))
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("whole"), F.struct("size", "mean")))["mean"]
-    return ranked.groupBy(*keys).agg(((quartile(3) - quartile(1)) / 2).alias("spread"))
+    channel = ["file", "channel_id"]
+    each = sketches.where("points is not null").select(*channel, "hour", "weight", F.explode("points").alias("point"))
+    size = (F.signum("point") * (F.floor(F.log(F.abs("point")) * CLASSES) + 1000 * CLASSES)).cast("int")
+    classes = each.groupBy(*channel, "hour", size.alias("size")).agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("point")).alias("total"))
+    classes = classes.repartition(*channel)
+    ranked = classes.select(*channel, "hour", "size", (F.col("total") / F.col("weight")).alias("mean"), *[c for name, keys in (("h", [*channel, "hour"]), ("c", channel)) for c in _running(name, keys)])
+    quartile = lambda name, k: F.min(F.when(4 * F.col(f"upto_{name}") >= k * F.col(f"whole_{name}"), F.struct("size", "mean")))
+    hours = ranked.groupBy(*channel, "hour").agg(*[quartile(name, k).alias(f"{name}{k}") for name in "hc" for k in (1, 3)])
+    least = lambda c: F.min(c).over(Window.partitionBy(*channel))["mean"]
+    return hours.select(*channel, "hour", ((F.col("h3.mean") - F.col("h1.mean")) / 2).alias("hour_spread"), ((least("c3") - least("c1")) / 2).alias("channel_spread"))
+
+
+def _running(name: str, keys: list[str]) -> list[Column]:
+    """Running and whole weight of the classes of ``keys``, in the order of size."""
+    of = Window.partitionBy(*keys)
+    return [F.sum("weight").over(of.orderBy("size", "hour").rowsBetween(Window.unboundedPreceding, 0)).alias(f"upto_{name}"), F.sum("weight").over(of).alias(f"whole_{name}")]
 
 
 def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit_defs: DataFrame, channel_rules: DataFrame, channel_limits: DataFrame) -> DataFrame:
@@ -324,22 +336,14 @@ def find_faults(samples: DataFrame, chunks: DataFrame, channels: DataFrame, unit
     found = materialise(_block_analysis(_layout(samples, chunks, heads), samples), "faults")
     channel = ["file", "channel_id"]
     stats = found.where(F.col("what") == STATS)
-    point = F.explode("points").alias("point")
-    size = (F.signum("point") * (F.floor(F.log(F.abs("point")) * CLASSES) + 1000 * CLASSES)).cast("int").alias("size")
-    sketches = stats.where("points is not null").select(*channel, "hour", "weight", point).select(*channel, "hour", size, "weight", (F.col("weight") * F.col("point")).alias("total"))
-    hours = sketches.groupBy(*channel, "hour", "size").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
-    total = stats.groupBy(*channel).agg(*[F.sum(c).alias(c) for c in ("n", "moves", "changes", "held")], F.max(F.nanvl("most", F.lit(None))).alias("most"), F.max("kind").alias("kind"))
-    fences = total.join(merged_spreads(hours, channel), channel, "left").select(
-        *channel, "most", F.col("kind").alias("channel_kind"), F.coalesce("spread", F.lit(0.0)).alias("channel_spread"),
-        ((F.col("changes") >= LIVELY * F.col("moves")) & (F.col("n") - F.col("held") >= F.least(F.lit(OUTSIDE), 0.3 * F.col("n")))).alias("lively"),
-    )
-    hourly = merged_spreads(hours, [*channel, "hour"]).withColumnRenamed("spread", "hour_spread")
-    events = found.where(F.col("what").isin(SPIKE, RUN)).select(*channel, "hour", "what", "lo", "hi", "measure", "spread", "lattice", "width", "rest", "s_all").join(fences, channel).join(hourly, [*channel, "hour"], "left")
+    spikes = found.where(F.col("what") == SPIKE).select(*channel, "hour", "lo", "hi", "measure", "spread", "lattice", "width", "s_all").join(merged_spreads(stats.select(*channel, "hour", "weight", "points")), [*channel, "hour"], "left")
     fence = F.when(F.col("lattice"), F.when((F.col("width") >= 2) & (F.col("s_all") == 0), LATTICE_WIDE_FENCE).otherwise(LATTICE_FENCE)).otherwise(FENCE)
-    scatter = F.greatest("channel_spread", F.coalesce("hour_spread", F.lit(0.0)) / 2, F.col("spread") / 2)
-    spike = (F.col("what") == SPIKE) & (F.col("measure") > fence * SIGMA * scatter)
-    at_stop = F.col("rest") | ((F.col("channel_kind") == RESTING) & (F.col("measure") >= F.col("most")))
-    stuck = (F.col("what") == RUN) & F.col("lively") & ~at_stop
-    judged = events.where(spike | stuck).select(*channel, "lo", "hi", F.when(F.col("what") == SPIKE, "spike").otherwise("stuck").alias("fault"))
+    scatter = F.greatest(F.coalesce("channel_spread", F.lit(0.0)), F.coalesce("hour_spread", F.lit(0.0)) / 2, F.col("spread") / 2)
+    spikes = spikes.where(F.col("measure") > fence * SIGMA * scatter)
+    total = stats.groupBy(*channel).agg(*[F.sum(c).alias(c) for c in ("n", "moves", "changes", "held")], F.max(F.nanvl("most", F.lit(None))).alias("most"), F.max("kind").alias("channel_kind"))
+    lively = total.where((F.col("changes") >= LIVELY * F.col("moves")) & (F.col("n") - F.col("held") >= F.least(F.lit(OUTSIDE), 0.3 * F.col("n"))))
+    runs = found.where(F.col("what") == RUN).select(*channel, "lo", "hi", "measure", "rest").join(lively, channel)
+    stuck = runs.where(~(F.col("rest") | ((F.col("channel_kind") == RESTING) & (F.col("measure") >= F.col("most")))))
+    judged = spikes.select(*channel, "lo", "hi", F.lit("spike").alias("fault")).unionByName(stuck.select(*channel, "lo", "hi", F.lit("stuck").alias("fault")))
     limits = found.where(F.col("what") == LIMIT).select(*channel, "lo", "hi", F.lit("limit").alias("fault"))
     return limits.unionByName(judged).select(*channel, F.explode(F.sequence("lo", "hi")).alias("sample_index"), "fault").distinct()
