@@ -122,10 +122,13 @@ def test_nearest_and_merge(spark):
 def test_sessions(spark):
     f = spark.createDataFrame([("a", "k", 0, 40 * SEC), ("b", "k", 45 * SEC, 90 * SEC), ("c", "k", 200 * SEC, 210 * SEC), ("d", None, 0, 1), ("e", None, 0, 1)], "file string, session_key string, absolute_start_ns bigint, absolute_end_ns bigint")
     got = dict(rows(se.group_sessions(f, 10), "file", "session"))
-    assert got["a"] == got["b"] == "k:0" and got["c"] == "k:1" and got["d"] != got["e"]
+    assert got == {"d": "unkeyed:0:0", "e": "unkeyed:1:1", "a": "k:2", "b": "k:2", "c": "k:3"}
     stints = spark.createDataFrame([("a", 3, 0, 40 * SEC), ("b", 3, 0, 45 * SEC)], "file string, driver_id bigint, start_ns bigint, end_ns bigint")
     m = {r.session_key: r for r in se.session_metadata(f, stints, stints.withColumnRenamed("driver_id", "number"), 10).collect()}
-    assert (m["k:0"].file_count, m["k:0"].stint_count, m["k:0"].driver_ids, m["k:0"].duration_ns) == (2, 1, "3", 90 * SEC)
+    assert (m["k:2"].file_count, m["k:2"].stint_count, m["k:2"].driver_ids, m["k:2"].duration_ns) == (2, 1, "3", 90 * SEC)
+    own = spark.createDataFrame([("a", 7, 30 * SEC), ("b", 8, 20 * SEC)], "file string, number bigint, duration_ns bigint")
+    m = {r.session_key: r for r in se.session_metadata(f, stints, stints.withColumnRenamed("driver_id", "number"), 10, own).collect()}
+    assert (m["k:2"].fastest_lap_number, m["k:2"].fastest_lap_time_ns, m["k:3"].fastest_lap_number) == (8, 20 * SEC, None)
     wide = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "file string, time_ns bigint, `Speed 1` double")
     ab = f.where("file in ('a', 'b')")
     assert rows(se.stitch(wide, ab, 10), "time_ns", "file_time_ns", "source_file", "Speed 1") == [(0, 0, "a", 1.0), (45 * SEC, 0, "b", 2.0)]
@@ -147,6 +150,10 @@ def test_schema_hash(spark):
     df = spark.createDataFrame([(w,) for w in words], "__fnv_data binary").withColumn("schema_hash", se.fnv1a(F.col("__fnv_data")))
     got = df.select("schema_hash", se.hash_hex(F.col("schema_hash")).alias("x")).collect()
     assert [(int(r.schema_hash), r.x) for r in got] == [(fnv(w), f"{fnv(w):016x}") for w in words]
+    # Name, unit and one byte of code, A to Z in lower case only, nothing between.
+    c = spark.createDataFrame([("f", 2, "Speed", "KM/h", 7), ("f", 1, "ÄB", None, 2), ("g", 1, None, "", None)], "file string, channel_id int, name string, unit string, type_code bigint")
+    plain = {r.file: int(r.schema_hash) for r in se.schema_hash(c).collect()}
+    assert plain == {"f": fnv("Äb".encode() + b"\x02" + b"speedkm/h\x07"), "g": fnv(b"\x00")}
 
 
 def test_gps_clock(spark):

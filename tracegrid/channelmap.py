@@ -119,3 +119,11 @@ def apply_map(samples: DataFrame, rules: list[ChannelRule], channel: str = "chan
 def rule_text(name: str, target: str, unit: str | None, scale: float = 1.0, offset: float = 0.0) -> str:
     """The rule that ``parse_map`` reads back."""
     return f"{name} -> {target}" + (f" [{unit}]" if unit else "") + (f" * {scale!r}" if scale != 1 else "") + (f" {'+' if offset > 0 else '-'} {abs(offset)!r}" if offset else "")
+
+
+def recovered_map(channels: DataFrame) -> DataFrame:
+    """(file, map): the map text that names every channel of a file as it is, in file order; channel lists are bounded by the formats."""
+    unit = F.coalesce("unit", F.lit(""))
+    rule = F.concat("name", F.lit(" -> "), "name", F.when(unit != "", F.concat(F.lit(" ["), unit, F.lit("]"))).otherwise(""))
+    g = channels.where("name is not null").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("channel_id", rule.alias("rule")))).alias("rules"))
+    return g.select("file", F.array_join(F.transform("rules", lambda x: x["rule"]), "; ").alias("map"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrid.runtime import materialise
+
 #: Stored samples that share a block.
 BLOCK = 1 << 14
 #: Stretch of time that shares a block: at most three million samples at the highest rate.
@@ -86,3 +88,17 @@ def along(
         made[name] = F.coalesce(f"{v}w", F.lit(0)) + F.coalesce(f"{v}c", F.lit(0))
     table = d.groupBy(*whole).agg(*[c.alias(n) for n, c in block_row.items()]).withColumns(carried).select(*whole, *carried)
     return d.withColumns(row).join(table, whole).select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` plus ``name``, the place of each row from 0 in one order over all rows.
+
+    Rows are dealt to partitions by range; places are counted within them and
+    follow the counts of the partitions before.
+    """
+    part = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    sizes = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return part.withColumn("__at", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")

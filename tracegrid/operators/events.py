@@ -17,6 +17,9 @@ REFERENCE_NAMES = ("reflaptime", "referencelaptime")
 REPORTED_NAMES = ("previouslt", "previouslaptime", "lastlaptime")
 PULSE_NAMES = ("lapbeacontrig", "laptrigger", "blaptrig", "fiabeacon")
 COUNTER_NAMES = ("lapnumber", "beaconeventcount")
+#: Lap times and lap distances whose falls are laps, in order of preference; the times come first.
+RESET_NAMES = ("lapcurrentlaptime", "laptime", "laptimerunning", "lapdistancecorrected", "lapdistance", "lapdist", "lapdistpct")
+RESET_TIMES = 3
 
 
 def semantic_channel(channels: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -137,13 +140,17 @@ def fastest_lap(laps: DataFrame, reference: DataFrame | None = None, reported: D
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str], label: str, max_gap_ns: int) -> DataFrame:
-    """Neighbouring intervals of one label joined where the gap is at most ``max_gap_ns``: (keys, label, start_ns, end_ns)."""
-    order = Window.partitionBy(*keys).orderBy("start_ns", "end_ns")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    d = intervals.withColumns({"__l": F.lag(label).over(order), "__e": F.max("end_ns").over(before)})
-    d = d.withColumn("__new", (~F.col(label).eqNullSafe(F.col("__l")) | (F.col("start_ns") - F.col("__e") > max_gap_ns) | F.col("__e").isNull()).cast("int"))
-    d = d.withColumn("__g", F.sum("__new").over(order))
-    return d.groupBy(*keys, "__g").agg(F.min(label).alias(label), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).drop("__g")
+    """Neighbouring intervals of one label joined where the gap is at most ``max_gap_ns``: (keys, label, start_ns, end_ns).
+
+    In the order of start; an interval of another label in between keeps them apart.
+    """
+    order = Window.partitionBy(*keys).orderBy("start_ns", "end_ns", label)
+    d = intervals.withColumn("__other", (~F.col(label).eqNullSafe(F.lag(label).over(order)) | F.lag("start_ns").over(order).isNull()).cast("int"))
+    d = d.withColumn("__row", F.sum("__other").over(order))
+    alike = Window.partitionBy(*keys, "__row").orderBy("start_ns", "end_ns")
+    before = F.max("end_ns").over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("__new", (before.isNull() | (F.col("start_ns") - before > max_gap_ns)).cast("int")).withColumn("__part", F.sum("__new").over(alike))
+    return d.groupBy(*keys, "__row", "__part").agg(F.min(label).alias(label), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).drop("__row", "__part")
 
 
 def spaced(times: DataFrame, keys: list[str], least_ns: int) -> DataFrame:
@@ -223,6 +230,39 @@ def laps_by_value(samples: DataFrame) -> DataFrame:
     return g.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file"))).where("n > 1").drop("n")
 
 
+def laps_browser(samples: DataFrame, channels: DataFrame, ends: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """(file, number, start_ns, end_ns, complete): laps of every file by the first of four signs it shows.
+
+    A lap counter with two values or more (each lap begins where its number first
+    stands); crossings of a gate (``gates``: file, time_ns); falls of a lap time by
+    more than 5 or of a lap distance by more than 20, none within 5 s after
+    another; else the whole file is one lap.  ``ends``: file, duration_ns.
+    """
+    sampled = channels.where("sample_count > 0")
+    counter = semantic_channel(sampled, LAP_NAMES).select("file", "channel_id")
+    counted = laps_by_value(samples.join(counter, ["file", "channel_id"], "left_semi"))
+    place = F.nullif(F.array_position(F.array(*map(F.lit, RESET_NAMES)), normalised(F.col("name"))), F.lit(0))
+    source = sampled.withColumn("place", place).where("place is not null").groupBy("file").agg(F.min(F.struct("place", "channel_id")).alias("s")).select("file", "s.place", "s.channel_id")
+    v = samples.join(source, ["file", "channel_id"]).where(finite(F.col("value"))).select("file", "time_ns", "value", "place")
+    falls = along(v, ["file"], ["time_ns"], time_block(), before=["value"]).where(F.col("before.value") - F.col("value") > F.when(F.col("place") <= RESET_TIMES, 5).otherwise(20)).select("file", "time_ns")
+    falls = along(falls, ["file"], ["time_ns"], time_block(), before=["time_ns"]).where(F.col("before").isNull() | (F.col("time_ns") - F.col("before.time_ns") > 5 * SECOND)).select("file", "time_ns")
+    none = falls.limit(0)
+    gates = none if gates is None else gates.select("file", "time_ns")
+    cut = gates.unionByName(falls.join(gates.select("file").distinct(), "file", "left_anti")).join(counted.select("file").distinct(), "file", "left_anti")
+    cut = cut.unionByName(cut.select("file").distinct().withColumn("time_ns", F.lit(0).cast("bigint")))
+    marks = counted.select("file", "start_ns", "number").unionByName(cut.select("file", F.col("time_ns").alias("start_ns"), F.lit(None).cast("bigint").alias("number")))
+    alone = ends.join(marks.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).cast("bigint").alias("start_ns"), F.lit(None).cast("bigint").alias("number"))
+    n = along(marks.unionByName(alone), ["file"], ["start_ns"], time_block("start_ns"), after=["start_ns"], number="place").join(ends.select("file", "duration_ns"), "file")
+    inner, only = (F.col("place") > 1) & F.col("after").isNotNull(), (F.col("place") == 1) & F.col("after").isNull()
+    laps = n.select("file", F.coalesce("number", "place").cast("bigint").alias("number"), "start_ns", F.coalesce("after.start_ns", "duration_ns").alias("end_ns"), (inner | only).alias("complete"))
+    return laps.where("end_ns > start_ns")
+
+
+def trace_rate(duration_ns: Column) -> Column:
+    """Ticks a second at which a lap of this length is drawn: about 5000 in all, between 10 and 100 a second."""
+    return F.least(F.lit(100), F.greatest(F.lit(10), F.ceil(5000 / F.greatest(duration_ns / 1e9, F.lit(1.0))))).cast("bigint")
+
+
 def samples_in_laps(samples: DataFrame, laps: DataFrame) -> DataFrame:
     """Samples joined to the lap [start_ns, end_ns) they lie in.
 
@@ -241,6 +281,46 @@ def lap_progress(samples: DataFrame, laps: DataFrame) -> DataFrame:
     return j.select("file", "number", "channel", "sample_index", ((F.col("time_ns") - F.col("start_ns")) / (F.col("end_ns") - F.col("start_ns"))).alias("progress"), (F.col("time_ns") - F.col("start_ns")).alias("elapsed_ns"))
 
 
+def distance_progress(samples: DataFrame, laps: DataFrame) -> DataFrame:
+    """(file, number, start_ns, time_ns, progress): how far through its lap a sample of a distance channel lies, 0 to 1.
+
+    By its distance between the least and the greatest of the lap; where these are
+    equal or the value is not finite, by its place among the samples of the lap.
+    """
+    key = ["file", "number", "start_ns"]
+    j = samples_in_laps(samples, laps).select(*key, "time_ns", "value")
+    span = j.groupBy(*key).agg(F.min(F.when(finite(F.col("value")), F.col("value"))).alias("least"), F.max(F.when(finite(F.col("value")), F.col("value"))).alias("most"), F.count(F.lit(1)).alias("n"))
+    n = along(j, key, ["time_ns"], time_block(), number="place").join(span, key)
+    by_distance = F.when(finite(F.col("value")) & (F.col("most") > F.col("least")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("least")) / (F.col("most") - F.col("least")))))
+    return n.select(*key, "time_ns", F.coalesce(by_distance, (F.col("place") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("progress"))
+
+
+#: Classes of progress in which points of two laps meet.
+PROGRESS_CLASSES = 1000
+
+
+def lap_deltas(progress: DataFrame, reference: DataFrame) -> DataFrame:
+    """(file, number, start_ns, time_ns, progress, delta_ns): time lost (or won, below 0) against a reference lap at equal progress.
+
+    ``progress``: rows of ``distance_progress``; ``reference``: file, number and
+    start_ns of one lap a file.  The point of the reference lap whose progress is
+    nearest counts, the earlier of two as near.
+    """
+    ref = progress.join(reference.select("file", "number", "start_ns"), ["file", "number", "start_ns"], "left_semi").select("file", "progress", (F.col("time_ns") - F.col("start_ns")).alias("elapsed"), "time_ns")
+    mine = progress.select("file", "number", "start_ns", "time_ns", "progress")
+    block = F.floor(F.col("progress") * PROGRESS_CLASSES)
+    own = F.struct("number", "start_ns", "time_ns")
+    l = mine.select("file", "progress", F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("o"), own.alias("row"), F.lit(None).cast("struct<p:double,o:bigint,e:bigint>").alias("v"))  # noqa: E741
+    r = ref.select("file", "progress", F.lit(0).alias("k"), F.col("time_ns").alias("o"), F.lit(None).cast(l.schema["row"].dataType).alias("row"), F.struct(F.col("progress").alias("p"), F.col("time_ns").alias("o"), F.col("elapsed").alias("e")).alias("v"))
+    # Of points with one progress the earliest counts: it stands for them on both sides.
+    r = r.groupBy("file", "progress", "k").agg(F.min("o").alias("o"), F.first("row").alias("row"), F.min_by("v", "o").alias("v"))
+    u = along(l.unionByName(r), ["file"], ["progress", "k", "o"], block, latest={"p": F.col("v")}, upcoming={"n": F.col("v")}).where("k = 1 and (p is not null or n is not null)")
+    p, n = F.col("p"), F.col("n")
+    before, after = F.col("progress") - p.p, n.p - F.col("progress")
+    pick = F.when(n.isNull() | (before < after) | ((before == after) & (p.o <= n.o)), p.e).otherwise(n.e)
+    return u.select("file", "row.number", "row.start_ns", "row.time_ns", "progress", (F.col("row.time_ns") - F.col("row.start_ns") - pick).alias("delta_ns"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: str, name: str) -> DataFrame:
     """``left`` plus the ``take`` of the ``right`` row whose ``on`` is nearest (the lower of two as near); NULL if none.
 

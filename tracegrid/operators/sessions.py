@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.model import finite, round_half_away
+from tracegrid.operators.blocks import numbered
 from tracegrid.operators.events import merge_intervals
+from tracegrid.runtime import materialise
 
 SECOND = 1_000_000_000
 WEEK_MS = 604_800_000
@@ -90,45 +92,68 @@ def group_sessions(files: DataFrame, max_gap_seconds: int = 60) -> DataFrame:
 
     In the order of key (NULL first) and start, a file joins the one before it if
     both have the same key and its start is at most the gap after that one's end.
-    Sessions of one key are numbered from 0; a file without key is a session.
+    Sessions are numbered from 0 over the whole input in this order, and named by
+    their key and number; a file without key is a session, ``unkeyed:`` and its number.
     """
     if not 0 <= max_gap_seconds <= 86_400:
         raise ValueError("max_gap_seconds must be between 0 and 86400")
-    alone = F.coalesce("session_key", F.concat(F.lit("unkeyed:"), "file"))
-    order = Window.partitionBy(alone).orderBy(F.col("absolute_start_ns").asc_nulls_first(), "file")
+    alone = F.when(F.col("session_key").isNull(), F.col("file"))
+    place = ["session_key", alone]
+    order = Window.partitionBy(*place).orderBy(F.col("absolute_start_ns").asc_nulls_first(), "file")
     near = F.col("absolute_start_ns") <= F.lag("absolute_end_ns").over(order) + max_gap_seconds * SECOND
-    d = files.withColumn("__new", (~F.coalesce(near & F.col("session_key").isNotNull(), F.lit(False))).cast("int"))
-    d = d.withColumn("__g", F.sum("__new").over(order) - 1)
-    return d.withColumn("session", F.concat(alone, F.lit(":"), F.col("__g").cast("string"))).drop("__new", "__g")
+    d = files.withColumn("__new", ~F.coalesce(near & F.col("session_key").isNotNull(), F.lit(False)))
+    d = d.withColumn("__first", F.last(F.when(F.col("__new"), F.col("file")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = [F.col("session_key").asc_nulls_first(), F.col("absolute_start_ns").asc_nulls_first(), F.col("file").asc()]
+    firsts = numbered(d.where("__new").select("session_key", "absolute_start_ns", "file"), ranked, "__number").select(F.col("file").alias("__first"), "__number")
+    number = F.col("__number").cast("string")
+    return d.join(firsts, "__first").withColumn("session", F.concat_ws(":", F.coalesce("session_key", F.concat(F.lit("unkeyed:"), number)), number)).drop("__new", "__first", "__number")
 
 
-def session_metadata(files: DataFrame, stints: DataFrame, laps: DataFrame, max_gap_seconds: int = 60) -> DataFrame:
-    """One row per session: files, absolute range, duration, driver ids, stints and laps merged across files, fastest lap."""
-    f = group_sessions(files, max_gap_seconds).select("file", "session", "absolute_start_ns", "absolute_end_ns")
+SESSIONS = ("session_key", "file_count", "absolute_start_ns", "absolute_end_ns", "duration_ns", "driver_ids", "stint_count", "lap_count", "fastest_lap_number", "fastest_lap_time_ns")
+
+
+def session_metadata(files: DataFrame, stints: DataFrame, laps: DataFrame, max_gap_seconds: int = 60, fastest: DataFrame | None = None) -> DataFrame:
+    """One row per session: files, absolute range, duration, driver ids, stints and laps merged across files, fastest lap.
+
+    ``fastest`` (file, number, duration_ns) are the files' own fastest laps, the
+    shortest of which outranks one told from the merged laps.  Files without an
+    absolute start count, their stints and laps do not.
+    """
+    f = materialise(group_sessions(files, max_gap_seconds).select("file", "session", "absolute_start_ns", "absolute_end_ns"), "sessions")
     base = f.groupBy("session").agg(F.count(F.lit(1)).alias("file_count"), F.min("absolute_start_ns").alias("absolute_start_ns"), F.max("absolute_end_ns").alias("absolute_end_ns"))
-    place = lambda d: d.join(f, "file").withColumns({"start_ns": F.col("start_ns") + F.col("absolute_start_ns"), "end_ns": F.col("end_ns") + F.col("absolute_start_ns")})
+    place = lambda d: d.join(f.where("absolute_start_ns is not null"), "file").withColumns({"start_ns": F.col("start_ns") + F.col("absolute_start_ns"), "end_ns": F.col("end_ns") + F.col("absolute_start_ns")})
     gap = max_gap_seconds * SECOND
+    ids = stints.join(f.select("file", "session"), "file").groupBy("session").agg(F.array_join(F.array_sort(F.collect_set("driver_id")).cast("array<string>"), ",").alias("driver_ids"))
     s = merge_intervals(place(stints).select("session", "driver_id", "start_ns", "end_ns"), ["session"], "driver_id", gap)
     n = merge_intervals(place(laps).select("session", "number", "start_ns", "end_ns"), ["session"], "number", gap)
     order = Window.partitionBy("session").orderBy("start_ns")
     n = n.withColumns({"first": F.lag("number").over(order).isNull(), "last": F.lead("number").over(order).isNull()})
     inner = ~F.col("first") & ~F.col("last") & (F.col("end_ns") - F.col("start_ns") >= 10 * SECOND)
-    gs = s.groupBy("session").agg(F.count(F.lit(1)).alias("stint_count"), F.array_join(F.array_sort(F.collect_set("driver_id")).cast("array<string>"), ",").alias("driver_ids"))
-    gn = n.groupBy("session").agg(F.count(F.lit(1)).alias("lap_count"), F.min(F.when(inner, F.struct((F.col("end_ns") - F.col("start_ns")).alias("d"), "start_ns", "number"))).alias("b"))
-    return base.join(gs, "session", "left").join(gn, "session", "left").select(
-        F.col("session").alias("session_key"), "file_count", "absolute_start_ns", "absolute_end_ns", (F.col("absolute_end_ns") - F.col("absolute_start_ns")).alias("duration_ns"),
+    gs = s.groupBy("session").agg(F.count(F.lit(1)).alias("stint_count"))
+    gn = n.groupBy("session").agg(F.count(F.lit(1)).alias("lap_count"), F.min(F.when(inner, F.struct((F.col("end_ns") - F.col("start_ns")).alias("d"), "start_ns", "number"))).alias("told"))
+    out = base.join(ids, "session", "left").join(gs, "session", "left").join(gn, "session", "left")
+    if fastest is None:
+        out = out.withColumn("own", F.lit(None).cast("struct<d:bigint,file:string,number:bigint>"))
+    else:
+        own = fastest.join(f.select("file", "session"), "file").groupBy("session").agg(F.min(F.struct(F.col("duration_ns").alias("d"), "file", "number")).alias("own"))
+        out = out.join(own, "session", "left")
+    return out.select(
+        F.col("session").alias("session_key"), "file_count", "absolute_start_ns", "absolute_end_ns", F.coalesce(F.col("absolute_end_ns") - F.col("absolute_start_ns"), F.lit(0)).alias("duration_ns"),
         F.coalesce("driver_ids", F.lit("")).alias("driver_ids"), F.coalesce("stint_count", F.lit(0)).alias("stint_count"), F.coalesce("lap_count", F.lit(0)).alias("lap_count"),
-        F.col("b.number").alias("fastest_lap_number"), F.col("b.d").alias("fastest_lap_time_ns"),
+        F.coalesce("own.number", "told.number").alias("fastest_lap_number"), F.coalesce("own.d", "told.d").alias("fastest_lap_time_ns"),
     )
 
 
-def stitch(wide_rows: DataFrame, files: DataFrame, max_gap_seconds: int = 60, session: str | None = None) -> DataFrame:
+def stitch(wide_rows: DataFrame, files: DataFrame, max_gap_seconds: int = 60, session: str | None = None, every: bool = False) -> DataFrame:
     """Wide rows of the files of sessions on the session's clock: session_key, time_ns, file_time_ns, source_file, channels.
 
-    ``session`` names the session to read; without it exactly one must be there.
+    ``session`` names the session to read, ``every`` takes all of them; without
+    either exactly one must be there.
     """
     f = group_sessions(files, max_gap_seconds)
-    if session is None:
+    if every:
+        pass
+    elif session is None:
         found = [r[0] for r in f.select("session").distinct().limit(2).collect()]
         if len(found) != 1:
             raise ValueError("the files form no session" if not found else "the files form more than one session")

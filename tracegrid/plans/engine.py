@@ -11,7 +11,7 @@ from tracegrid import channelmap, units
 from tracegrid.operators import events as ev
 from tracegrid.operators import resample as rs
 from tracegrid.operators import sessions as se
-from tracegrid.plans.recordings import SECOND, UNITS, samples, with_duration
+from tracegrid.plans.recordings import DAY_GAP, DAYS, SECOND, UNITS, day_files, day_samples, samples, with_duration
 from tracegrid.plans.recordings import SQL as REC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,8 @@ def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = ("WITH " + REC + "," if sql.lstrip().startswith(">") else "") + sql.lstrip().lstrip(">")
+            text = sql.lstrip()
+            SQL[f.__name__] = ("WITH " + DAYS + "," if text.startswith(">>") else "WITH " + REC + "," if text.startswith(">") else "") + text.lstrip(">")
         return f
 
     return register
@@ -77,9 +78,9 @@ def wide_step_types(spark, d):
     return rs.resample_wide(with_duration(samples(spark, d), "int32"), CHANNELS, rate=2)
 
 
-@query("> x AS (SELECT DISTINCT file, time_ns FROM smp) SELECT file, time_ns, " + ", ".join(f"(SELECT max(value) FROM smp s WHERE s.file = x.file AND s.time_ns = x.time_ns AND s.channel = '{c}') AS \"{c}\"" for c in CHANNELS[:2]) + " FROM x WHERE EXISTS (SELECT 1 FROM smp s WHERE s.file = x.file AND s.time_ns = x.time_ns AND s.channel IN ('click', 'error'))")
+@query("> q AS (SELECT 1) SELECT file, time_ns, " + ", ".join(f"max(value) FILTER (channel = '{c}') AS \"{c}\"" for c in CHANNELS) + " FROM smp GROUP BY 1, 2")
 def wide_pivot(spark, d):
-    return rs.wide(samples(spark, d), ["click", "error"])
+    return rs.wide(samples(spark, d), CHANNELS)
 
 
 @query("""
@@ -181,14 +182,41 @@ def fastest_lap(spark, d):
     return ev.fastest_lap(ev.laps_from_counter(_lap_like(spark, d)))
 
 
+_REPORTED = """,
+rf AS (SELECT file, arg_min(value, time_ns) FILTER (value > 0) AS v, max(value) AS m FROM smp WHERE channel = 'click' GROUP BY 1),
+ref AS (SELECT file, CAST(round(v * CASE WHEN m > 1000 THEN 1e6 ELSE 1e9 END) AS BIGINT) AS r FROM rf WHERE v > 0),
+inf AS (SELECT file, arg_min(number, (duration_ns, start_ns, number)) AS number, min(duration_ns) AS d FROM laps LEFT JOIN ref USING (file)
+  WHERE complete AND duration_ns >= 10000000000 AND (r IS NULL OR duration_ns BETWEEN r // 2 AND r * 3 // 2) GROUP BY 1),
+nb AS (SELECT p.file, p.time_ns, p.value, CAST(round(c.value / 50) AS BIGINT) AS number FROM (SELECT * FROM smp WHERE channel = 'purchase') p ASOF LEFT JOIN (SELECT * FROM smp WHERE channel = 'view') c ON p.file = c.file AND p.time_ns >= c.time_ns),
+rp AS (SELECT nb.*, CAST(round(value * CASE WHEN max(value) OVER (PARTITION BY file) > 1000 THEN 1e6 ELSE 1e9 END) AS BIGINT) AS d FROM nb),
+rep AS (SELECT file, arg_min({'n': number}, (d, time_ns)).n AS number, min(d) AS d FROM rp LEFT JOIN ref USING (file) WHERE value > 0 AND d >= 10000000000 AND (r IS NULL OR d BETWEEN r // 2 AND r * 3 // 2) GROUP BY 1)
+SELECT file, CASE WHEN rep.d IS NOT NULL THEN coalesce(rep.number - 1, 0) ELSE inf.number END AS number, coalesce(rep.d, inf.d) AS duration_ns FROM inf FULL JOIN rep USING (file)"""
+
+
+@query(_RUNS + _REPORTED)
+def fastest_reported(spark, d):
+    s = samples(spark, d)
+    laps = ev.laps_from_counter(_lap_like(spark, d))
+    reported = ev.lap_at(s.where("channel = 'purchase'").select("file", "time_ns", "value"), s.where("channel = 'view'").withColumn("value", F.col("value") / 50)).withColumnRenamed("lap", "number")
+    return ev.fastest_lap(laps, ev.reference_lap(s.where("channel = 'click'")), reported)
+
+
 @query(_RUNS + " SELECT file, count(*) AS lap_count, coalesce(arg_min(number, (duration_ns, start_ns, number)) FILTER (complete AND duration_ns > 5000000000), arg_min(number, (start_ns, number))) AS best_number, coalesce(min(duration_ns) FILTER (complete AND duration_ns > 5000000000), arg_min(duration_ns, (start_ns, number))) AS best_ns FROM laps GROUP BY 1")
 def best_laps(spark, d):
     return ev.laps_report(ev.laps_from_counter(_lap_like(spark, d)))
 
 
-@query(_RUNS + """, o AS (SELECT *, lag(driver_id) OVER (PARTITION BY file ORDER BY start_ns, end_ns) AS l, max(end_ns) OVER (PARTITION BY file ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM stints),
-g AS (SELECT *, sum(CASE WHEN driver_id IS DISTINCT FROM l OR pe IS NULL OR start_ns - pe > 30000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start_ns, end_ns) AS g FROM o)
-SELECT file, min(driver_id) AS driver_id, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM g GROUP BY file, g""")
+def _merged(source: str, key: str, label: str, gap: int, out: str) -> str:
+    """CTEs that join neighbouring intervals of one label, as ``merge_intervals`` does, into ``out``."""
+    return f"""
+{out}1 AS (SELECT *, CASE WHEN {label} IS DISTINCT FROM lag({label}) OVER w OR lag(start_ns) OVER w IS NULL THEN 1 ELSE 0 END AS other FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY start_ns, end_ns, {label})),
+{out}2 AS (SELECT *, sum(other) OVER (PARTITION BY {key} ORDER BY start_ns, end_ns, {label} ROWS UNBOUNDED PRECEDING) AS island FROM {out}1),
+{out}3 AS (SELECT *, max(end_ns) OVER (PARTITION BY {key}, island ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM {out}2),
+{out}4 AS (SELECT *, sum(CASE WHEN upto IS NULL OR start_ns - upto > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, island ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS part FROM {out}3),
+{out} AS (SELECT {key}, min({label}) AS {label}, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM {out}4 GROUP BY {key}, island, part)"""
+
+
+@query(_RUNS + "," + _merged("stints", "file", "driver_id", 30 * SECOND, "mg") + " SELECT * FROM mg")
 def merge_stints(spark, d):
     return ev.merge_intervals(ev.driver_stints(_lap_like(spark, d)), ["file"], "driver_id", 30 * SECOND)
 
@@ -229,16 +257,26 @@ def _pulses(spark, d) -> DataFrame:
     return samples(spark, d).where("channel = 'view'").withColumn("value", F.when(F.col("value") > 60, 1.0).otherwise(0.0))
 
 
-@query("""
+def _greedy(source: str, least: int, out: str) -> str:
+    """CTE ``out`` (file, time_ns): each event of ``source`` at least ``least`` ns after the last one kept."""
+    return f"""{out}l AS (SELECT file, list(DISTINCT time_ns ORDER BY time_ns) AS t FROM {source} GROUP BY 1),
+{out} AS (SELECT file, unnest(list_reduce(list_prepend([CAST(NULL AS BIGINT)], list_transform(t, lambda x: [x])), lambda a, x: CASE WHEN a[-1] IS NULL THEN x WHEN x[1] - a[-1] >= {least} THEN list_concat(a, x) ELSE a END)) AS time_ns FROM {out}l)"""
+
+
+_BEACONS = """
 > p AS (SELECT file, time_ns, CASE WHEN value > 60 THEN 1 ELSE 0 END AS v FROM smp WHERE channel = 'view'),
 e AS (SELECT file, time_ns FROM (SELECT *, lag(v) OVER (PARTITION BY file ORDER BY time_ns) AS b FROM p) WHERE v > 0 AND b <= 0 AND time_ns > 0),
-l AS (SELECT file, list(time_ns ORDER BY time_ns) AS t FROM e GROUP BY 1)
-SELECT file, unnest(list_reduce(list_prepend([CAST(NULL AS BIGINT)], list_transform(t, lambda x: [x])), lambda a, x: CASE WHEN a[-1] IS NULL THEN x WHEN x[1] - a[-1] >= 5000000000 THEN list_concat(a, x) ELSE a END)) AS time_ns FROM l""")
+""" + _greedy("e", 5 * SECOND, "mk")
+
+
+@query(_BEACONS + " SELECT file, time_ns FROM mk")
 def beacons(spark, d):
     return ev.beacons(_pulses(spark, d))
 
 
-@query()
+@query(_BEACONS + """, d AS (SELECT file, row_number() OVER w AS i, lead(time_ns) OVER w - time_ns AS d FROM mk WINDOW w AS (PARTITION BY file ORDER BY time_ns)),
+y AS (SELECT file, count(*) + 1 AS total_laps, arg_min(i, (d, i)) FILTER (d IS NOT NULL) + 1 AS fastest_lap, CAST(round(min(d) / 1e6) AS BIGINT) AS ms FROM d GROUP BY 1)
+SELECT file, total_laps, fastest_lap, printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000) AS fastest_time FROM y""")
 def beacon_summary(spark, d):
     return ev.lap_summary(ev.beacons(_pulses(spark, d)))
 
@@ -248,7 +286,13 @@ def _track(spark, d) -> DataFrame:
     return s.select("file", "time_ns", (F.col("value") / 100).alias("latitude"), (F.pmod(F.col("sample_index") * 37, F.lit(101)) / 50 - 1).alias("longitude"))
 
 
-@query()
+@query("""
+> tr AS (SELECT file, time_ns, value / 100 AS y1, (sample_index * 37) % 101 / 50.0 - 1 AS x1 FROM smp WHERE channel = 'view'),
+b AS (SELECT *, lag(y1) OVER w AS y0, lag(x1) OVER w AS x0 FROM tr WINDOW w AS (PARTITION BY file ORDER BY time_ns)),
+e AS (SELECT file, time_ns FROM b WHERE y0 IS NOT NULL AND (x0 <> x1 OR y0 <> y1)
+  AND (0.0 * (y0 - 0.0) - (5.0 - 0.0) * (x0 - 0.0)) * (0.0 * (y1 - 0.0) - (5.0 - 0.0) * (x1 - 0.0)) <= 0
+  AND ((x1 - x0) * (0.0 - y0) - (y1 - y0) * (0.0 - x0)) * ((x1 - x0) * (5.0 - y0) - (y1 - y0) * (0.0 - x0)) <= 0),
+""" + _greedy("e", 10 * SECOND, "mk") + " SELECT file, time_ns FROM mk")
 def gate_crossings(spark, d):
     return ev.gate_crossings(_track(spark, d), (0.0, 0.0, 5.0, 0.0))
 
@@ -260,6 +304,19 @@ def gps_projection(spark, d):
     return ev.project_track(_track(spark, d)).withColumns({"x_m": F.round("x_m", 3), "y_m": F.round("y_m", 3)})
 
 
+@query("""
+> la AS (SELECT file, time_ns, value - 50 AS latitude FROM smp WHERE channel = 'view'), lo AS (SELECT file, time_ns, 2 * value - 100 AS longitude FROM smp WHERE channel = 'click'),
+tr AS (SELECT la.file, la.time_ns, latitude, longitude FROM la ASOF JOIN lo ON la.file = lo.file AND la.time_ns >= lo.time_ns)
+SELECT file, time_ns, latitude, longitude FROM tr WHERE abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)""")
+def gps_track(spark, d):
+    from tracegrid.operators.roles import gps_track as track
+
+    s = samples(spark, d).where("channel in ('view', 'click')")
+    lat = F.col("channel") == "view"
+    s = s.select("file", F.when(lat, F.lit("GPS Latitude")).otherwise("GPS Longitude").alias("name"), F.when(lat, 1).otherwise(2).alias("channel_id"), "time_ns", F.when(lat, F.col("value") - 50).otherwise(2 * F.col("value") - 100).alias("value"))
+    return track(s.drop("name"), s.groupBy("file", "channel_id", "name").agg(F.count(F.lit(1)).alias("sample_count")))
+
+
 @query(_RUNS + """ SELECT l.file, l.number, s.channel, count(*) AS n, min(s.value) AS low, max(s.value) AS high, round(avg(s.value), 6) AS mean
 FROM smp s JOIN laps l ON s.file = l.file AND s.time_ns >= l.start_ns AND s.time_ns < l.end_ns GROUP BY 1, 2, 3""")
 def lap_stats(spark, d):
@@ -273,13 +330,43 @@ def lap_progress(spark, d):
     return ev.lap_progress(samples(spark, d), ev.laps_from_counter(_lap_like(spark, d))).withColumn("progress", F.round("progress", 6))
 
 
+_PROGRESS = _RUNS + """,
+dl AS (SELECT s.file, l.number, l.start_ns, s.time_ns, s.value FROM smp s JOIN laps l ON s.channel = 'purchase' AND l.file = s.file AND s.time_ns >= l.start_ns AND s.time_ns < l.end_ns),
+sp AS (SELECT file, number, start_ns, min(value) AS lo, max(value) AS hi, count(*) AS n FROM dl GROUP BY 1, 2, 3),
+pl AS (SELECT dl.*, lo, hi, n, row_number() OVER (PARTITION BY dl.file, dl.number, dl.start_ns ORDER BY time_ns) AS i FROM dl JOIN sp USING (file, number, start_ns)),
+pg AS (SELECT file, number, start_ns, time_ns, CASE WHEN value IS NOT NULL AND hi > lo THEN greatest(0.0, least(1.0, (value - lo) / (hi - lo))) ELSE (i - 1) / greatest(n - 1, 1) END AS progress FROM pl)"""
+
+
+@query(_PROGRESS + " SELECT file, number, start_ns, time_ns, round(progress, 9) AS progress FROM pg")
+def distance_progress(spark, d):
+    return _distance(spark, d).withColumn("progress", F.round("progress", 9))
+
+
+def _distance(spark, d) -> DataFrame:
+    return ev.distance_progress(samples(spark, d).where("channel = 'purchase'"), ev.laps_from_counter(_lap_like(spark, d)))
+
+
+@query(_PROGRESS + """,
+rf AS (SELECT file, arg_min(number, (duration_ns, start_ns)) AS number, arg_min(start_ns, (duration_ns, start_ns)) AS start_ns FROM laps WHERE duration_ns >= 60000000000 GROUP BY 1),
+rp AS (SELECT file, progress, min(time_ns) AS o, min(time_ns - pg.start_ns) AS e FROM pg SEMI JOIN rf ON pg.file = rf.file AND pg.number = rf.number AND pg.start_ns = rf.start_ns GROUP BY 1, 2),
+bf AS (SELECT pg.*, rp.progress AS p, rp.o AS po, rp.e AS pe FROM pg ASOF LEFT JOIN rp ON pg.file = rp.file AND pg.progress >= rp.progress),
+af AS (SELECT pg.file, pg.number, pg.start_ns, pg.time_ns, rp.progress AS q, rp.o AS qo, rp.e AS qe FROM pg ASOF LEFT JOIN rp ON pg.file = rp.file AND pg.progress <= rp.progress)
+SELECT file, number, start_ns, time_ns, round(progress, 9) AS progress, time_ns - start_ns - CASE WHEN q IS NULL OR progress - p < q - progress OR (progress - p = q - progress AND po <= qo) THEN pe ELSE qe END AS delta_ns
+FROM bf JOIN af USING (file, number, start_ns, time_ns) WHERE p IS NOT NULL OR q IS NOT NULL""")
+def lap_deltas(spark, d):
+    """Every point of every lap against the file's shortest lap of a minute or more, at equal progress."""
+    laps = ev.laps_from_counter(_lap_like(spark, d))
+    best = laps.where(F.col("duration_ns") >= 60 * SECOND).groupBy("file").agg(F.min(F.struct("duration_ns", "start_ns", "number")).alias("b")).select("file", "b.number", "b.start_ns")
+    return ev.lap_deltas(_distance(spark, d), best).withColumn("progress", F.round("progress", 9))
+
+
 @query("""
 > l AS (SELECT file, sample_index, time_ns FROM smp WHERE channel = 'click'), r AS (SELECT file, time_ns, value FROM smp WHERE channel = 'view'),
 p AS (SELECT l.*, r.time_ns AS pt, r.value AS pv FROM l ASOF LEFT JOIN r ON l.file = r.file AND l.time_ns >= r.time_ns),
 n AS (SELECT l.file, l.sample_index, r.time_ns AS nt, r.value AS nv FROM l ASOF LEFT JOIN r ON l.file = r.file AND l.time_ns <= r.time_ns)
 SELECT p.file, p.time_ns, p.sample_index, CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL OR p.time_ns - pt <= nt - p.time_ns THEN pv ELSE nv END AS view
 FROM p JOIN n USING (file, sample_index)""")
-def lap_delta(spark, d):
+def nearest_rows(spark, d):
     s = samples(spark, d)
     return ev.nearest(s.where("channel = 'click'").select("file", "time_ns", "sample_index"), s.where("channel = 'view'").select("file", "time_ns", "value"), ["file"], "time_ns", "value", "view")
 
@@ -296,41 +383,56 @@ def video_frames(spark, d):
     return rs.frame_at(s.where("channel = 'click'"), frames)
 
 
-_FILES = """
-> fl AS (SELECT 'user_' || user_id || '#' || CAST(ts AS DATE) AS file, 'key:' || user_id AS session_key, min(epoch_us(ts)) * 1000 AS absolute_start_ns, max(epoch_us(ts)) * 1000 AS absolute_end_ns FROM events GROUP BY user_id, CAST(ts AS DATE)),
-o AS (SELECT *, CASE WHEN absolute_start_ns <= lag(absolute_end_ns) OVER w + 36000000000000 THEN 0 ELSE 1 END AS fresh FROM fl WINDOW w AS (PARTITION BY session_key ORDER BY absolute_start_ns, file)),
-g AS (SELECT *, session_key || ':' || CAST(sum(fresh) OVER (PARTITION BY session_key ORDER BY absolute_start_ns, file) - 1 AS BIGINT) AS session FROM o)"""
-
-
-def _files(spark, d) -> DataFrame:
-    from tracegrid.sources.tables import table
-
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    e = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day"), us.alias("us"))
-    g = e.groupBy("user_id", "day").agg((F.min("us") * 1000).alias("absolute_start_ns"), (F.max("us") * 1000).alias("absolute_end_ns"))
-    return g.select(F.concat(F.lit("user_"), "user_id", F.lit("#"), F.col("day").cast("string")).alias("file"), F.concat(F.lit("key:"), "user_id").alias("session_key"), "absolute_start_ns", "absolute_end_ns")
-
-
-@query(_FILES + " SELECT file, session_key, absolute_start_ns, absolute_end_ns, session FROM g")
+@query(">> q AS (SELECT 1) SELECT file, session_key, absolute_start_ns, absolute_end_ns, session FROM g")
 def session_groups(spark, d):
-    return se.group_sessions(_files(spark, d), 36_000)
+    return se.group_sessions(day_files(spark, d), DAY_GAP)
+
+
+def _day_runs(name: str, width: int) -> str:
+    """CTE ``name``: runs of the rounded value over ``width``, over all events of a file."""
+    return f"""
+{name}1 AS (SELECT file, time_ns, CAST(round(value / {width}) AS BIGINT) AS v FROM smp),
+{name}2 AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER w OR lag(time_ns) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM {name}1 WINDOW w AS (PARTITION BY file ORDER BY time_ns)),
+{name} AS (SELECT r.file, v, time_ns AS start_ns, coalesce(lead(time_ns) OVER w, absolute_end_ns - absolute_start_ns) AS end_ns, row_number() OVER w AS run, count(*) OVER (PARTITION BY r.file) AS n
+  FROM {name}2 r JOIN fl USING (file) WHERE fresh = 1 WINDOW w AS (PARTITION BY r.file ORDER BY time_ns))"""
+
+
+_SESSIONS = (
+    ">>" + _day_runs("dr", 50) + "," + _day_runs("lr", 20) + """,
+sti AS (SELECT session, v AS driver_id, absolute_start_ns + start_ns AS start_ns, absolute_start_ns + end_ns AS end_ns FROM dr JOIN g USING (file) WHERE (n = 1 OR end_ns - start_ns >= 1000000000) AND v >= 0),
+lap AS (SELECT file, v AS number, start_ns, end_ns, run > 1 AND run < n AS complete FROM lr WHERE v > 0),
+lpi AS (SELECT session, number, absolute_start_ns + start_ns AS start_ns, absolute_start_ns + end_ns AS end_ns FROM lap JOIN g USING (file)),"""
+    + _merged("sti", "session", "driver_id", DAY_GAP * SECOND, "ms") + "," + _merged("lpi", "session", "number", DAY_GAP * SECOND, "ml") + """,
+own AS (SELECT file, min((end_ns - start_ns, start_ns, number)) AS b, min(end_ns - start_ns) AS d, arg_min(number, (end_ns - start_ns, start_ns, number)) AS number FROM lap WHERE complete AND end_ns - start_ns >= 10000000000 GROUP BY 1),
+so AS (SELECT session, min(d) AS d, arg_min(number, (d, file)) AS number FROM own JOIN g USING (file) GROUP BY 1),
+tl AS (SELECT session, count(*) AS lap_count, min(d) FILTER (inner_lap) AS d, arg_min(number, (d, start_ns, number)) FILTER (inner_lap) AS number FROM (
+  SELECT *, end_ns - start_ns AS d, lag(number) OVER w IS NOT NULL AND lead(number) OVER w IS NOT NULL AND end_ns - start_ns >= 10000000000 AS inner_lap FROM ml WINDOW w AS (PARTITION BY session ORDER BY start_ns)) GROUP BY 1),
+ids AS (SELECT session, string_agg(CAST(driver_id AS VARCHAR), ',' ORDER BY driver_id) AS driver_ids FROM (SELECT DISTINCT session, driver_id FROM sti) GROUP BY 1),
+ns AS (SELECT session, count(*) AS stint_count FROM ms GROUP BY 1),
+bs AS (SELECT session, count(*) AS file_count, min(absolute_start_ns) AS absolute_start_ns, max(absolute_end_ns) AS absolute_end_ns FROM g GROUP BY 1)
+SELECT session AS session_key, file_count, absolute_start_ns, absolute_end_ns, absolute_end_ns - absolute_start_ns AS duration_ns, coalesce(driver_ids, '') AS driver_ids, coalesce(stint_count, 0) AS stint_count,
+  coalesce(lap_count, 0) AS lap_count, coalesce(so.number, tl.number) AS fastest_lap_number, coalesce(so.d, tl.d) AS fastest_lap_time_ns
+FROM bs LEFT JOIN ids USING (session) LEFT JOIN ns USING (session) LEFT JOIN tl USING (session) LEFT JOIN so USING (session)"""
+)
+
+
+@query(_SESSIONS)
+def session_metadata(spark, d):
+    f, s = day_files(spark, d), day_samples(spark, d)
+    s = s.join(f.select("file", (F.col("absolute_end_ns") - F.col("absolute_start_ns")).alias("duration_ns")), "file")
+    stints = ev.driver_stints(s.withColumn("value", F.col("value") / 50))
+    laps = ev.laps_from_counter(s.withColumn("value", F.col("value") / 20))
+    return se.session_metadata(f, stints, laps.select("file", "number", "start_ns", "end_ns"), DAY_GAP, ev.fastest_lap(laps))
 
 
-@query(_FILES + " SELECT session AS session_key, count(*) AS file_count, min(absolute_start_ns) AS absolute_start_ns, max(absolute_end_ns) AS absolute_end_ns, max(absolute_end_ns) - min(absolute_start_ns) AS duration_ns FROM g GROUP BY 1")
-def session_metadata(spark, d):
-    f = _files(spark, d)
-    spans = f.select("file", F.lit(1).cast("bigint").alias("driver_id"), F.lit(1).cast("bigint").alias("number"), F.lit(0).cast("bigint").alias("start_ns"), (F.col("absolute_end_ns") - F.col("absolute_start_ns")).alias("end_ns"))
-    m = se.session_metadata(f, spans.drop("number"), spans.drop("driver_id"), 36_000)
-    return m.select("session_key", "file_count", "absolute_start_ns", "absolute_end_ns", "duration_ns")
+_STITCH = ", ".join(f"max(CASE WHEN channel = '{c}' THEN coalesce(a, f) END) AS \"{c}\"" for c in CHANNELS)
 
 
-@query(_FILES + """, st AS (SELECT session, min(absolute_start_ns) AS s0 FROM g GROUP BY 1)
-SELECT g.session AS session_key, g.absolute_start_ns - s0 AS time_ns, CAST(0 AS BIGINT) AS file_time_ns, g.file AS source_file, CAST(g.absolute_end_ns - g.absolute_start_ns AS BIGINT) AS span FROM g JOIN st USING (session) WHERE session = (SELECT max(session) FROM g)""")
+@query(_GRID.replace(">", ">>", 1) + f""", w AS (SELECT file, time_ns, {_STITCH} FROM j GROUP BY 1, 2), st AS (SELECT session, min(absolute_start_ns) AS s0 FROM g GROUP BY 1)
+SELECT g.session AS session_key, w.time_ns + g.absolute_start_ns - s0 AS time_ns, w.time_ns AS file_time_ns, g.file AS source_file, {", ".join(f'"{c}"' for c in CHANNELS)} FROM w JOIN g USING (file) JOIN st USING (session)""")
 def session_stitch(spark, d):
-    f = _files(spark, d)
-    rows = f.select("file", F.lit(0).cast("bigint").alias("time_ns"), (F.col("absolute_end_ns") - F.col("absolute_start_ns")).alias("span"))
-    last = se.group_sessions(f, 36_000).agg(F.max("session")).first()[0]
-    return se.stitch(rows, f, 36_000, last)
+    w = rs.resample_wide(with_duration(day_samples(spark, d)), CHANNELS, rate=2, interpolate="previous")
+    return se.stitch(w, day_files(spark, d), DAY_GAP, every=True)
 
 
 @query("> q AS (SELECT 1) SELECT file, max(time_ns) + 1000000000 AS duration_ns, count(DISTINCT channel) AS channel_count, count(DISTINCT channel) AS sampled_channel_count, count(*) AS sample_count FROM smp GROUP BY 1")
@@ -341,7 +443,11 @@ def file_summary(spark, d):
     return se.file_summary(c).drop("schema_hash")
 
 
-@query()
+@query("""
+WITH c AS (SELECT DISTINCT file, channel_id, name, unit, type_code FROM channels),
+x AS (SELECT file, string_agg(hex(encode(translate(coalesce(name, '') || coalesce(unit, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) || printf('%02X', coalesce(type_code, 0)), '' ORDER BY channel_id) AS t FROM c GROUP BY 1),
+b AS (SELECT file, list_transform(generate_series(1, length(t) // 2), lambda i: CAST(('0x' || substr(t, 2 * i - 1, 2)) AS UHUGEINT)) AS b FROM x)
+SELECT file, lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), b), lambda h, x: (xor(h, x) * CAST(1099511628211 AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) AS UBIGINT))), 16, '0') AS schema_hash FROM b""")
 def schema_hashes(spark, d):
     from tracegrid.sources.tables import table
 
@@ -377,29 +483,44 @@ def convert_column(spark, d):
     return s.select("file", "sample_index", F.round(units.convert_column(s, "speed", "m/s"), 6).alias("speed"))
 
 
-@query()
+def _unit_values() -> str:
+    """The registry as a CTE ``un``, one row per spelling."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(a)}, {text(u.unit)}, {a == u.unit}, {text(u.dimension)}, {text(u.base_unit)}, CAST({u.factor!r} AS DOUBLE), CAST({u.offset!r} AS DOUBLE), {u.convertible})" for u in units.UNITS for a in u.spellings)
+    return f"WITH un(unit, canonical_unit, is_canonical, dimension, base_unit, to_base_factor, to_base_offset, is_convertible) AS (VALUES {rows})"
+
+
+@query(_unit_values() + " SELECT * FROM un")
 def units_table(spark, d):
     return units.units_table(spark)
 
 
-@query()
+@query(_unit_values() + """ SELECT a.dimension, a.unit AS source, b.unit AS target,
+round(CASE WHEN a.unit = b.unit THEN 1.0 ELSE ((((a.to_base_factor + a.to_base_offset - b.to_base_offset) / b.to_base_factor) * b.to_base_factor + b.to_base_offset) - a.to_base_offset) / a.to_base_factor END, 9) AS round_trip
+FROM un a JOIN un b ON a.dimension = b.dimension WHERE a.is_canonical AND b.is_canonical AND a.is_convertible AND b.is_convertible""")
 def unit_pairs(spark, d):
     u = units.units_table(spark).where("is_canonical and is_convertible")
     return u.alias("a").join(u.alias("b"), "dimension").select("dimension", F.col("a.unit").alias("source"), F.col("b.unit").alias("target"), F.round(units.convert_units(units.convert_units(F.lit(1.0), F.col("a.unit"), F.col("b.unit")), F.col("b.unit"), F.col("a.unit")), 9).alias("round_trip"))
 
 
-@query()
+@query(_unit_values() + " SELECT a.unit AS source, b.unit AS target, false AS possible FROM un a JOIN un b ON a.dimension <> b.dimension WHERE a.is_canonical AND b.is_canonical")
 def unit_cross_dimension(spark, d):
     u = units.units_table(spark).where("is_canonical").select("unit", "dimension")
     return u.alias("a").join(F.broadcast(u.alias("b")), F.col("a.dimension") != F.col("b.dimension")).select(F.col("a.unit").alias("source"), F.col("b.unit").alias("target"), units.can_convert(F.col("a.unit"), F.col("b.unit")).alias("possible"))
 
 
-@query("> q AS (SELECT 1) SELECT channel AS column_name, min(unit) AS unit, channel || ' -> ' || channel || ' [' || min(unit) || ']' AS channel_map_rule, 'COMMENT ON COLUMN \"lap\".\"' || channel || '\" IS ''unit=' || min(unit) || '''' AS ddl FROM smp GROUP BY channel")
+@query("""
+WITH k AS (SELECT DISTINCT file, channel_id, name, unit, frequency_hz, sample_period_ns FROM channels WHERE name IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY file, channel_id, name, unit NULLS FIRST, frequency_hz NULLS FIRST) AS r FROM k),
+p AS (SELECT name AS column_name, coalesce(unit, '') AS unit, 'unit=' || coalesce(unit, '') || coalesce('; native_frequency_hz=' || regexp_replace(CAST(frequency_hz AS VARCHAR), '\\.0$', '') || '; native_sample_period_ns=' || sample_period_ns, '') AS kv_metadata FROM f WHERE r = 1)
+SELECT column_name, unit, 'COMMENT ON COLUMN "lap"."' || replace(column_name, '"', '""') || '" IS ''' || replace(kv_metadata, '''', '''''') || '''' AS ddl, kv_metadata,
+  column_name || ' -> ' || column_name || CASE WHEN unit <> '' THEN ' [' || unit || ']' ELSE '' END AS channel_map_rule FROM p""")
 def column_comments(spark, d):
     from tracegrid.sources.comments import column_comments as comments
+    from tracegrid.sources.tables import table
 
-    c = samples(spark, d).groupBy("channel").agg(F.min("unit").alias("unit")).select(F.lit("all").alias("file"), F.lit(0).alias("channel_id"), F.col("channel").alias("name"), "unit")
-    return comments(c, "lap").select("column_name", "unit", "channel_map_rule", "ddl")
+    c = table(spark, d, "channels").select("file", "channel_id", "name", "unit", "frequency_hz", "sample_period_ns").where("name is not null")
+    return comments(c, "lap")
 
 
 @query("""

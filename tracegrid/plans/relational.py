@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.model import finite
+from tracegrid.operators.blocks import along, index_block, stored_once
+from tracegrid.operators.quantiles import exact_quantiles
 from tracegrid.plans.recordings import SQL as REC
 from tracegrid.plans.recordings import samples
 from tracegrid.sources.tables import table
@@ -31,17 +33,17 @@ _FINITE = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "telemetry_samples").drop("arrived_at").distinct()
+    return stored_once(table(spark, d, "telemetry_samples").drop("arrived_at"))
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "channels").distinct()
 
 
-@query("SELECT file, channel_id, sample_index, time_ns, value FROM telemetry_samples WHERE channel_id = 40 AND time_ns >= 10000000000 AND time_ns < 60000000000 AND arrived_at < TIMESTAMP '2030-01-01'")
+@query("SELECT file, channel_id, sample_index, time_ns, CASE WHEN NOT isnan(value) THEN value END AS value, coalesce(isnan(value), false) AS is_nan FROM telemetry_samples WHERE time_ns >= 1000000000 AND arrived_at < TIMESTAMP '2030-01-01'")
 def samples_scan(spark, d):
-    s = table(spark, d, "telemetry_samples")
-    return s.where((F.col("channel_id") == 40) & (F.col("time_ns") >= 10 * 10**9) & (F.col("time_ns") < 60 * 10**9) & (F.col("arrived_at") < F.lit("2030-01-01").cast("timestamp_ntz"))).select("file", "channel_id", "sample_index", "time_ns", "value")
+    s = table(spark, d, "telemetry_samples").where((F.col("time_ns") >= 10**9) & (F.col("arrived_at") < F.lit("2030-01-01").cast("timestamp_ntz")))
+    return s.select("file", "channel_id", "sample_index", "time_ns", F.nanvl("value", F.lit(None)).alias("value"), F.coalesce(F.isnan("value"), F.lit(False)).alias("is_nan"))
 
 
 @query("SELECT file, format, count(*) AS definitions, count(*) FILTER (sample_count > 0) AS sampled, max(duration_ns) AS duration_ns FROM (SELECT DISTINCT * FROM channels) GROUP BY 1, 2")
@@ -54,10 +56,10 @@ def regex_filter(spark, d):
     return channels(spark, d).where(F.col("name").rlike("^(?:.*(Speed|SPEED|speed).*)$")).select("name").distinct()
 
 
-@query("SELECT DISTINCT file, channel_id, name FROM channels WHERE (lower(name) LIKE '%temp%' OR unit IN ('C', 'K')) AND name NOT IN ('Oil Temp') AND frequency_hz IS NOT NULL AND channel_id BETWEEN 1 AND 50")
+@query("SELECT DISTINCT file, channel_id, name FROM channels WHERE (lower(name) LIKE '%temp%' OR unit IN ('C', 'K')) AND name NOT IN ('Oil Temp') AND frequency_hz IS NOT NULL")
 def predicates(spark, d):
     c = channels(spark, d)
-    return c.where((F.lower("name").like("%temp%") | F.col("unit").isin("C", "K")) & ~F.col("name").isin("Oil Temp") & F.col("frequency_hz").isNotNull() & F.col("channel_id").between(1, 50)).select("file", "channel_id", "name").distinct()
+    return c.where((F.lower("name").like("%temp%") | F.col("unit").isin("C", "K")) & ~F.col("name").isin("Oil Temp") & F.col("frequency_hz").isNotNull()).select("file", "channel_id", "name").distinct()
 
 
 @query("SELECT DISTINCT file, channel_id, CASE WHEN dimension IS NULL THEN 'unknown' WHEN dimension IN ('count', 'marker') THEN 'mark' ELSE 'measure' END AS kind FROM channels")
@@ -151,9 +153,8 @@ def top_speed(spark, d):
 
 @query("> q AS (SELECT 1) SELECT channel, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM smp GROUP BY 1")
 def percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = samples(spark, d).groupBy("channel").agg(p.alias("p"))
-    return g.select("channel", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    q = exact_quantiles(samples(spark, d), ["channel"], (0.05, 0.5, 0.95))
+    return q.select("channel", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 @query("SELECT dimension, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT DISTINCT * FROM channels) GROUP BY 1")
@@ -188,21 +189,6 @@ def topk_channels(spark, d):
     return g.orderBy(F.col("n").desc(), "file", "channel_id").limit(20)
 
 
-@query("> w AS (SELECT file, time_ns, max(value) FILTER (channel = 'view') AS a, max(value) FILTER (channel = 'click') AS b FROM smp GROUP BY 1, 2) SELECT file, max(round(sqrt(pow(coalesce(a, 0), 2) + pow(coalesce(b, 0), 2)), 6)) AS combined FROM w GROUP BY 1")
-def combined_g(spark, d):
-    w = samples(spark, d).where("channel in ('view', 'click')").groupBy("file", "time_ns").pivot("channel", ["view", "click"]).agg(F.max("value"))
-    g = F.sqrt(F.pow(F.coalesce("view", F.lit(0.0)), 2) + F.pow(F.coalesce("click", F.lit(0.0)), 2))
-    # Files without either channel have combined 0, as in SQL.
-    every = samples(spark, d).select("file").distinct()
-    return every.join(w.groupBy("file").agg(F.max(F.round(g, 6)).alias("c")), "file", "left").select("file", F.coalesce("c", F.lit(0.0)).alias("combined"))
-
-
-@query("> q AS (SELECT 1) SELECT file, max(value * CASE unit WHEN 'km/h' THEN 1 ELSE 0.1 END) AS high, min(value * CASE unit WHEN 'km/h' THEN 1 ELSE 0.1 END) AS low, max(abs(value)) AS peak FROM smp WHERE channel IN ('view', 'click') GROUP BY 1")
-def peak_g(spark, d):
-    v = F.col("value") * F.when(F.col("unit") == "km/h", 1.0).otherwise(0.1)
-    return samples(spark, d).where("channel in ('view', 'click')").groupBy("file").agg(F.max(v).alias("high"), F.min(v).alias("low"), F.max(F.abs("value")).alias("peak"))
-
-
 @query("> q AS (SELECT 1) SELECT file, CAST(floor(value / 20) AS BIGINT) AS gear, count(*) / 100.0 AS seconds FROM smp WHERE channel = 'view' GROUP BY 1, 2")
 def gear_usage(spark, d):
     return samples(spark, d).where("channel = 'view'").groupBy("file", F.floor(F.col("value") / 20).cast("bigint").alias("gear")).agg((F.count(F.lit(1)) / 100.0).alias("seconds"))
@@ -258,9 +244,10 @@ def stats_tool_raw(spark, d):
 
 @query("> o AS (SELECT *, row_number() OVER (PARTITION BY file, channel ORDER BY time_ns) AS position, lag(value) OVER (PARTITION BY file, channel ORDER BY time_ns) AS before, count(*) OVER (PARTITION BY file, channel) AS total FROM smp) SELECT file, channel, sample_index, position, before, total FROM o")
 def window_forms(spark, d):
-    w = Window.partitionBy("file", "channel")
-    o = w.orderBy("time_ns")
-    return samples(spark, d).select("file", "channel", "sample_index", F.row_number().over(o).cast("bigint").alias("position"), F.lag("value").over(o).alias("before"), F.count(F.lit(1)).over(w).alias("total"))
+    key = ["file", "channel"]
+    s = samples(spark, d)
+    o = along(s, key, ["sample_index"], index_block(), before=["value"], number="position")
+    return o.join(s.groupBy(*key).agg(F.count(F.lit(1)).alias("total")), key).select(*key, "sample_index", F.col("position").cast("bigint").alias("position"), F.col("before.value").alias("before"), "total")
 
 
 @query("SELECT n_name AS nation, r_name AS region, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")

@@ -17,7 +17,8 @@ def column_comments(channels: DataFrame, table: str) -> DataFrame:
     unit = F.coalesce("unit", F.lit(""))
     payload = F.concat(F.lit("unit="), unit)
     if len(extra) == 2:
-        payload = F.concat(payload, F.lit("; native_frequency_hz="), F.regexp_replace(F.col("frequency_hz").cast("string"), r"\.0$", ""), F.lit("; native_sample_period_ns="), F.col("sample_period_ns").cast("string"))
+        clock = F.concat(F.lit("; native_frequency_hz="), F.regexp_replace(F.col("frequency_hz").cast("string"), r"\.0$", ""), F.lit("; native_sample_period_ns="), F.col("sample_period_ns").cast("string"))
+        payload = F.concat(payload, F.coalesce(clock, F.lit("")))
     quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
     ddl = F.concat(F.lit("COMMENT ON COLUMN "), quoted(F.lit(table)), F.lit("."), quoted(F.col("name")), F.lit(" IS '"), F.replace(payload, F.lit("'"), F.lit("''")), F.lit("'"))
     rule = F.concat("name", F.lit(" -> "), "name", F.when(unit != "", F.concat(F.lit(" ["), unit, F.lit("]"))).otherwise(""))

@@ -85,7 +85,8 @@ class Library:
 
     def session_metadata(self, max_gap_seconds: int = 60) -> DataFrame:
         """One row per session of files that continue each other."""
-        return se.session_metadata(self.clocks().select("file", "session_key", "absolute_start_ns", "absolute_end_ns"), self.stints(), self.laps().select("file", "number", "start_ns", "end_ns"), max_gap_seconds)
+        laps = materialise(self.laps(), "laps")
+        return se.session_metadata(self.clocks().select("file", "session_key", "absolute_start_ns", "absolute_end_ns"), self.stints(), laps.select("file", "number", "start_ns", "end_ns"), max_gap_seconds, self.fastest(laps))
 
     def read_session(
         self, rate: int = 100, channels: str | None = None, interpolate: str = "linear", max_gap_seconds: int = 60, start_ns: int | None = None, end_ns: int | None = None, unit_tags: bool = False, channel_map: str | None = None, timestamps: bool = False
