@@ -305,7 +305,7 @@ def gps_projection(spark, d):
 
 
 @query("""
-> la AS (SELECT file, time_ns, value - 50 AS latitude FROM smp WHERE channel = 'view'), lo AS (SELECT file, time_ns, 2 * value - 100 AS longitude FROM smp WHERE channel = 'click'),
+> la AS (SELECT file, time_ns, value / 10 - 10 AS latitude FROM smp WHERE channel = 'view'), lo AS (SELECT file, time_ns, value / 5 - 20 AS longitude FROM smp WHERE channel = 'click'),
 tr AS (SELECT la.file, la.time_ns, latitude, longitude FROM la ASOF JOIN lo ON la.file = lo.file AND la.time_ns >= lo.time_ns)
 SELECT file, time_ns, latitude, longitude FROM tr WHERE abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)""")
 def gps_track(spark, d):
@@ -313,7 +313,7 @@ def gps_track(spark, d):
 
     s = samples(spark, d).where("channel in ('view', 'click')")
     lat = F.col("channel") == "view"
-    s = s.select("file", F.when(lat, F.lit("GPS Latitude")).otherwise("GPS Longitude").alias("name"), F.when(lat, 1).otherwise(2).alias("channel_id"), "time_ns", F.when(lat, F.col("value") - 50).otherwise(2 * F.col("value") - 100).alias("value"))
+    s = s.select("file", F.when(lat, F.lit("GPS Latitude")).otherwise("GPS Longitude").alias("name"), F.when(lat, 1).otherwise(2).alias("channel_id"), "time_ns", F.when(lat, F.col("value") / 10 - 10).otherwise(F.col("value") / 5 - 20).alias("value"))
     return track(s.drop("name"), s.groupBy("file", "channel_id", "name").agg(F.count(F.lit(1)).alias("sample_count")))
 
 
