@@ -198,19 +198,41 @@ def test_export(spark, logs, tmp_path):
         sinks.write_recording(R.read(spark, f"{logs}/a.pds"), "x.vbo")
 
 
-def test_sql_surface(spark, logs):
+def test_sql_surface(spark, logs, tmp_path):
     from tracegrid import sql
 
     sql.install(spark)
+    q = lambda text: spark.sql(text).collect()
     assert spark.sql(f"select * from telemetry_samples('{logs}/a.pds', channel => 'speed')").count() == 4
-    assert spark.sql(f"select * from telemetry_metadata('{logs}/a.pds', channels => 'speed')").count() == 1
-    assert [r.Speed for r in spark.sql(f"select Speed from read_telemetry('{logs}/a.pds', rate => 2, channels => 'Speed') order by time_ns limit 3").collect()] == [10, 10.5, 11]
-    assert spark.sql("select telemetry_convert(36D, 'km/h', 'm/s'), telemetry_can_convert('bar', 's')").first()[:] == (10.0, False)
+    assert q(f"select distinct channel, unit from telemetry_samples('{logs}/a.pds', channel => 'speed', start_ns => 1000000000, end_ns => 3000000000, channel_map => 'Speed -> V [km/h] * 3.6')")[0][:] == ("V", "km/h")
+    assert spark.sql(f"select s.* from telemetry_files('{logs}/*.{{pds,ld}}') f, lateral telemetry_samples(f.file) s").count() == spark.sql(f"select * from telemetry_samples('{logs}/*.{{pds,ld}}')").count()
+    assert q(f"select name, unit, canonical_unit from telemetry_metadata('{logs}/a.pds', channels => 'speed', channel_map => 'Speed -> V [kph]')")[0][:] == ("V", "kph", "km/h")
+    assert [r.Speed for r in q(f"select Speed from read_telemetry('{logs}/a.pds', rate => 2, channels => 'Speed') order by time_ns limit 3")] == [10, 10.5, 11]
+    w = spark.sql(f"select * from read_telemetry('{logs}/a.pds', rate => 1, channels => 'Speed', start_ns => 1000000000, end_ns => 3000000000, filename => true, timestamps => true, unit_tags => true, channel_map => 'Speed -> V [km/h] * 3.6')")
+    assert w.columns == ["filename", "create_date", "modified_at", "time_ns", "V"] and [round(r.V, 6) for r in w.orderBy("time_ns").collect()] == [39.6, 43.2]
+    w.createOrReplaceTempView("tagged")
+    back = spark.sql("select * from telemetry_convert_column(table(tagged), 'V', 'm/s')")
+    assert [round(r.V, 6) for r in back.orderBy("time_ns").collect()] == [11, 12] and back.schema["V"].metadata["telemetry_unit"] == "m/s"
+    with pytest.raises(Exception, match="carries no unit"):
+        spark.sql("select * from telemetry_convert_column(table(select V * 2 as V from tagged), 'V', 'm/s')").collect()
+    assert q("select telemetry_convert(36D, 'km/h', 'm/s'), telemetry_can_convert('bar', 's'), telemetry_convert(null, 'bar', 's'), isnan(telemetry_convert(double('nan'), 'C', 'K'))")[0][:] == (10.0, False, None, True)
+    assert "Python" not in spark.sql("select telemetry_convert(id, 'km/h', 'm/s') from range(3)")._jdf.queryExecution().executedPlan().toString()
     assert spark.sql(f"select * from read_vbo('{logs}/*', rate => 1)").count() == 2 and spark.sql(f"select * from read_motec('{logs}/*', rate => 1)").count() == 4
-    assert spark.sql("select count(*) from telemetry_units()").first()[0] == 249
-    assert spark.sql(f"select kv_metadata from telemetry_column_comments('{logs}/a.pds', 'lap', channels => 'Speed')").first()[0] == "unit=m/s; native_frequency_hz=1; native_sample_period_ns=1000000000"
+    assert q("select count(*) from telemetry_units()")[0][0] == 249
+    assert q(f"select kv_metadata from telemetry_column_comments('{logs}/a.pds', 'lap', channels => 'Speed')")[0][0] == "unit=m/s; native_frequency_hz=1; native_sample_period_ns=1000000000"
+    rule = q(f"select column_name, channel_map_rule from telemetry_column_comments('{logs}/a.pds', 'lap', channels => 'v', channel_map => 'Speed -> V')")[0]
+    assert rule[:] == ("V", "Speed -> V [m/s]")
+    out = q(f"select * from write_telemetry('{logs}/a.pds', '{tmp_path}/o.ld', channel_mapping => array(array('Speed', 'Ground Speed', 'km/h')), exclude_channels => array('Gear'), sum_channels => array(array('Speed', 'Speed', 'Twice', 'm/s')), driver => 'Ann', vehicle_number => '7', team => 'T')")[0]
+    assert (out.channels, out.samples) == (3, 12) and 'Id="Vehicle Number" Value="7"' in open(out.sidecar).read()
+    got = {r.channel: r.unit for r in q(f"select distinct channel, unit from telemetry_samples('{tmp_path}/o.ld')")}
+    assert got["Ground Speed"] == "km/h" and got["Twice"] == "m/s" and "Gear" not in got
+    assert [round(r.value, 5) for r in q(f"select value from telemetry_samples('{tmp_path}/o.ld', channel => 'Ground Speed') order by time_ns")] == [36, 39.6, 43.2, 46.8]
+    for bad in (f"telemetry_samples('{logs}/a.pds', channel => 'nope')", f"read_telemetry('{logs}/a.pds', rate => 0)", f"read_telemetry('{logs}/a.pds', colour => 1)", f"read_telemetry_session('{logs}/*')", f"telemetry_session_metadata('{logs}/*', max_gap_seconds => 90000)", f"write_telemetry('{logs}/a.pds', '{tmp_path}/o.vbo')"):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.sql(f"select * from {bad}").collect()
     with pytest.raises(Exception, match="unknown unit"):
         spark.sql("select telemetry_convert(36D, 'x', 'm/s')").collect()
+    assert {"telemetry_convert", "telemetry_can_convert"} <= {r[0] for r in q("show user functions")}
 
 
 def test_library(spark, tmp_path):
@@ -229,5 +251,14 @@ def test_library(spark, tmp_path):
     s = lib.read_session(rate=20, channels="RPM", max_gap_seconds=1).orderBy("source_file", "time_ns").collect()
     assert len({r.source_file for r in s}) == 2 and (s[0].video_frame_index, s[0].driver_id, s[0].lap_number, s[0].RPM) == (0, 3, 1, 5000.0)
     assert {r.time_ns - r.file_time_ns for r in s if r.source_file.endswith("part1.mp4")} == {200_000_000}
+    # The table functions say the same without a cluster.
+    from tracegrid import sql
+
+    sql.install(spark)
+    local = spark.sql(f"select * from telemetry_file_metadata('{tmp_path}/*.mp4')")
+    assert local.columns == lib.file_metadata().columns and [tuple(r) for r in local.orderBy("file").collect()] == [tuple(r) for r in f]
+    assert [tuple(r) for r in spark.sql(f"select * from telemetry_session_metadata('{tmp_path}/*.mp4', max_gap_seconds => 1)").collect()] == [tuple(r) for r in m]
+    t = spark.sql(f"select * from read_telemetry_session('{tmp_path}/*.mp4', rate => 20, channels => 'RPM', max_gap_seconds => 1)")
+    assert t.columns == s[0].__fields__ and [tuple(r) for r in t.orderBy("source_file", "time_ns").collect()] == [tuple(r) for r in s]
     with pytest.raises(ValueError, match="unknown options"):
         Library(spark, str(tmp_path), format="x")

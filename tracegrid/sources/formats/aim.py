@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from tracegrid.model import DECLARED
-from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording
+from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, Wanted, wants
 
 # Fixed values of the format.
 FOURCC, SIGNATURE, GPS_WIDTH = b"aimd", b"amv0", 56
@@ -189,8 +189,11 @@ def period_chunks(times_ns: np.ndarray) -> list[Chunk]:
     return [Chunk(period, int(b - a), 0, int(a), int(times_ns[a])) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def decode(raw: bytes) -> Recording:
-    """Scalar and GPS channels of the logger track, times from the first stamp; frame times of the first video track."""
+def decode(raw: bytes, values: Wanted = True) -> Recording:
+    """Scalar and GPS channels of the logger track, times from the first stamp; frame times of the first video track.
+
+    The stamps are read in any case, since they tell the counts; values only where they are wanted.
+    """
     tracks = _tracks(raw)
     logger = next((t for t in tracks if b"stsd" in t and raw[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16] == FOURCC), None)
     if logger is None:
@@ -226,11 +229,14 @@ def decode(raw: bytes) -> Recording:
     for rid, (c, _) in scalars.items():
         t = (np.array(stamps[rid], np.int64) - zero) * 1_000_000
         dtype = {1: "<u1", 4: "<i4", 5: "<u4", 6: "<f4"}[c.type_code]
-        c.chunks, c.values = period_chunks(t), np.frombuffer(b"".join(bodies[rid]), dtype).astype(np.float64)
+        c.chunks = period_chunks(t)
+        if wants(values, c.name):
+            c.values = np.frombuffer(b"".join(bodies[rid]), dtype).astype(np.float64)
         channels.append(c)
     if gps_id is not None:
         t = (records["stamp"].astype(np.int64) - zero) * 1_000_000
-        for k, ((name, unit, code), v) in enumerate(zip(GPS, gps_values(records), strict=True)):
+        solved = gps_values(records) if any(wants(values, name) for name, *_ in GPS) else [None] * len(GPS)
+        for k, ((name, unit, code), v) in enumerate(zip(GPS, solved, strict=True)):
             channels.append(Channel(gps_id + k, name, unit, DECLARED, code, period_chunks(t), None, v))
     return Recording("aimd", channels, frames=frames)
 

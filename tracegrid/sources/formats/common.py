@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,6 +10,14 @@ import numpy as np
 from tracegrid.model import STORAGE, UNKNOWN
 
 
+#: Which channels' values a decoder reads: all, none (headers only), or those whose name passes.
+Wanted = bool | Callable[[str], bool]
+
+
+def wants(values: Wanted, name: str) -> bool:
+    return values if isinstance(values, bool) else values(name)
+
+
 class FormatError(ValueError):
     """A file that is not what its extension says."""
 

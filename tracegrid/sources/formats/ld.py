@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from tracegrid.model import DECLARED, STORAGE, UNKNOWN
-from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, latin1
+from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, Wanted, latin1, wants
 
 # Fixed values of the format: offsets, sizes and codes.
 MAGIC, LEAST, BLOCK, MOST_CHANNELS = 0x40, 0x1A0, 124, 4096
@@ -42,7 +42,7 @@ def _type_code(kind: int, width: int) -> int:
     return {2: 2, 4: 4}.get(width, 6)
 
 
-def decode(raw: bytes, values: bool = True) -> Recording:
+def decode(raw: bytes, values: Wanted = True) -> Recording:
     """Channels in list order; integers are scaled by the block's shift, multiplier, scale and decimals."""
     if len(raw) < LEAST or struct.unpack_from("<I", raw)[0] != MAGIC:
         raise FormatError("no recording of this format")
@@ -59,7 +59,7 @@ def decode(raw: bytes, values: bool = True) -> Recording:
             count = min(count, max(0, (len(raw) - data) // width))
             code = _type_code(kind, width)
             c = Channel(len(rec.channels), name, unit, DECLARED if unit else UNKNOWN, code, [Chunk(1_000_000_000 // hz, count, data, 0, 0)] if count else [])
-            if values and count:
+            if count and wants(values, name):
                 x = np.frombuffer(raw, STORAGE[code][1], count, data).astype(np.float64)
                 if code in (2, 4):
                     x = (x / (scale or 1) * 10.0 ** -dec + shift) * (mul or 1)

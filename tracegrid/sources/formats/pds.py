@@ -7,7 +7,7 @@ import struct
 import numpy as np
 
 from tracegrid.model import DECLARED, SPEC_DEFAULT, STORAGE, UNKNOWN
-from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, utf16
+from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, Wanted, utf16, wants
 
 # Fixed values of the format.
 LEAST, ENTRY, ENTRIES, TICK_NS = 256, 32, 20, 100
@@ -124,7 +124,7 @@ def _unit(record: bytes, quantity_at: int | None, unit_at: int | None) -> tuple[
     return "", UNKNOWN
 
 
-def decode(raw: bytes, values: bool = True) -> Recording:
+def decode(raw: bytes, values: Wanted = True) -> Recording:
     """Channels in the order of their definitions, each with its chunks in the order of the chunk table."""
     if len(raw) < LEAST:
         raise FormatError("too short")
@@ -160,9 +160,9 @@ def decode(raw: bytes, values: bool = True) -> Recording:
                 continue
             c.chunks.append(Chunk(period, samples, at, base, time))
             base, time = base + samples, time + samples * period
-            if values:
+            if wants(values, name):
                 parts.append(np.frombuffer(raw, dtype, samples, at).astype(np.float64))
-        c.values = np.concatenate(parts) if parts else np.zeros(0)
+        c.values = (np.concatenate(parts) if parts else np.zeros(0)) if wants(values, name) else None
         out.append(c)
     if not out:
         raise FormatError("no channels")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from tracegrid.model import DECLARED, SPEC_DEFAULT, UNKNOWN
-from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording
+from tracegrid.sources.formats.common import Channel, Chunk, FormatError, Recording, Wanted, wants
 
 #: Fixed values of the format: the short names of the built-in columns, in order, with long name and unit.
 BUILT_IN = (
@@ -41,12 +41,23 @@ def _seconds(hms: np.ndarray) -> np.ndarray:
     return np.floor(hms / 10_000) * 3600 + np.floor(hms / 100) % 100 * 60 + hms % 100
 
 
-def decode(raw: bytes) -> Recording:
+def _column(rows: list[list[str]], j: int) -> np.ndarray:
+    """Column j of the data rows; NaN for a missing or unreadable token."""
+    tokens = [t[j] if j < len(t) else "nan" for t in rows]
+    try:
+        return np.array(tokens, dtype=np.float64)
+    except ValueError:
+        return np.array([_float(t) for t in tokens])
+
+
+def decode(raw: bytes, values: Wanted = True) -> Recording:
     """Every column of the data section as a float64 channel on the file's own, possibly uneven, clock.
 
     A missing or unreadable token is NaN; rows of fewer than two tokens are no rows.
-    The time column counts seconds from the first row and passes midnight.
+    The time column counts seconds from the first row and passes midnight.  Columns
+    whose values are not wanted are not read, but for the two that tell the clock.
     """
+    raw = bytes(raw)
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
@@ -58,27 +69,22 @@ def decode(raw: bytes) -> Recording:
     rows = [t for t in (line.split() for line in part.get("data", [])) if len(t) >= 2]
     if not rows:
         raise FormatError("no data rows")
-    data = np.full((len(rows), len(short)), np.nan)
-    for i, tokens in enumerate(rows):
-        for j, token in enumerate(tokens[: len(short)]):
-            data[i, j] = _float(token)
     lower = [s.lower() for s in short]
     if "time" not in lower:
         raise FormatError("no time column")
-    clock = _seconds(data[:, lower.index("time")])
+    clock = _seconds(_column(rows, lower.index("time")))
     if np.isnan(clock).any():
         raise FormatError("a row without time")
     clock = np.where(clock < clock[0] - _HALF_DAY_S, clock + _DAY_S, clock)
     elapsed = clock - clock[0]
-    data[:, lower.index("time")] = elapsed
     times = np.round(np.maximum(elapsed, 0) * 1e9).astype(np.int64)
     period = 0.1
     steps = np.diff(times)
     if (steps > 0).any():
         period = steps[steps > 0][0] / 1e9
-    if "tsample" in lower and (data[:, lower.index("tsample")] > 0).any():
-        column = data[:, lower.index("tsample")]
-        period = column[column > 0][0]
+    told = _column(rows, lower.index("tsample")) if "tsample" in lower else np.zeros(0)
+    if (told > 0).any():
+        period = told[told > 0][0]
     period_ns = int(round(period * 1e9))
     header, custom = part.get("header", []), part.get("channel units", [])
     channels = []
@@ -90,7 +96,10 @@ def decode(raw: bytes) -> Recording:
         elif j >= len(BUILT_IN) and j - len(BUILT_IN) < len(custom) and custom[j - len(BUILT_IN)] not in ("", "(null)"):
             unit, source = custom[j - len(BUILT_IN)], DECLARED
         chunk = Chunk(period_ns, len(rows), 0, 0, 0)
-        channels.append(Channel(j, title, unit, source, 7, [chunk], times, data[:, j]))
+        x = None
+        if wants(values, title):
+            x = elapsed if lower[j] == "time" else _column(rows, j)
+        channels.append(Channel(j, title, unit, source, 7, [chunk], times, x))
     return Recording("vbo", channels, clock="time_of_day", start_ns=int(round(clock[0] * 1e9)), session_hint="vbo:time_of_day")
 
 

@@ -13,10 +13,8 @@ from tracegrid.operators import sessions as se
 from tracegrid.operators.blocks import along, time_block
 from tracegrid.runtime import bounded_rows, materialise
 from tracegrid.sources.recordings import MOST_NAMES, open_recording, read, read_wide
+from tracegrid.sources.summary import GPS_ITOW, GPS_WEEK, VIDEO_FILE, VIDEO_SYNC
 
-#: Normalised channel names by meaning.
-GPS_WEEK, GPS_ITOW = ("gpsweek",), ("gpsitow", "itow")
-VIDEO_FILE, VIDEO_SYNC = ("avifileindex",), ("avisynctime", "avitime")
 _ROLES = {"driver": ev.DRIVER_NAMES, "lap": ev.LAP_NAMES, "timer": ev.TIMER_NAMES, "reference": ev.REFERENCE_NAMES, "reported": ev.REPORTED_NAMES, "week": GPS_WEEK, "itow": GPS_ITOW, "video_file": VIDEO_FILE, "video_sync": VIDEO_SYNC}
 _PICK = ("only", "created_from", "created_to")
 
@@ -125,7 +123,7 @@ class Library:
         def run(batches):
             for b in batches:
                 for p in b.column("file").to_pylist():
-                    t = open_recording(p).frames
+                    t = open_recording(p, False).frames
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(t), pa.string()), pa.array(t, pa.int64()), pa.array(range(len(t)), pa.int64())], names=["file", "time_ns", "frame_index"])
 
         return paths.mapInArrow(run, "file string, time_ns bigint, frame_index bigint")

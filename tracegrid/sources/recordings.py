@@ -12,6 +12,8 @@ do the options ``channels``, ``start_ns`` and ``end_ns``.
 
 from __future__ import annotations
 
+import mmap
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from tracegrid import units
 from tracegrid.model import CHANNELS, CHUNKS, FILES, SAMPLES
 from tracegrid.runtime import bounded_rows
 from tracegrid.sources.formats import aim, ld, pds, vbo
-from tracegrid.sources.formats.common import Recording
+from tracegrid.sources.formats.common import FormatError, Recording, Wanted
 from tracegrid.sources.paths import find_files, format_of
 
 RELATIONS = {"samples": SAMPLES, "channels": CHANNELS, "chunks": CHUNKS, "files": FILES}
@@ -34,14 +36,17 @@ _BATCH = 1 << 16
 MOST_NAMES = 1_000_000
 
 
-def decode(raw: bytes, form: str) -> Recording:
-    """A recording from the bytes of a file of the given format."""
-    return {"vbo": vbo.decode, "motec": ld.decode, "pds": pds.decode, "aimd": aim.decode}[form](raw)
+def decode(raw: bytes, form: str, values: Wanted = True) -> Recording:
+    """A recording from the bytes of a file of the given format; ``values`` tells which channels' values are read."""
+    return {"vbo": vbo.decode, "motec": ld.decode, "pds": pds.decode, "aimd": aim.decode}[form](raw, values)
 
 
-def open_recording(path: str) -> Recording:
+def open_recording(path: str, values: Wanted = True) -> Recording:
+    """A recording from a file, mapped into memory: with ``values`` False or a test of names only the pages needed are read."""
     with open(path, "rb") as f:
-        return decode(f.read(), format_of(path))
+        if not os.fstat(f.fileno()).st_size:
+            raise FormatError(f"{path}: empty file")
+        return decode(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), format_of(path), values)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -72,7 +77,7 @@ def sample_batches(path: str, rec: Recording, channels: set[str] | None = None,
     """Samples of a recording in channel order, those of the wanted channels and times only."""
     schema = _arrow(SAMPLES)
     for j, c in enumerate(rec.channels):
-        if not c.sample_count or j % part[1] != part[0] or (channels is not None and c.name.lower() not in channels):
+        if not c.sample_count or j % part[1] != part[0] or c.values is None or (channels is not None and c.name.lower() not in channels):
             continue
         t, hz, x = c.time_ns(), c.frequency_hz(), np.asarray(c.values, np.float64)
         keep = np.flatnonzero((t >= start_ns) & (t < end_ns if end_ns is not None else True))
@@ -123,10 +128,13 @@ class TelemetryReader(DataSourceReader):
         return [FilePart(p, i, parts) for p in self.paths for i in range(parts)]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
-        rec = open_recording(partition.path)
         if self.relation == "samples":
-            yield from sample_batches(partition.path, rec, self.channels, self.start_ns, self.end_ns, (partition.part, partition.parts))
+            # The headers tell which channels are this part's; only their values are decoded.
+            heads = open_recording(partition.path, False).channels
+            mine = {c.name for j, c in enumerate(heads) if j % partition.parts == partition.part and (self.channels is None or c.name.lower() in self.channels)}
+            yield from sample_batches(partition.path, open_recording(partition.path, mine.__contains__), self.channels, self.start_ns, self.end_ns, (partition.part, partition.parts))
             return
+        rec = open_recording(partition.path, False)
         rows = {"channels": _channel_rows, "chunks": _chunk_rows, "files": _file_rows}[self.relation](partition.path, rec)
         if self.channels is not None and self.relation == "channels":
             rows = [r for r in rows if r[3].lower() in self.channels]
