@@ -53,44 +53,36 @@ def _readings(samples: DataFrame, chunks: DataFrame) -> DataFrame:
     stored = block.orderBy("position", "mark")
     r = spread(_slots(samples, chunks), samples, "h", "i").withColumns({"slot": F.last("slot", ignorenulls=True).over(stored.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("mark").over(stored), "next_position": F.lead("position").over(stored)})
     r = r.where((F.col("mark") == 1) & F.col("slot").isNotNull() & (F.col("position") < F.col("slot.upto")))
-    whole = F.coalesce(F.col("slot.period").cast("decimal(20,6)"), F.when(F.col("frequency_hz") > 0, (F.lit(1e9) / F.col("frequency_hz")).cast("decimal(20,6)")))
+    period = F.coalesce(F.col("slot.period").cast("double"), F.when(F.col("frequency_hz") > 0, F.lit(1e9) / F.col("frequency_hz")))
     exact = F.col("slot.period")
     offset = F.col("time_ns") - F.col("slot.base")
     # Integer arithmetic for a whole period, so that a reading midway between two ticks goes to the later one.
     halves = 2 * offset + exact
     tick = F.when(exact.isNotNull(), F.expr("(2 * (time_ns - slot.base) + slot.period) div (2 * slot.period)") - F.when(halves < 0, 1).otherwise(0))
     tick = tick.otherwise(F.floor(offset / (F.lit(1e9) / F.col("frequency_hz")) + 0.5))
-    return r.select("h", "i", "slot", "position", "time_ns", "value", tick.cast("bigint").alias("tick"), whole.alias("period"), (F.col("next").isNull() | (F.col("next") == 0) | (F.col("next_position") >= F.col("slot.upto"))).alias("last")).where("tick is not null")
+    return r.select("h", "i", "slot", "position", "time_ns", "value", tick.cast("bigint").alias("tick"), period.alias("period"), (F.col("next").isNull() | (F.col("next") == 0) | (F.col("next_position") >= F.col("slot.upto"))).alias("last")).where("tick is not null")
 
 
-def _paired(samples: DataFrame, chunks: DataFrame, every: bool) -> DataFrame:
-    """Finite readings with the one after them in their block and chunk, and the last stored sample of each.
+def _paired(samples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The reading that counts of each tick of a block and chunk, with the one after it, and the last stored sample of each.
 
-    With ``every`` also ``nearer``, the place of a reading among those of its tick
-    (1 is the one whose value counts), and ``local_end``, the tick of the last row.
+    Of the finite readings of a tick the nearest counts.  ``local_end`` is the tick
+    of the last stored sample.  All windows follow one order.
     """
-    r = _readings(samples, chunks).withColumn("finite", _finite(F.col("value")))
+    r = _readings(samples, chunks).withColumn("finite", _finite(F.col("value"))).where("finite or last")
+    r = r.withColumn("off", F.abs(F.col("time_ns") - F.col("slot.base") - F.col("tick") * F.col("period")))
     near = Window.partitionBy("h", "i", "slot.chunk_index")
-    inner = near.orderBy("tick", F.col("finite").desc(), "position")
+    inner = near.orderBy("tick", F.col("finite").desc(), "off", "position")
+    before = F.lag(F.struct("tick", "finite")).over(inner)
+    counts = F.col("finite") & ~F.coalesce(F.col("before.finite") & (F.col("before.tick") == F.col("tick")), F.lit(False))
+    kept = r.withColumn("before", before).withColumn("counts", counts).where("counts or last")
     cover = F.when(F.col("finite"), F.col("tick"))
-    kept = r.where("finite or last").withColumns(
-        {
-            "n1": F.lead(F.struct("tick", "finite", "value")).over(inner),
-            "n2": F.lead(F.struct("tick", "finite", "value"), 2).over(inner),
-            "first_cover": F.min(cover).over(near),
-            "last_cover": F.max(cover).over(near),
-        }
-    )
+    row = F.struct("tick", "finite", "value")
+    kept = kept.withColumns({"n1": F.lead(row).over(inner), "n2": F.lead(row, 2).over(inner), "first_cover": F.min(cover).over(near), "last_cover": F.max(cover).over(near), "local_end": F.max(F.when(F.col("last"), F.col("tick"))).over(near)})
     # At most one row of a block and chunk, its last, is not finite.
     follow = F.when(F.col("n1.finite") == F.lit(False), F.col("n2")).otherwise(F.col("n1"))
-    kept = kept.withColumn("next", F.when(F.col("finite"), follow))
     slot = [F.col(f"slot.{f}").alias(f) for f in ("file", "channel_id", "chunk_index", "base", "block")]
-    shown = [*slot, "period", "position", "tick", "time_ns", "value", "finite", "last", "first_cover", "last_cover", "next"]
-    if every:
-        off = F.abs(F.col("time_ns") - F.col("slot.base") - F.round(F.col("tick") * F.col("period"), 0))
-        kept = kept.withColumn("off", off).withColumns({"nearer": F.row_number().over(Window.partitionBy("h", "i", "slot.chunk_index", "tick").orderBy(F.col("finite").desc(), "off", "position")), "local_end": F.max(F.when(F.col("last"), F.col("tick"))).over(near)})
-        shown += ["off", "nearer", "local_end"]
-    return kept.select(*shown)
+    return kept.select(*slot, F.col("slot.period").alias("exact"), "period", "position", "tick", "time_ns", "value", "finite", "last", "counts", "off", "first_cover", "last_cover", "local_end", F.when(F.col("finite"), follow).alias("next"))
 
 
 def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_LIMIT) -> DataFrame:
@@ -113,10 +105,10 @@ def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_L
     chunk without stored samples or without a period has no ticks, empty tables
     give an empty result, extra columns are ignored.
     """
-    kept = materialise(_paired(samples, chunks, True), "paired")
+    kept = materialise(_paired(samples, chunks), "paired")
     open_ticks, tail = _open_ticks(kept, fill_limit)
     chunk = ["file", "channel_id", "chunk_index"]
-    best = kept.where("finite and tick >= 0 and nearer = 1").withColumn("t", _at(F.col("tick")))
+    best = kept.where("counts and tick >= 0").withColumn("t", _at(F.col("tick")))
     # A tick inside the block lies before the chunk's last stored sample and is covered from nowhere else.
     clear = (F.col("tick") > F.col("first_cover")) & (F.col("tick") < F.col("last_cover")) & (F.col("tick") <= F.col("local_end"))
     inside = best.where(clear).select(*chunk, "tick", F.col("t").alias("time_ns"), "value", F.lit("reading").alias("state"))
@@ -126,8 +118,8 @@ def regular_grid(samples: DataFrame, chunks: DataFrame, fill_limit: int = FILL_L
 
 
 def _at(tick: Column) -> Column:
-    """The time of a tick."""
-    return (F.col("base") + F.round(tick * F.col("period"), 0)).cast("bigint")
+    """The time of a tick: whole numbers where the period is one."""
+    return F.col("base") + F.coalesce(tick * F.col("exact"), F.round(tick * F.col("period"), 0).cast("bigint"))
 
 
 def _open_ticks(kept: DataFrame, fill_limit: int) -> tuple[DataFrame, DataFrame]:
@@ -135,27 +127,27 @@ def _open_ticks(kept: DataFrame, fill_limit: int) -> tuple[DataFrame, DataFrame]
     edge = (F.col("finite") & ((F.col("tick") == F.col("first_cover")) | (F.col("tick") == F.col("last_cover")))) | F.col("last")
     gap = F.col("next.finite") & (F.col("next.tick") - F.col("tick") > 1)
     spare = kept.where(edge | F.coalesce(gap, F.lit(False))).select(
-        "file", "channel_id", "chunk_index", "base", "block", "period", "position", "tick", "finite", "last", "value", "first_cover", "last_cover", F.when(gap, F.col("next.tick")).alias("next_tick"), F.when(gap, F.col("next.value")).alias("next_value")
+        "file", "channel_id", "chunk_index", "base", "block", "exact", "period", "position", "tick", "finite", "last", "value", "first_cover", "last_cover", F.when(gap, F.col("next.tick")).alias("next_tick"), F.when(gap, F.col("next.value")).alias("next_value")
     )
     spare = materialise(spare, "gaps")
     chunk = ["file", "channel_id", "chunk_index"]
-    within = spare.where("next_tick is not null").select(*chunk, "base", "period", F.col("tick").alias("before"), F.col("value").alias("left"), F.col("next_tick").alias("after"), F.col("next_value").alias("right"))
+    within = spare.where("next_tick is not null").select(*chunk, "base", "exact", "period", F.col("tick").alias("before"), F.col("value").alias("left"), F.col("next_tick").alias("after"), F.col("next_value").alias("right"))
 
     is_first, is_last = F.col("finite") & (F.col("tick") == F.col("first_cover")), F.col("finite") & (F.col("tick") == F.col("last_cover"))
     blocks = spare.groupBy(*chunk, "block").agg(
-        F.min("base").alias("base"), F.min("period").alias("period"),
+        F.min("base").alias("base"), F.min("exact").alias("exact"), F.min("period").alias("period"),
         F.min(F.when(is_first, F.struct("tick", "value"))).alias("first"), F.max(F.when(is_last, F.struct("tick", "value"))).alias("latest"),
         F.max(F.when(F.col("last"), F.struct("position", "tick"))).alias("end"),
     )
     along = Window.partitionBy(*chunk).orderBy("block")
     blocks = blocks.withColumn("previous", F.last("latest", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
     before = blocks.where("first is not null").select(
-        *chunk, "base", "period", F.coalesce(F.col("previous.tick"), F.lit(-1).cast("bigint")).alias("before"), F.col("previous.value").alias("left"), F.col("first.tick").alias("after"), F.when(F.col("previous").isNotNull(), F.col("first.value")).alias("right")
+        *chunk, "base", "exact", "period", F.coalesce(F.col("previous.tick"), F.lit(-1).cast("bigint")).alias("before"), F.col("previous.value").alias("left"), F.col("first.tick").alias("after"), F.when(F.col("previous").isNotNull(), F.col("first.value")).alias("right")
     )
     tail = (
         blocks.groupBy(*chunk)
-        .agg(F.min("base").alias("base"), F.min("period").alias("period"), F.max_by("end", "block").alias("end"), F.max("latest").alias("latest"))
-        .select(*chunk, "base", "period", F.coalesce(F.col("latest.tick"), F.lit(-1).cast("bigint")).alias("before"), F.lit(None).cast("double").alias("left"), (F.col("end.tick") + 1).alias("after"), F.lit(None).cast("double").alias("right"))
+        .agg(F.min("base").alias("base"), F.min("exact").alias("exact"), F.min("period").alias("period"), F.max_by("end", "block").alias("end"), F.max("latest").alias("latest"))
+        .select(*chunk, "base", "exact", "period", F.coalesce(F.col("latest.tick"), F.lit(-1).cast("bigint")).alias("before"), F.lit(None).cast("double").alias("left"), (F.col("end.tick") + 1).alias("after"), F.lit(None).cast("double").alias("right"))
     )
     gaps = within.unionByName(before).unionByName(tail).withColumn("before", F.greatest("before", F.lit(-1).cast("bigint"))).where("after - before > 1")
     pieces = gaps.withColumn("from", F.explode(F.sequence(F.col("before") + 1, F.col("after") - 1, F.lit(PIECE).cast("bigint"))))
@@ -167,4 +159,4 @@ def _open_ticks(kept: DataFrame, fill_limit: int) -> tuple[DataFrame, DataFrame]
 
 def uncovered_ticks(samples: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file, channel_id, chunk_index, tick): the ticks of ``regular_grid`` that no finite reading covers, without the readings."""
-    return _open_ticks(_paired(samples, chunks, False), FILL_LIMIT)[0].select("file", "channel_id", "chunk_index", "tick").distinct()
+    return _open_ticks(_paired(samples, chunks), FILL_LIMIT)[0].select("file", "channel_id", "chunk_index", "tick").distinct()
