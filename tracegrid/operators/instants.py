@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracegrid.runtime import broadcast_if_small, columns_named, materialise
 
+#: Version of the rules of ``parse_instants``; a dictionary kept across runs belongs to one.
+GRAMMAR = 1
 #: Seconds by which GPS time is ahead of UTC, and the GPS epoch as Unix seconds.
 GPS_AHEAD_S = 18
 GPS_EPOCH_S = 315_964_800

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracegrid.operators.anomalies import find_faults
 from tracegrid.operators.drift import consistent_channels, layout_changes, migration_steps
-from tracegrid.operators.instants import normalise_instants
+from tracegrid.operators.instants import GRAMMAR, normalise_instants
 from tracegrid.operators.regular_grid import regular_grid, uncovered_ticks
 from tracegrid.operators.unit_links import link_units
 from tracegrid.operators.unit_resolution import base_unit_profile, recorded_units
+from tracegrid.runtime import shared_root
 from tracegrid.sources.tables import table
 
 REFERENCE = ("unit_defs", "channel_rules", "channel_limits")
@@ -26,7 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return normalise_instants(*_tables(spark, d, "source_files", "venues"))
+    # Texts that an earlier run has parsed are not parsed again.
+    return normalise_instants(*_tables(spark, d, "source_files", "venues"), dictionary=f"{shared_root(spark)}/instants-{GRAMMAR}")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of intermediate tables that are deleted when the application ends.
+_marked: set[str] = set()
 
 
 def get_spark(app: str = "tracegrid", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -30,20 +32,42 @@ def get_spark(app: str = "tracegrid", master: str = "local[8]", **conf: str) ->
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name for an intermediate table.
+def shared_root(spark: SparkSession) -> str:
+    """The folder shared by all executors that ``spark.checkpoint.dir`` names.
 
-    It lies in the folder shared by all executors that ``spark.checkpoint.dir``
-    names.  Only where that setting is absent (a local session, as in tests) a
-    temporary folder of this machine is used; on a cluster that is an error.
+    Only where that setting is absent (a local session, as in tests) a temporary
+    folder of this machine is used; on a cluster that is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"tracegrid-{os.getuid()}")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/tracegrid/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tracegrid"
+
+
+def _application_folder(spark: SparkSession) -> tuple[str, object, object]:
+    """The folder of this application's intermediate tables, with its path and file system."""
+    folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return folder, path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder name for an intermediate table; all of an application go when it ends."""
+    folder, path, system = _application_folder(spark)
+    if folder not in _marked:
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; results that still read them end with them."""
+    folder, path, system = _application_folder(spark)
+    system.delete(path, True)
+    _marked.discard(folder)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

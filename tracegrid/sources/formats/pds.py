@@ -18,9 +18,24 @@ SI_UNITS = {1: "m", 2: "m^3", 3: "m/s", 4: "K", 6: "s", 7: "rad", 8: "rad/s", 9:
 NO_UNIT = (0, 16)
 #: Unit texts found with each quantity code.
 ACCEPTED = {
-    1: "m mm cm km", 2: "m^3 l litre liter ml cc", 3: "m/s km/h kph mph", 4: "k c degc f", 6: "s sec ms us min", 7: "rad deg degree degrees", 8: "rad/s rpm deg/s", 9: "pa kpa bar mbar psi",
-    10: "m/s^2 m/s2 g mps_2", 11: "v mv volt volts", 12: "a ma amp amps", 13: "kg g lb", 14: "n kn lbf", 15: "nm n.m n-m lbft", 16: "pp1 % ratio", 20: "s sec date time", 23: "rad/s^2 rad/s2 deg/s^2",
-}
+    1: ("m", "mm", "cm", "km"),
+    2: ("m^3", "l", "litre", "liter", "ml", "cc"),
+    3: ("m/s", "km/h", "kph", "mph"),
+    4: ("k", "c", "degc", "f"),
+    6: ("s", "sec", "ms", "us", "min"),
+    7: ("rad", "deg", "degree", "degrees"),
+    8: ("rad/s", "rpm", "deg/s"),
+    9: ("pa", "kpa", "bar", "mbar", "psi"),
+    10: ("m/s^2", "m/s2", "g", "mps_2"),
+    11: ("v", "mv", "volt", "volts"),
+    12: ("a", "ma", "amp", "amps"),
+    13: ("kg", "g", "lb"),
+    14: ("n", "kn", "lbf"),
+    15: ("nm", "n.m", "n-m", "lbft"),
+    16: ("pp1", "%", "ratio"),
+    20: ("s", "sec", "date", "time"),
+    23: ("rad/s^2", "rad/s2", "deg/s^2"),
+}
 MARKERS = ("raw", "flag", "flags", "cnt", "count", "code", "pp1", "laps", "lambda", "bit", "bits", "state", "driver", "user defined", "defined", "none", "n/a")
 DEFAULT_UNIT_AT = 0x90
 
@@ -101,7 +116,7 @@ def _unit_fields(records: list[bytes]) -> tuple[int | None, int | None]:
     for qa, values in codes:
         for ua, strings in texts:
             pairs = [(v, s.lower()) for v, s in zip(values, strings, strict=True) if s and v in ACCEPTED]
-            good = sum(s in ACCEPTED[v].split() or s in MARKERS for v, s in pairs)
+            good = sum(s in ACCEPTED[v] or s in MARKERS for v, s in pairs)
             if len(pairs) >= 4 and good >= 0.9 * len(pairs) and (good, good / len(pairs)) > best[:2]:
                 best = (good, good / len(pairs), qa, ua)
     if best[2] is not None:

@@ -13,34 +13,32 @@ _DEG = 180 / math.pi
 
 #: Per dimension (base unit), each unit with base = value * factor + offset and its other spellings.
 _REGISTRY: list[tuple[str, str, list[tuple]]] = [
-    ("length", "m", [("m", 1.0, "metre meter metres meters"), ("mm", 0.001, "millimetre millimeter"), ("cm", 0.01, ""), ("km", 1000.0, ""), ("in", 0.0254, "inch inches"), ("ft", 0.3048, "feet foot"), ("mile", 1609.344, "mi miles")]),
-    ("speed", "m/s", [("m/s", 1.0, "mps ms-1 m.s^-1"), ("km/h", 1 / 3.6, "kph kmh kmph km/hr"), ("mph", 0.44704, "mi/h"), ("kn", 0.5144444444444444, "knot knots")]),
-    ("acceleration", "m/s^2", [("m/s^2", 1.0, "m/s2 mps2 m/s²"), ("g", 9.80665, "G g-force")]),
-    ("angle", "rad", [("rad", 1.0, "radian radians"), ("deg", 1 / _DEG, "degree degrees °"), ("rev", 2 * math.pi, "revolution")]),
-    ("angular_velocity", "rad/s", [("rad/s", 1.0, "rads rad/sec"), ("rpm", 2 * math.pi / 60, "RPM rev/min r/min"), ("deg/s", 1 / _DEG, "dps deg/sec")]),
-    ("angular_acceleration", "rad/s^2", [("rad/s^2", 1.0, "rad/s2"), ("deg/s^2", 1 / _DEG, "deg/s2")]),
-    ("pressure", "Pa", [("Pa", 1.0, "pascal pa"), ("kPa", 1e3, "kpa"), ("MPa", 1e6, "mpa"), ("bar", 1e5, "Bar"), ("mbar", 100.0, "millibar hPa"), ("psi", 6894.757293168361, "PSI lbf/in^2"), ("atm", 101325.0, ""), ("inHg", 3386.388640341, "inhg")]),
-    ("temperature", "K", [("K", 1.0, "kelvin"), ("C", 1.0, "degC °C celsius Celsius deg_C", 273.15), ("F", 5 / 9, "degF °F fahrenheit Fahrenheit deg_F", 273.15 - 32 * 5 / 9)]),
-    ("time", "s", [("s", 1.0, "sec secs second seconds"), ("ms", 0.001, "millisecond msec"), ("us", 1e-6, "microsecond usec µs"), ("ns", 1e-9, "nanosecond nsec"), ("min", 60.0, "minute minutes"), ("h", 3600.0, "hr hour hours")]),
-    ("frequency", "Hz", [("Hz", 1.0, "hz hertz"), ("kHz", 1e3, "khz")]),
-    ("force", "N", [("N", 1.0, "newton"), ("kN", 1e3, "kilonewton"), ("lbf", 4.4482216152605, "")]),
-    ("torque", "Nm", [("Nm", 1.0, "N.m N*m newton-metre"), ("lbft", 1.3558179483314004, "lb-ft ft-lb ftlb")]),
-    ("energy", "J", [("J", 1.0, "joule"), ("kJ", 1e3, "kilojoule"), ("MJ", 1e6, "megajoule"), ("kWh", 3.6e6, "kwh")]),
-    ("power", "W", [("W", 1.0, "watt"), ("kW", 1e3, "kw"), ("hp", 745.6998715822702, "HP bhp"), ("PS", 735.49875, "ps")]),
-    ("voltage", "V", [("V", 1.0, "volt volts"), ("mV", 0.001, "millivolt")]),
-    ("current", "A", [("A", 1.0, "amp amps ampere"), ("mA", 0.001, "milliamp")]),
-    ("resistance", "ohm", [("ohm", 1.0, "Ohm Ω")]),
-    ("mass", "kg", [("kg", 1.0, "kilogram kilogramme"), ("g_mass", 0.001, "gram gramme"), ("lb", 0.45359237, "lbs pound")]),
-    ("volume", "m^3", [("m^3", 1.0, "m3 cubic_metre"), ("L", 0.001, "l litre liter litres liters"), ("mL", 1e-6, "ml millilitre"), ("gal", 0.003785411784, "gallon")]),
-    ("volumetric_flow", "m^3/s", [("m^3/s", 1.0, "m3/s"), ("L/s", 0.001, "l/s"), ("L/h", 0.001 / 3600, "l/h L/hr")]),
-    ("mass_flow", "kg/s", [("kg/s", 1.0, ""), ("kg/h", 1 / 3600, "kg/hr")]),
-    ("ratio", "ratio", [("ratio", 1.0, "fraction Lambda lambda"), ("%", 0.01, "percent pct"), ("%/s", 0.01, "pct/s"), ("%/Period", 0.01, "%/period pct/period")]),
-    ("count", "count", [("count", 1.0, "cnt counts num number"), ("laps", 1.0, "lap"), ("gear", 1.0, ""), ("code", 1.0, "error_code")]),
-    ("marker", "marker", [("marker", 1.0, ""), ("raw", 1.0, "Raw RAW"), ("flag", 1.0, "Flag flags bool boolean"), ("state", 1.0, "status State Status mode"), ("pp1", 1.0, ""), ("Driver", 1.0, "driver"), ("defined", 1.0, "user_defined User_Defined user-defined"), ("text", 1.0, "string label")]),
-    ("logarithmic", "dBm", [("dBm", 1.0, "dbm"), ("dB", 1.0, "db")]),
+    ("length", "m", [("m", 1.0, ("metre", "meter", "metres", "meters")), ("mm", 0.001, ("millimetre", "millimeter")), ("cm", 0.01, ()), ("km", 1000.0, ()), ("in", 0.0254, ("inch", "inches")), ("ft", 0.3048, ("feet", "foot")), ("mile", 1609.344, ("mi", "miles"))]),
+    ("speed", "m/s", [("m/s", 1.0, ("mps", "ms-1", "m.s^-1")), ("km/h", 1 / 3.6, ("kph", "kmh", "kmph", "km/hr")), ("mph", 0.44704, ("mi/h",)), ("kn", 0.5144444444444444, ("knot", "knots"))]),
+    ("acceleration", "m/s^2", [("m/s^2", 1.0, ("m/s2", "mps2", "m/s²")), ("g", 9.80665, ("G", "g-force"))]),
+    ("angle", "rad", [("rad", 1.0, ("radian", "radians")), ("deg", 1 / _DEG, ("degree", "degrees", "°")), ("rev", 2 * math.pi, ("revolution",))]),
+    ("angular_velocity", "rad/s", [("rad/s", 1.0, ("rads", "rad/sec")), ("rpm", 2 * math.pi / 60, ("RPM", "rev/min", "r/min")), ("deg/s", 1 / _DEG, ("dps", "deg/sec"))]),
+    ("angular_acceleration", "rad/s^2", [("rad/s^2", 1.0, ("rad/s2",)), ("deg/s^2", 1 / _DEG, ("deg/s2",))]),
+    ("pressure", "Pa", [("Pa", 1.0, ("pascal", "pa")), ("kPa", 1e3, ("kpa",)), ("MPa", 1e6, ("mpa",)), ("bar", 1e5, ("Bar",)), ("mbar", 100.0, ("millibar", "hPa")), ("psi", 6894.757293168361, ("PSI", "lbf/in^2")), ("atm", 101325.0, ()), ("inHg", 3386.388640341, ("inhg",))]),
+    ("temperature", "K", [("K", 1.0, ("kelvin",)), ("C", 1.0, ("degC", "°C", "celsius", "Celsius", "deg C"), 273.15), ("F", 5 / 9, ("degF", "°F", "fahrenheit", "Fahrenheit", "deg F"), 273.15 - 32 * 5 / 9)]),
+    ("time", "s", [("s", 1.0, ("sec", "secs", "second", "seconds")), ("ms", 0.001, ("millisecond", "msec")), ("us", 1e-6, ("microsecond", "usec", "µs")), ("ns", 1e-9, ("nanosecond", "nsec")), ("min", 60.0, ("minute", "minutes")), ("h", 3600.0, ("hr", "hour", "hours"))]),
+    ("frequency", "Hz", [("Hz", 1.0, ("hz", "hertz")), ("kHz", 1e3, ("khz",))]),
+    ("force", "N", [("N", 1.0, ("newton",)), ("kN", 1e3, ("kilonewton",)), ("lbf", 4.4482216152605, ())]),
+    ("torque", "Nm", [("Nm", 1.0, ("N.m", "N*m", "newton-metre")), ("lbft", 1.3558179483314004, ("lb-ft", "ft-lb", "ftlb"))]),
+    ("energy", "J", [("J", 1.0, ("joule",)), ("kJ", 1e3, ("kilojoule",)), ("MJ", 1e6, ("megajoule",)), ("kWh", 3.6e6, ("kwh",))]),
+    ("power", "W", [("W", 1.0, ("watt",)), ("kW", 1e3, ("kw",)), ("hp", 745.6998715822702, ("HP", "bhp")), ("PS", 735.49875, ("ps",))]),
+    ("voltage", "V", [("V", 1.0, ("volt", "volts")), ("mV", 0.001, ("millivolt",))]),
+    ("current", "A", [("A", 1.0, ("amp", "amps", "ampere")), ("mA", 0.001, ("milliamp",))]),
+    ("resistance", "ohm", [("ohm", 1.0, ("Ohm", "Ω"))]),
+    ("mass", "kg", [("kg", 1.0, ("kilogram", "kilogramme")), ("g_mass", 0.001, ("gram", "gramme")), ("lb", 0.45359237, ("lbs", "pound"))]),
+    ("volume", "m^3", [("m^3", 1.0, ("m3", "cubic metre")), ("L", 0.001, ("l", "litre", "liter", "litres", "liters")), ("mL", 1e-6, ("ml", "millilitre")), ("gal", 0.003785411784, ("gallon",))]),
+    ("volumetric_flow", "m^3/s", [("m^3/s", 1.0, ("m3/s",)), ("L/s", 0.001, ("l/s",)), ("L/h", 0.001 / 3600, ("l/h", "L/hr"))]),
+    ("mass_flow", "kg/s", [("kg/s", 1.0, ()), ("kg/h", 1 / 3600, ("kg/hr",))]),
+    ("ratio", "ratio", [("ratio", 1.0, ("fraction", "Lambda", "lambda")), ("%", 0.01, ("percent", "pct")), ("%/s", 0.01, ("pct/s",)), ("%/Period", 0.01, ("%/period", "pct/period"))]),
+    ("count", "count", [("count", 1.0, ("cnt", "counts", "num", "number")), ("laps", 1.0, ("lap",)), ("gear", 1.0, ()), ("code", 1.0, ("error_code",))]),
+    ("marker", "marker", [("marker", 1.0, ()), ("raw", 1.0, ("Raw", "RAW")), ("flag", 1.0, ("Flag", "flags", "bool", "boolean")), ("state", 1.0, ("status", "State", "Status", "mode")), ("pp1", 1.0, ()), ("Driver", 1.0, ("driver",)), ("defined", 1.0, ("user defined", "User Defined", "user-defined")), ("text", 1.0, ("string", "label"))]),
+    ("logarithmic", "dBm", [("dBm", 1.0, ("dbm",)), ("dB", 1.0, ("db",))]),
 ]
-#: Spellings in which ``_`` stands for a blank above.
-_BLANKED = {"deg_C", "deg_F", "cubic_metre", "user_defined", "User_Defined"}
 NOT_CONVERTIBLE = frozenset({"count", "marker"})
 
 
@@ -74,8 +72,7 @@ def _load() -> list[UnitDef]:
     out = []
     for dimension, base, units in _REGISTRY:
         for name, factor, aliases, *offset in units:
-            spell = [name, *(a.replace("_", " ") if a in _BLANKED else a for a in aliases.split())]
-            out.append(UnitDef(name, dimension, base, factor, offset[0] if offset else 0.0, tuple(spell)))
+            out.append(UnitDef(name, dimension, base, factor, offset[0] if offset else 0.0, (name, *aliases)))
     return out
 
 
