@@ -249,3 +249,30 @@ def test_queries_are_registered(spark):
     from tracegrid.llm import queries
 
     assert [k[:2] for k in queries.QUERIES] == ["p2", "p7", "p7", "p8", "p8", "p9"]
+
+
+def test_nested_markup_goes_in_one_pass():
+    # As taking off the innermost layer again and again would, at any depth.
+    from tracegrid.llm import reading as rd
+
+    def layers(t, pattern):
+        n = 1
+        while n:
+            t, n = pattern.subn("", t)
+        return t
+
+    r = np.random.default_rng(7)
+
+    def nested(depth, pairs):
+        parts = []
+        for _ in range(r.integers(1, 4)):
+            o, c = pairs[r.integers(len(pairs))]
+            parts += [r.choice(["a", " b", "c\n", ""]), o + (nested(depth - 1, pairs) if depth else "x") + c]
+        return "".join(parts) + r.choice(["", "end."])
+
+    for pairs, pattern, once in (([("{{", "}}"), ("{{{", "}}}")], rd._TEMPLATE, rd._without_templates), ([("{|", "|}")], rd._TABLE, rd._without_tables)):
+        for _ in range(200):
+            t = nested(int(r.integers(0, 6)), pairs)
+            assert layers(t, pattern) == once(t), t
+    deep = "{{a " * 200_000 + "x" + "}}" * 200_000 + " The old walls stand."
+    assert prose(deep) == ["The old walls stand."] and prose("{|" * 100_000 + " x" + "|}" * 100_000 + " The old walls stand.") == ["The old walls stand."]

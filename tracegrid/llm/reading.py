@@ -28,6 +28,10 @@ _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _TABLE = re.compile(r"\{\|(?:(?!\{\|).)*?\|\}", re.S)
 _TEMPLATE = re.compile(r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}")
+#: Depth of nesting that is taken off layer by layer, which is quicker for shallow texts than the one pass for any depth.
+SHALLOW = 4
+_TABLE_END = re.compile(r"\{\||\|\}")
+_BRACES = re.compile(r"\{+|\}+")
 _OPEN_TEMPLATE = re.compile(r"\{\{[^\n]*")
 _ASIDE = re.compile(r"\[\[\s*(?:category|file|image|media|[a-z]{2,3}(?:-[a-z]+)?)\s*:[^\[\]]*\]\]", re.I)
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
@@ -44,8 +48,58 @@ OTHERS = frozenset("le la les des du et est une un en que qui dans pour sur avec
 #: Connectives and words that open a subordinate clause.
 CONNECTIVES = frozenset("although though because since while whereas however therefore moreover nevertheless notwithstanding despite unless until consequently furthermore hence thus insofar albeit accordingly correspondingly nonetheless".split())
 SUBORDINATORS = frozenset("which who whom whose that when where after before if whether as than what how".split())
-#: Words of chat that no encyclopedia prose has.
-CHATTER = frozenset("lol lmao rofl omg haha hahaha hehe mum poo poop sucks rules boring hi wtf yay asdf asdfgh qwerty qwertyuiop hamster".split())
+
+
+
+def _without_templates(t: str) -> str:
+    """``t`` without ``{{...}}`` and ``{{{...}}}``, nested to any depth, in one pass; braces without a partner stay."""
+    out: list[str] = []
+    #: Runs of opening braces that may still close: (place in ``out``, braces left).
+    opened: list[list[int]] = []
+    at = 0
+    for m in _BRACES.finditer(t):
+        if m.start() > at:
+            out.append(t[at : m.start()])
+        at = m.end()
+        n = at - m.start()
+        if t[m.start()] == "{":
+            opened.append([len(out), n])
+            out.append(t[m.start() : at])
+            continue
+        while n >= 2 and opened and opened[-1][1] >= 2:
+            place, have = opened[-1]
+            k = 3 if n >= 3 and have >= 3 else 2
+            n -= k
+            del out[place + 1 :]
+            opened[-1][1] = have - k
+            out[place] = "{" * (have - k)
+            if have == k:
+                opened.pop()
+                out.pop()
+        if n:
+            out.append("}" * n)
+            opened.clear()
+    out.append(t[at:])
+    return "".join(out)
+
+
+def _without_tables(t: str) -> str:
+    """``t`` without ``{|...|}``, nested to any depth, in one pass; marks without a partner stay."""
+    out: list[str] = []
+    opened: list[int] = []
+    at = 0
+    for m in _TABLE_END.finditer(t):
+        out.append(t[at : m.start()])
+        at = m.end()
+        if m[0] == "{|":
+            opened.append(len(out))
+            out.append(m[0])
+        elif opened:
+            del out[opened.pop() :]
+        else:
+            out.append(m[0])
+    out.append(t[at:])
+    return "".join(out)
 
 
 def prose(text: str | None) -> list[str]:
@@ -65,10 +119,13 @@ def prose(text: str | None) -> list[str]:
         t = _COMMENT.sub("", t)
         t = _TAG.sub("", _REF.sub("", t))
     if "{" in t:
-        for pattern in (_TEMPLATE, _TABLE):
-            n = 1
-            while n:
+        for pattern, rest in ((_TEMPLATE, _without_templates), (_TABLE, _without_tables)):
+            for _ in range(SHALLOW):
                 t, n = pattern.subn("", t)
+                if not n:
+                    break
+            else:
+                t = rest(t)
         t = _OPEN_TEMPLATE.sub("", t)
     if "[" in t:
         t = _ASIDE.sub("", t)
@@ -86,14 +143,14 @@ def prose(text: str | None) -> list[str]:
 
 
 def is_prose_sentence(s: str) -> bool:
-    """A sentence of prose has two words and ends in a full stop; it is no shouting, key mashing or chat."""
+    """A sentence of prose has two words and ends in a full stop; it is no shouting and has no word with a letter three times running."""
     words = s.split()
     if len(words) < 2 or not s.rstrip("\"')]").endswith((".", "?")) or "!" in s:
         return False
     if sum(w.isupper() and len(w) > 1 for w in words) * 2 > len(words):
         return False
     plain = _LOWER_WORD.findall(s.lower())
-    return not any(w in CHATTER or _REPEATED.search(w) for w in plain)
+    return not any(_REPEATED.search(w) for w in plain)
 
 
 class Words:
@@ -112,7 +169,7 @@ class Words:
         if r is None:
             pieces = self.encode(" " + word)
             rarity = math.log(1 + max(pieces)) + 1.5 * (len(pieces) - 1)
-            odd = word in CHATTER or bool(_REPEATED.search(word))
+            odd = bool(_REPEATED.search(word))
             r = (len(word) >= 9, rarity, word in ENGLISH, word in OTHERS, word in CONNECTIVES, word in SUBORDINATORS, odd)
             if len(self.memo) < 1_000_000:
                 self.memo[word] = r
