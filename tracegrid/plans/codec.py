@@ -16,7 +16,8 @@ from tracegrid.runtime import scratch_dir
 from tracegrid.sources.formats import aim, ld, pds, vbo
 from tracegrid.sources.formats.common import Channel, Chunk
 from tracegrid.sources.library import Library
-from tracegrid.sources.recordings import read, read_wide
+from tracegrid.sources.recordings import open_recording, read, read_wide
+from tracegrid.sources.sinks import export_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _OUT = "file string, channel string, unit string, sample_index bigint, time_ns bigint, value double"
@@ -130,6 +131,26 @@ def reader_files(spark: SparkSession, d: str) -> DataFrame:
     return f.select(_base().alias("file"), *[c for c in f.columns if c not in ("file", "schema_hash", "session_key")])
 
 
+def reader_export(spark: SparkSession, d: str) -> DataFrame:
+    """Every file exported with a channel converted, one left out, a sum and an identity told from its path; the exports read back."""
+    folder = scratch_dir(spark, "exports").removeprefix("file://")
+    files = read(spark, _write_files(spark, d), "files").select("file", F.regexp_extract("file", r"user_(\d+)\.ld$", 1).alias("number"))
+
+    def export(batches):
+        for pdf in batches:
+            os.makedirs(folder, exist_ok=True)
+            done = [export_file(p, os.path.join(folder, os.path.basename(p)), channel_mapping=[["Oil Temp", "Temperature", "K"]], exclude_channels=["gear"], vehicle_number=n, session=f"run {n}") for p, n in zip(pdf.file, pdf.number, strict=True) if _has(p)]
+            yield pd.DataFrame({"output": [r[1] for r in done]})
+
+    files.mapInPandas(export, "output string").write.format("noop").mode("overwrite").save()
+    return read(spark, f"{folder}/*.ld").select(_base().alias("file"), "channel", "unit", "sample_index", F.round("value", 6).alias("value"))
+
+
+def _has(path: str) -> bool:
+    return any(c.name == "Oil Temp" for c in open_recording(path, False).channels)
+
+
+QUERIES |= {"reader_export": reader_export}
 QUERIES |= {f.__name__: f for f in (reader_samples, reader_metadata, reader_wide, reader_files)}
 _KIND = "".join(f" WHEN '{event}' THEN {{{k}}}" for k, event in enumerate(_RECORDED))
 
@@ -153,6 +174,8 @@ def _runs(name: str, channel: str) -> str:
 
 
 SQL |= {
+    "reader_export": _FILES + """ SELECT file, CASE channel WHEN 'Oil Temp' THEN 'Temperature' ELSE channel END AS channel, CASE channel WHEN 'Oil Temp' THEN 'K' ELSE unit END AS unit, sample_index, round(CASE channel WHEN 'Oil Temp' THEN value + 273.15 ELSE value END, 6) AS value
+FROM rec WHERE channel <> 'Gear' AND file IN (SELECT file FROM ch WHERE name = 'Oil Temp')""",
     "reader_samples": _FILES + " SELECT rec.file, 'motec' AS format, channel_id, channel, rec.unit, CASE WHEN rec.unit = '' THEN 'unknown' ELSE 'declared' END AS unit_source, 1.0 AS frequency_hz, sample_index, time_ns, value FROM rec JOIN ch ON ch.file = rec.file AND ch.name = rec.channel",
     "reader_metadata": _FILES + """ SELECT file, channel_id, name, unit, CASE WHEN unit = '' THEN 'unknown' ELSE 'declared' END AS unit_source, nullif(unit, '') AS canonical_unit, CASE unit WHEN 'km/h' THEN 'speed' WHEN 'C' THEN 'temperature' END AS dimension,
 CASE name WHEN 'Gear' THEN 'int32' ELSE 'float64' END AS data_type, 1.0 AS frequency_hz, 1000000000 AS sample_period_ns, n AS sample_count, 1 AS chunk_count, n * 1000000000 AS duration_ns FROM ch""",

@@ -317,6 +317,16 @@ def gps_track(spark, d):
     return track(s.drop("name"), s.groupBy("file", "channel_id", "name").agg(F.count(F.lit(1)).alias("sample_count")))
 
 
+@query(_GRID + f""", w AS (SELECT file, time_ns, {", ".join(f"max(CASE WHEN channel = '{c}' THEN {_LINE} END) AS {c}" for c in CHANNELS)} FROM j GROUP BY 1, 2)
+SELECT file, round(avg(click) FILTER (view > 50), 6) AS mean_at_speed, round(max(click), 6) AS peak, round(avg(purchase) FILTER (abs(signup) > 1.5), 6) AS loaded FROM w GROUP BY 1""")
+def conditional_means(spark, d):
+    """Means of one channel while another is beyond a bound, on the shared timeline."""
+    w = rs.resample_wide(with_duration(samples(spark, d)), CHANNELS, rate=2)
+    return w.groupBy("file").agg(
+        F.round(F.avg(F.when(F.col("view") > 50, F.col("click"))), 6).alias("mean_at_speed"), F.round(F.max("click"), 6).alias("peak"), F.round(F.avg(F.when(F.abs("signup") > 1.5, F.col("purchase"))), 6).alias("loaded")
+    )
+
+
 @query(_RUNS + """ SELECT l.file, l.number, s.channel, count(*) AS n, min(s.value) AS low, max(s.value) AS high, round(avg(s.value), 6) AS mean
 FROM smp s JOIN laps l ON s.file = l.file AND s.time_ns >= l.start_ns AND s.time_ns < l.end_ns GROUP BY 1, 2, 3""")
 def lap_stats(spark, d):

@@ -565,3 +565,22 @@ def current_lap(spark, d):
     best = laps.groupBy("file").agg(F.min(F.struct("duration_ns", "start_ns", "end_ns", "number")).alias("b")).select("file", "b.*")
     j = ev.samples_in_laps(readings(spark, d), best)
     return j.select("file", "channel", "sample_index", (F.col("time_ns") - F.col("start_ns")).alias("lap_ns"), "value")
+
+
+@query("WITH a AS (" + SQL["top_speed_kmh"] + "), b AS (" + SQL["directional_g"] + "), c AS (" + SQL["combined_g"] + "), l AS (" + SQL["logger_laps"] + """),
+e AS (SELECT file, min(duration_ns) FILTER (complete AND duration_ns > 5000000000) AS best_lap_ns FROM l GROUP BY 1)
+SELECT file, top_kmh, peak_g, combined_g, best_lap_ns FROM a FULL JOIN b USING (file) FULL JOIN c USING (file) FULL JOIN e USING (file)""")
+def performance_cards(spark, d):
+    """Top speed, greatest directional and combined acceleration and best lap of each file that has any."""
+    best = logger_laps(spark, d).groupBy("file").agg(F.min(F.when(F.col("complete") & (F.col("duration_ns") > 5 * SECOND), F.col("duration_ns"))).alias("best_lap_ns"))
+    out = top_speed_kmh(spark, d).drop("at_ns")
+    for other in (directional_g(spark, d), combined_g(spark, d), best):
+        out = out.join(other, "file", "full")
+    return out
+
+
+@query("SELECT name AS column_name FROM pragma_table_info('channels')")
+def catalog_columns(spark, d):
+    """The columns of a table as the catalog lists them."""
+    table(spark, d, "channels").createOrReplaceTempView("catalogued_channels")
+    return spark.sql("DESCRIBE TABLE catalogued_channels").select(F.col("col_name").alias("column_name"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import codec, engine, logger, quality, relational
+from tracegrid.plans import codec, engine, live, logger, quality, relational
 
 
 def _modules():
-    return (engine, logger, relational, codec, quality)
+    return (engine, logger, relational, codec, live, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

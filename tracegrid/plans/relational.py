@@ -112,8 +112,8 @@ def anti_unknown_units(spark, d):
 
 @query("SELECT DISTINCT file, channel_id, (SELECT min(base_unit) FROM unit_defs u WHERE u.unit = c.unit) AS base_unit FROM channels c")
 def scalar_subquery(spark, d):
-    u = table(spark, d, "unit_defs").groupBy("unit").agg(F.min("base_unit").alias("base_unit"))
-    return channels(spark, d).join(F.broadcast(u), "unit", "left").select("file", "channel_id", "base_unit").distinct()
+    # A correlated scalar subquery, which the optimiser turns into a left join with one row per unit.
+    return spark.sql("SELECT DISTINCT file, channel_id, (SELECT min(base_unit) FROM {u} u WHERE u.unit = c.unit) AS base_unit FROM {c} c", u=table(spark, d, "unit_defs"), c=channels(spark, d))
 
 
 @query("> q AS (SELECT 1) SELECT file, channel, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM smp GROUP BY 1, 2")
@@ -210,7 +210,7 @@ def run_cards(spark, d):
 
 @query("SELECT unit, canonical_unit, dimension, count(*) AS n FROM (SELECT DISTINCT * FROM channels) GROUP BY ALL")
 def unit_inventory(spark, d):
-    return channels(spark, d).groupBy("unit", "canonical_unit", "dimension").agg(F.count(F.lit(1)).alias("n"))
+    return spark.sql("SELECT unit, canonical_unit, dimension, count(*) AS n FROM {c} GROUP BY ALL", c=channels(spark, d))
 
 
 @query("SELECT count(*) AS definitions, count(canonical_unit) AS known, round(100.0 * count(canonical_unit) / count(*), 9) AS share FROM (SELECT DISTINCT * FROM channels)")
