@@ -260,3 +260,64 @@ def test_units_spread_along_long_chains(spark):
     s, c, g = T.samples(spark, series), T.channels(spark, defs), spark.createDataFrame(files, T.FILES)
     got = {x.file: x.unit for x in link_units(s, c, g, *T.reference(spark)).collect()}
     assert got == {f: "km/h" for f, _, name, *_ in defs if name != "alpha"}
+
+
+def test_sketches_weigh_what_they_stand_for(spark):
+    # A large calm context and a small wild one: the quartiles are those of all deviations together.
+    r = np.random.default_rng(11)
+    calm, wild = r.normal(0, 1, 20_000), r.normal(0, 50, 300)
+    ranks = (np.arange(anomalies.POINTS) + 0.5) / anomalies.POINTS
+    sketch = lambda x: np.quantile(x, ranks).tolist()
+    rows = [("f", 1, 0, 10_000, sketch(calm[:10_000])), ("f", 1, 0, 10_000, sketch(calm[10_000:])), ("f", 1, 1, 300, sketch(wild)), ("f", 2, 0, 300, sketch(wild)), ("f", 3, 0, 0, None)]
+    got = {(x.channel_id, x.hour): (x.hour_spread, x.channel_spread) for x in anomalies.merged_spreads(spark.createDataFrame(rows, "file string, channel_id int, hour bigint, weight bigint, points array<double>")).collect()}
+    half = lambda x: (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 2
+    assert set(got) == {(1, 0), (1, 1), (2, 0)} and got[1, 0][1] == got[1, 1][1]
+    # Points stand a twenty-fifth of the ranks apart, classes are 2 % wide.
+    assert got[1, 0][0] == pytest.approx(half(calm), rel=0.1) and got[1, 0][1] == pytest.approx(half(np.r_[calm, wild]), rel=0.1)
+    assert got[1, 1][0] == got[2, 0][0] == got[2, 0][1] == pytest.approx(half(wild), rel=0.2)
+
+
+def test_one_rule_for_channels_of_any_size(spark):
+    # The same course, once within a block and once over three: the same spikes are found.
+    n = 2 * anomalies.BLOCK + 500
+    x = wave(n, 5)
+    spikes = [700, 5000, anomalies.BLOCK - 1, anomalies.BLOCK + 3, n - 40]
+    for i in spikes:
+        x[i] += 25
+    long = {("f", 1): ("m", "", list(x), None)}
+    short = {("f", 2): ("m", "", list(x[:6000]), None)}
+    s = T.samples(spark, long | short)
+    k = T.chunks(spark, [("f", 1, 0, 100_000_000, n, 0, 0), ("f", 2, 0, 100_000_000, 6000, 0, 0)])
+    got = find_faults(s, k, T.channels(spark, [("f", 1, "m", "", "d", "float32"), ("f", 2, "m", "", "d", "float32")]), *T.reference(spark)).where("fault = 'spike'").collect()
+    assert sorted(r.sample_index for r in got if r.channel_id == 1) == spikes and sorted(r.sample_index for r in got if r.channel_id == 2) == [700, 5000]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 250), st.booleans()), min_size=2, max_size=60), st.integers(3, 20))
+def test_whole_series_by_brute_force(spark, steps, block):
+    from tracegrid.operators import regular_grid as rg
+
+    times = np.cumsum([s for s, _ in steps]).tolist()
+    values = [float(i) if ok else None for i, (_, ok) in enumerate(steps)]
+    s, k = T.samples(spark, {("f", 1): ("m", "", values, times)}), T.chunks(spark, [("f", 1, 0, 100, len(steps), 0, 0)])
+    tick = [(2 * t + 100) // 200 for t in times]
+    covered = {}
+    for i in sorted((i for i in range(len(steps)) if values[i] is not None), key=lambda i: (abs(times[i] - 100 * tick[i]), i)):
+        if tick[i] <= tick[-1]:
+            covered.setdefault(tick[i], values[i])
+    old = rg.BLOCK
+    rg.BLOCK = block
+    try:
+        got = {r.tick: r for r in regular_grid(s, k, fill_limit=3).collect()}
+    finally:
+        rg.BLOCK = old
+    assert sorted(got) == list(range(tick[-1] + 1)) and all(r.time_ns == 100 * t for t, r in got.items())
+    have = sorted(covered)
+    for t, r in got.items():
+        before, after = [h for h in have if h < t], [h for h in have if h > t]
+        if t in covered:
+            assert (r.state, r.value) == ("reading", covered[t])
+        elif before and after and after[0] - before[-1] - 1 <= 3:
+            assert r.state == "filled"
+        else:
+            assert (r.state, r.value) == ("missing", None)

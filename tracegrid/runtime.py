@@ -98,8 +98,8 @@ def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: Source bytes whose shuffled rows one task takes at most, about.
-BYTES_A_TASK = 256 << 20
+#: Source bytes whose shuffled rows one task takes, about, and the number of partitions from which on tasks grow instead.
+BYTES_A_TASK, MOST_TASKS = 256 << 20, 1 << 16
 
 
 def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
@@ -113,7 +113,8 @@ def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = -(-size // BYTES_A_TASK)
     # A size that Spark cannot tell is said to be enormous.
-    return df.repartition(needed, *keys) if usual < needed < 1 << 20 else df.repartition(*keys)
+    known = size < 1 << 60
+    return df.repartition(min(needed, MOST_TASKS), *keys) if known and usual < needed else df.repartition(*keys)
 
 
 def columns_named(df: DataFrame, *names: str) -> DataFrame:
