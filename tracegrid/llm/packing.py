@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tracegrid.llm.tokens import TOKENIZERS, with_tokens
 from tracegrid.runtime import bounded_rows, columns_named, materialise
 
-#: Documents that one packing run places; a run of a container is one task.
-SHARD = 25_000
+#: Documents that one packing run places, and the number of tasks from which on several runs share one.
+SHARD, MOST_TASKS = 25_000, 1 << 15
 
 
 class SquaresPacker:
@@ -103,7 +103,7 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, folder: str = TO
 
     order = F.xxhash64(F.lit(11), "doc_id")
     # A fixed number of partitions, since the runs are long work over few bytes that must not be put together.
-    lines = loose.repartition(runs * len(capacities), "container", "capacity", "run").sortWithinPartitions("container", "capacity", "run", order, "doc_id")
+    lines = loose.repartition(min(runs * len(capacities), MOST_TASKS), "container", "capacity", "run").sortWithinPartitions("container", "capacity", "run", order, "doc_id")
     return full.unionByName(lines.mapInArrow(pack, schema))
 
 
