@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrid.plans.engine import _merged
 from tracegrid.plans.recordings import SQL as REC
 from tracegrid.plans.recordings import samples
 from tracegrid.runtime import scratch_dir
@@ -150,7 +151,11 @@ def _has(path: str) -> bool:
     return any(c.name == "Oil Temp" for c in open_recording(path, False).channels)
 
 
-QUERIES |= {"reader_export": reader_export}
+def reader_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return Library(spark, _write_files(spark, d)).session_metadata(60)
+
+
+QUERIES |= {"reader_export": reader_export, "reader_sessions": reader_sessions}
 QUERIES |= {f.__name__: f for f in (reader_samples, reader_metadata, reader_wide, reader_files)}
 _KIND = "".join(f" WHEN '{event}' THEN {{{k}}}" for k, event in enumerate(_RECORDED))
 
@@ -173,7 +178,34 @@ def _runs(name: str, channel: str) -> str:
   FROM {name}f f JOIN ch ON ch.file = f.file AND ch.name = '{channel}' WHERE fresh = 1 WINDOW w AS (PARTITION BY f.file ORDER BY time_ns))"""
 
 
+_SUMMARY = _FILES + ", " + _runs("lr", "Lap Number") + ", " + _runs("dr", "Driver ID") + """,
+lap AS (SELECT file, v AS number, s, e - s AS d, i > 1 AND i < n AS complete FROM lr WHERE v > 0),
+bst AS (SELECT file, arg_min(number, (d, s, number)) AS number, min(d) AS d FROM lap WHERE complete AND d >= 10000000000 GROUP BY 1),
+fi AS (SELECT file, CAST(split_part(file, '_', 2) AS BIGINT) AS u, max(n) * 1000000000 AS duration_ns, count(*) AS channel_count, CAST(sum(n) AS BIGINT) AS sample_count FROM ch GROUP BY 1),
+st AS (SELECT *, (1706781600 + u // 60 % 60 * 60 + u % 60) * 1000000000 AS t0 FROM fi)"""
+_SESSIONS = (
+    _SUMMARY + """,
+hx AS (SELECT file, string_agg(hex(encode(lower(name || unit))) || CASE name WHEN 'Gear' THEN '04' ELSE '07' END, '' ORDER BY channel_id) AS t FROM ch GROUP BY 1),
+hb AS (SELECT file, list_transform(generate_series(1, length(t) // 2), lambda i: CAST(('0x' || substr(t, 2 * i - 1, 2)) AS UHUGEINT)) AS b FROM hx),
+hs AS (SELECT file, lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), b), lambda h, x: (xor(h, x) * CAST(1099511628211 AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) AS UBIGINT))), 16, '0') AS h FROM hb),
+ke AS (SELECT file, 'motec:01/02/2024:car ' || u % 7 || ':test track:' || h AS k, t0 AS a, t0 + duration_ns AS b FROM st JOIN hs USING (file)),
+so AS (SELECT *, CASE WHEN a <= lag(b) OVER w + 60000000000 THEN 0 ELSE 1 END AS fresh FROM ke WINDOW w AS (PARTITION BY k ORDER BY a, file)),
+g AS (SELECT *, k || ':' || CAST(sum(fresh) OVER (ORDER BY k, a, file) - 1 AS BIGINT) AS session FROM so),
+sti AS (SELECT session, v AS driver_id, a + s AS start_ns, a + e AS end_ns FROM dr JOIN g USING (file) WHERE (n = 1 OR e - s >= 1000000000) AND v >= 0),
+lpi AS (SELECT session, number, a + s AS start_ns, a + s + d AS end_ns FROM lap JOIN g USING (file)),"""
+    + _merged("sti", "session", "driver_id", 60 * _SECOND, "ms") + "," + _merged("lpi", "session", "number", 60 * _SECOND, "ml") + """,
+sb AS (SELECT session, min(d) AS d, arg_min(number, (d, file)) AS number FROM bst JOIN g USING (file) GROUP BY 1),
+tl AS (SELECT session, count(*) AS lap_count, min(d) FILTER (inside) AS d, arg_min(number, (d, start_ns, number)) FILTER (inside) AS number FROM (
+  SELECT *, end_ns - start_ns AS d, lag(number) OVER w IS NOT NULL AND lead(number) OVER w IS NOT NULL AND end_ns - start_ns >= 10000000000 AS inside FROM ml WINDOW w AS (PARTITION BY session ORDER BY start_ns)) GROUP BY 1),
+ids AS (SELECT session, string_agg(CAST(driver_id AS VARCHAR), ',' ORDER BY driver_id) AS driver_ids FROM (SELECT DISTINCT session, driver_id FROM sti) GROUP BY 1),
+ns AS (SELECT session, count(*) AS stint_count FROM ms GROUP BY 1),
+bs AS (SELECT session, count(*) AS file_count, min(a) AS absolute_start_ns, max(b) AS absolute_end_ns FROM g GROUP BY 1)
+SELECT session AS session_key, file_count, absolute_start_ns, absolute_end_ns, absolute_end_ns - absolute_start_ns AS duration_ns, coalesce(driver_ids, '') AS driver_ids, coalesce(stint_count, 0) AS stint_count,
+  coalesce(lap_count, 0) AS lap_count, coalesce(sb.number, tl.number) AS fastest_lap_number, coalesce(sb.d, tl.d) AS fastest_lap_time_ns
+FROM bs LEFT JOIN ids USING (session) LEFT JOIN ns USING (session) LEFT JOIN tl USING (session) LEFT JOIN sb USING (session)"""
+)
 SQL |= {
+    "reader_sessions": _SESSIONS,
     "reader_export": _FILES + """ SELECT file, CASE channel WHEN 'Oil Temp' THEN 'Temperature' ELSE channel END AS channel, CASE channel WHEN 'Oil Temp' THEN 'K' ELSE unit END AS unit, sample_index, round(CASE channel WHEN 'Oil Temp' THEN value + 273.15 ELSE value END, 6) AS value
 FROM rec WHERE channel <> 'Gear' AND file IN (SELECT file FROM ch WHERE name = 'Oil Temp')""",
     "reader_samples": _FILES + " SELECT rec.file, 'motec' AS format, channel_id, channel, rec.unit, CASE WHEN rec.unit = '' THEN 'unknown' ELSE 'declared' END AS unit_source, 1.0 AS frequency_hz, sample_index, time_ns, value FROM rec JOIN ch ON ch.file = rec.file AND ch.name = rec.channel",
@@ -184,13 +216,9 @@ g AS (SELECT file, unnest(generate_series(0, 2 * max(n) - 1)) AS r FROM ch WHERE
 t AS (SELECT g.file, r * 500000000 AS time_ns, r, a.channel, CASE WHEN r % 2 = 0 OR a.channel = 'Gear' OR b.value IS NULL THEN a.value ELSE a.value + (b.value - a.value) * 0.5 END AS x
   FROM g LEFT JOIN rec a ON a.file = g.file AND a.sample_index = r // 2 AND a.channel IN ('Speed', 'Gear') LEFT JOIN rec b ON b.file = g.file AND b.channel = a.channel AND b.sample_index = r // 2 + 1)
 SELECT file, time_ns, round(max(x) FILTER (channel = 'Speed') * 0.5 + 1, 6) AS V, max(x) FILTER (channel = 'Gear') AS "Gear" FROM t GROUP BY 1, 2""",
-    "reader_files": _FILES + ", " + _runs("lr", "Lap Number") + ", " + _runs("dr", "Driver ID") + """,
-lap AS (SELECT file, v AS number, s, e - s AS d, i > 1 AND i < n AS complete FROM lr WHERE v > 0),
+    "reader_files": _SUMMARY + """,
 dri AS (SELECT file, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS driver_ids FROM (SELECT DISTINCT file, v FROM dr WHERE v >= 0 AND (n = 1 OR e - s >= 1000000000)) GROUP BY 1),
-cnt AS (SELECT file, count(*) AS lap_count FROM lap GROUP BY 1),
-bst AS (SELECT file, arg_min(number, (d, s, number)) AS number, min(d) AS d FROM lap WHERE complete AND d >= 10000000000 GROUP BY 1),
-fi AS (SELECT file, CAST(split_part(file, '_', 2) AS BIGINT) AS u, max(n) * 1000000000 AS duration_ns, count(*) AS channel_count, CAST(sum(n) AS BIGINT) AS sample_count FROM ch GROUP BY 1),
-st AS (SELECT *, (1706781600 + u // 60 % 60 * 60 + u % 60) * 1000000000 AS t0 FROM fi)
+cnt AS (SELECT file, count(*) AS lap_count FROM lap GROUP BY 1)
 SELECT file, 'motec' AS format, t0 AS absolute_start_ns, t0 + duration_ns AS absolute_end_ns, duration_ns, channel_count, channel_count AS sampled_channel_count, sample_count, coalesce(driver_ids, '') AS driver_ids, coalesce(lap_count, 0) AS lap_count,
   bst.number AS fastest_lap_number, bst.d AS fastest_lap_time_ns, CAST(NULL AS BIGINT) AS video_frame_count, 'D' || u % 9 AS driver, 'car ' || u % 7 AS vehicle, 'Test Track' AS venue, '' AS event, '' AS session, '01/02/2024' AS date,
   printf('10:%02d:%02d', u // 60 % 60, u % 60) AS time, 'utc' AS absolute_clock FROM st LEFT JOIN dri USING (file) LEFT JOIN cnt USING (file) LEFT JOIN bst USING (file)""",

@@ -464,6 +464,14 @@ def schema_hashes(spark, d):
     return se.schema_hash(table(spark, d, "channels").dropDuplicates(["file", "channel_id"])).select("file", se.hash_hex(F.col("schema_hash")).alias("schema_hash"))
 
 
+@query("""
+> wk AS (SELECT file, 2000 + floor(arg_min(value, time_ns)) AS w FROM smp WHERE channel = 'view' GROUP BY 1), it AS (SELECT file, arg_min(value, time_ns) * 1000 AS i, min(time_ns) AS t FROM smp WHERE channel = 'click' GROUP BY 1)
+SELECT file, (CAST(round(w) AS BIGINT) * 604800000 + CAST(round(i) AS BIGINT)) * 1000000 - t AS absolute_start_ns, CAST(round(w) AS BIGINT) AS gps_week FROM wk JOIN it USING (file)""")
+def gps_clock(spark, d):
+    s = samples(spark, d)
+    return se.gps_clock(s.where("channel = 'view'").withColumn("value", 2000 + F.floor("value").cast("double")), s.where("channel = 'click'").withColumn("value", F.col("value") * 1000))
+
+
 @query("> q AS (SELECT 1) SELECT CAST(round(value / 10) AS BIGINT) AS driver_id, count(*) AS n FROM smp WHERE channel = 'view' GROUP BY 1")
 def driver_histogram(spark, d):
     s = samples(spark, d).where("channel = 'view'")
