@@ -142,8 +142,10 @@ def fastest_lap(laps: DataFrame, reference: DataFrame | None = None, reported: D
 def merge_intervals(intervals: DataFrame, keys: list[str], label: str, max_gap_ns: int) -> DataFrame:
     """Neighbouring intervals of one label joined where the gap is at most ``max_gap_ns``: (keys, label, start_ns, end_ns).
 
-    In the order of start; an interval of another label in between keeps them apart.
+    In the order of start; an interval of another label in between keeps them
+    apart.  Equal intervals count once.
     """
+    intervals = intervals.select(*keys, label, "start_ns", "end_ns").distinct()
     order = Window.partitionBy(*keys).orderBy("start_ns", "end_ns", label)
     d = intervals.withColumn("__other", (~F.col(label).eqNullSafe(F.lag(label).over(order)) | F.lag("start_ns").over(order).isNull()).cast("int"))
     d = d.withColumn("__row", F.sum("__other").over(order))

@@ -209,7 +209,7 @@ def best_laps(spark, d):
 def _merged(source: str, key: str, label: str, gap: int, out: str) -> str:
     """CTEs that join neighbouring intervals of one label, as ``merge_intervals`` does, into ``out``."""
     return f"""
-{out}1 AS (SELECT *, CASE WHEN {label} IS DISTINCT FROM lag({label}) OVER w OR lag(start_ns) OVER w IS NULL THEN 1 ELSE 0 END AS other FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY start_ns, end_ns, {label})),
+{out}1 AS (SELECT *, CASE WHEN {label} IS DISTINCT FROM lag({label}) OVER w OR lag(start_ns) OVER w IS NULL THEN 1 ELSE 0 END AS other FROM (SELECT DISTINCT {key}, {label}, start_ns, end_ns FROM {source}) WINDOW w AS (PARTITION BY {key} ORDER BY start_ns, end_ns, {label})),
 {out}2 AS (SELECT *, sum(other) OVER (PARTITION BY {key} ORDER BY start_ns, end_ns, {label} ROWS UNBOUNDED PRECEDING) AS island FROM {out}1),
 {out}3 AS (SELECT *, max(end_ns) OVER (PARTITION BY {key}, island ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM {out}2),
 {out}4 AS (SELECT *, sum(CASE WHEN upto IS NULL OR start_ns - upto > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, island ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS part FROM {out}3),

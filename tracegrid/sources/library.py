@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,17 @@ class Library:
         if unknown:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
         self.spark, self.path, self.pick = spark, path, pick
-        self.channels = read(spark, path, "channels", **pick)
-        self.files = read(spark, path, "files", **pick)
         self._semantic: DataFrame | None = None
 
+    @cached_property
+    def channels(self) -> DataFrame:
+        """The definitions of all files; headers are read once and written, since every summary needs them."""
+        return materialise(read(self.spark, self.path, "channels", **self.pick), "library-channels")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return materialise(read(self.spark, self.path, "files", **self.pick), "library-files")
+
     def role(self, role: str) -> DataFrame:
         """(file, time_ns, value, duration_ns) of the first sampled channel of each file that plays a role."""
         if self._semantic is None:

@@ -4,8 +4,8 @@
     spark.read.format("telemetry").option("relation", "samples").load("logs/*.ld")
 
 Relations: ``samples`` (one row per stored sample), ``channels``, ``chunks`` and
-``files``.  A file is one partition, or several for ``samples`` with many
-channels; executors open files themselves and return Arrow batches.  Filters on
+``files``.  A partition is a file, several small ones, or with the option
+``splits`` some channels of one; executors open files themselves and return Arrow batches.  Filters on
 channel and time reach the reader (``spark.sql.python.filterPushdown.enabled``), as
 do the options ``channels``, ``start_ns`` and ``end_ns``.
 """
@@ -93,11 +93,32 @@ def sample_batches(path: str, rec: Recording, channels: set[str] | None = None,
 
 @dataclass
 class FilePart(InputPartition):
-    path: str
+    """Some files whole, or one part of the channels of one."""
+
+    paths: tuple[str, ...]
     part: int = 0
     parts: int = 1
 
 
+#: Small files share a task up to this size, but for so few tasks.
+BYTES_A_PART, LEAST_PARTS = 64 << 20, 32
+
+
+def grouped(paths: list[str]) -> list[tuple[str, ...]]:
+    """Files in order, in groups of bounded size; never fewer groups than ``LEAST_PARTS`` where there are as many files."""
+    most = max(1, len(paths) // LEAST_PARTS)
+    out: list[list[str]] = []
+    size = 0
+    for p in paths:
+        n = os.path.getsize(p)
+        if not out or len(out[-1]) >= most or size + n > BYTES_A_PART:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += n
+    return [tuple(g) for g in out]
+
+
 class TelemetryReader(DataSourceReader):
     def __init__(self, options: dict[str, str], relation: str) -> None:
         self.relation = relation
@@ -124,18 +145,23 @@ class TelemetryReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[FilePart]:
-        parts = self.split if self.relation == "samples" else 1
-        return [FilePart(p, i, parts) for p in self.paths for i in range(parts)]
+        if self.relation == "samples" and self.split > 1:
+            return [FilePart((p,), i, self.split) for p in self.paths for i in range(self.split)]
+        return [FilePart(g) for g in grouped(self.paths)]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            yield from self._read(path, partition)
+
+    def _read(self, path: str, partition: FilePart) -> Iterator[pa.RecordBatch]:
         if self.relation == "samples":
             # The headers tell which channels are this part's; only their values are decoded.
-            heads = open_recording(partition.path, False).channels
+            heads = open_recording(path, False).channels
             mine = {c.name for j, c in enumerate(heads) if j % partition.parts == partition.part and (self.channels is None or c.name.lower() in self.channels)}
-            yield from sample_batches(partition.path, open_recording(partition.path, mine.__contains__), self.channels, self.start_ns, self.end_ns, (partition.part, partition.parts))
+            yield from sample_batches(path, open_recording(path, mine.__contains__), self.channels, self.start_ns, self.end_ns, (partition.part, partition.parts))
             return
-        rec = open_recording(partition.path, False)
-        rows = {"channels": _channel_rows, "chunks": _chunk_rows, "files": _file_rows}[self.relation](partition.path, rec)
+        rec = open_recording(path, False)
+        rows = {"channels": _channel_rows, "chunks": _chunk_rows, "files": _file_rows}[self.relation](path, rec)
         if self.channels is not None and self.relation == "channels":
             rows = [r for r in rows if r[3].lower() in self.channels]
         schema = _arrow(RELATIONS[self.relation])
@@ -208,7 +234,7 @@ def read_wide(spark: SparkSession, path: str, rate: int = 100, channels: str | N
 
     pick = {"only": only, "created_from": created_from, "created_to": created_to}
     cols = read(spark, path, "channels", **pick).where("sample_count > 0").select("file", "channel_id", "name", "unit", "data_type", "duration_ns")
-    # One row per name and unit, with the first definition of each; a file is one partition, so the row number keeps its order.
+    # One row per name and unit, with the first definition of each; a file lies in one partition, so the row number keeps its order.
     named = cols.withColumn("at", F.monotonically_increasing_id()).groupBy(F.lower("name").alias("k"), "unit").agg(F.min(F.struct("file", "at", "name")).alias("first"))
     listed = sorted((r.file, r.at, r.name, r.unit) for r in bounded_rows(named.select("first.*", "unit"), MOST_NAMES, "sampled channels"))
     wanted = {c.strip().lower() for c in channels.split(",") if c.strip()} if channels else None

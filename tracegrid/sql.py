@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tracegrid import channelmap, model, units
 from tracegrid.sources import recordings, sinks, summary
-from tracegrid.sources.paths import created, find_files, modified
+from tracegrid.sources.paths import created, find_files, format_of, modified
 
 
 def _names(text: str | None) -> set[str] | None:
@@ -47,8 +48,6 @@ class Files:
     """The files a path or pattern names, without opening them."""
 
     def eval(self, path: str):
-        from tracegrid.sources.paths import format_of
-
         for p in find_files(path):
             yield p, format_of(p)
 
@@ -108,16 +107,10 @@ class FileMetadata:
     def eval(self, path: str):
         for p in find_files(path):
             row = list(summary.summarise(p, recordings.open_recording(p, summary.plays_a_role)).row)
-            row[9] = _decimal(row[9])
+            row[9] = Decimal(row[9])
             yield tuple(row)
 
 
-def _decimal(x: int):
-    from decimal import Decimal
-
-    return Decimal(x)
-
-
 @udtf(returnType=summary.SESSION_ROW)
 class SessionMetadata:
     def eval(self, path: str, max_gap_seconds: int = 60):
