@@ -42,6 +42,8 @@ def first_tick(x: Column, rate: int) -> Column:
 
 def tick_time(r: Column, rate: int) -> Column:
     """floor(r * 1e9 / rate) ns."""
+    if SECOND % rate == 0:
+        return r * (SECOND // rate)
     whole, part = F.floor(r / F.lit(rate)), F.pmod(r, F.lit(rate))
     return (whole * SECOND + F.floor(part * SECOND / F.lit(rate))).cast("bigint")
 
@@ -55,8 +57,8 @@ def _check(rate: int, interpolate: str, start_ns: int, end_ns: int | None) -> No
         raise ValueError("end_ns lies before start_ns")
 
 
-def _stretches(samples: DataFrame, rate: int, start_ns: int, end_ns: int | None) -> DataFrame:
-    """One row per sample with the one after it (``next``) and its first and last tick, ``lo`` and ``hi``."""
+def _stretches(samples: DataFrame, rate: int, interpolate: str, start_ns: int, end_ns: int | None) -> DataFrame:
+    """One row per sample with the one after it (``next``), its first and last tick, ``lo`` and ``hi``, and whether a line leads on (``slopes``)."""
     extent = F.col("extent_ns") if "extent_ns" in samples.columns else F.lit(None).cast("bigint")
     s = samples.select("file", "channel", "sample_index", "time_ns", "value", "duration_ns", "data_type", extent.alias("extent_ns"))
     s = lead_in_blocks(s, ["file", "channel"], "sample_index", ["time_ns", "value"], F.expr(f"sample_index div {BLOCK}"))
@@ -66,15 +68,16 @@ def _stretches(samples: DataFrame, rate: int, start_ns: int, end_ns: int | None)
         end = F.least(end, F.lit(end_ns))
     lo = first_tick(F.greatest(begin - start_ns, F.lit(0)), rate)
     hi = first_tick(F.greatest(end - start_ns, F.lit(0)), rate) - 1
-    return s.withColumns({"lo": lo, "hi": hi}).where("hi >= lo")
+    # Told once per sample, not per tick.
+    slopes = F.lit(False) if interpolate == "previous" else ~is_step(F.col("channel"), F.col("data_type")) & F.col("next").isNotNull()
+    return s.withColumns({"lo": lo, "hi": hi, "slopes": slopes}).where("hi >= lo")
 
 
-def _value_at(interpolate: str) -> Column:
+def _value_at() -> Column:
     """The value of a stretch at the time ``at``."""
     a, ta, b, tb, t = F.col("value"), F.col("time_ns"), F.col("next.value"), F.col("next.time_ns"), F.col("at")
     line = a + (b - a) * ((t - ta) / (tb - ta))
-    slopes = F.lit(False) if interpolate == "previous" else ~is_step(F.col("channel"), F.col("data_type"))
-    return F.when((t >= F.col("extent_ns")) & F.col("next").isNotNull(), b).when(slopes & F.col("next").isNotNull() & (t > ta) & (tb > ta), line).otherwise(a)
+    return F.when((t >= F.col("extent_ns")) & F.col("next").isNotNull(), b).when(F.col("slopes") & (t > ta) & (tb > ta), line).otherwise(a)
 
 
 def resample(samples: DataFrame, rate: int = 100, interpolate: str = "linear", start_ns: int = 0, end_ns: int | None = None) -> DataFrame:
@@ -90,9 +93,9 @@ def resample(samples: DataFrame, rate: int = 100, interpolate: str = "linear", s
     """
     _check(rate, interpolate, start_ns, end_ns)
     start_ns = max(0, start_ns)
-    g = _stretches(samples, rate, start_ns, end_ns).withColumn("tick", F.explode(F.sequence("lo", "hi")))
+    g = _stretches(samples, rate, interpolate, start_ns, end_ns).withColumn("tick", F.explode(F.sequence("lo", "hi")))
     g = g.withColumn("at", F.lit(start_ns) + tick_time(F.col("tick"), rate))
-    return g.select("file", "channel", "tick", F.col("at").alias("time_ns"), _value_at(interpolate).alias("value"))
+    return g.select("file", "channel", "tick", F.col("at").alias("time_ns"), _value_at().alias("value"))
 
 
 def _spelled(channels: list[str]) -> dict[str, str]:
@@ -109,11 +112,11 @@ def resample_wide(samples: DataFrame, channels: list[str], rate: int = 100, inte
     _check(rate, interpolate, start_ns, end_ns)
     start_ns = max(0, start_ns)
     folded = _spelled(channels)
-    s = _stretches(samples.where(F.lower("channel").isin(list(folded))), rate, start_ns, end_ns)
+    s = _stretches(samples.where(F.lower("channel").isin(list(folded))), rate, interpolate, start_ns, end_ns)
     s = s.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"hi div {BUCKET}"))))
-    s = s.withColumns({"lo": F.greatest("lo", F.col("bucket") * BUCKET), "hi": F.least("hi", F.col("bucket") * BUCKET + BUCKET - 1)}).repartition("file", "bucket")
+    s = s.withColumns({"lo": F.greatest("lo", F.col("bucket") * BUCKET), "hi": F.least("hi", F.col("bucket") * BUCKET + BUCKET - 1), "k": F.lower("channel")}).repartition("file", "bucket")
     g = s.withColumn("tick", F.explode(F.sequence("lo", "hi"))).withColumn("at", F.lit(start_ns) + tick_time(F.col("tick"), rate))
-    g = g.select("file", "bucket", F.col("at").alias("time_ns"), F.lower("channel").alias("k"), _value_at(interpolate).alias("value"))
+    g = g.select("file", "bucket", F.col("at").alias("time_ns"), "k", _value_at().alias("value"))
     # One value a channel and tick, so that the largest is the value.
     w = g.groupBy("file", "bucket", "time_ns").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in folded.items()])
     return w.drop("bucket")
