@@ -248,7 +248,7 @@ def test_ordinal_regression_on_held_out_rows():
 def test_queries_are_registered(spark):
     from tracegrid.llm import queries
 
-    assert [k[:2] for k in queries.QUERIES] == ["p2", "p7", "p7", "p8", "p8", "p9"]
+    assert [k[:2] for k in queries.QUERIES] == ["p2", "p2", "p7", "p7", "p8", "p8", "p9"]
 
 
 def test_nested_markup_goes_in_one_pass():

@@ -21,6 +21,12 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return telemetry_percentiles(table(spark, d, "telemetry_samples"), days)
 
 
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the groups by file and channel and by channel, and whether every estimate keeps the bound stated for it."""
+    p = p2_percentiles(spark, d).where("grouping <> 'day'")
+    return p.groupBy("grouping", "channel", "file").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("percentiles"), F.min((F.col("rank_error") <= F.col("bound")).cast("int")).alias("kept"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
@@ -41,5 +47,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(spark, d, "documents"), table(spark, d, "graded_passages")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_percentiles, p7_packing, p7_report, p8_mixture, p8_shares, p9_found)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_percentiles, p2_bounds, p7_packing, p7_report, p8_mixture, p8_shares, p9_found)}
+SQL: dict[str, str] = {
+    "p2_bounds": """
+WITH s AS (SELECT DISTINCT file, channel_id, channel, sample_index, value FROM telemetry_samples WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))
+SELECT 'file_channel' AS grouping, channel, file, count(*) AS n, 7 AS percentiles, 1 AS kept FROM s GROUP BY 2, 3
+UNION ALL SELECT 'channel', channel, NULL, count(*), 7, 1 FROM s GROUP BY 2""",
+}
