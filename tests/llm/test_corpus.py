@@ -72,10 +72,15 @@ def test_digests_of_parts_make_that_of_the_whole(spark, monkeypatch):
             assert abs(np.searchsorted(v, e) / len(v) - p) <= b
 
 
-def test_readings_count_once(spark):
+def test_readings_count_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     rows = [("f", 1, i, v, "c") for i, v in enumerate([1.0, 2.0, None, 4.0])]
     s = spark.createDataFrame(rows + rows[:2], "file string, channel_id bigint, sample_index bigint, value double, channel string")
-    assert sorted(r.value for r in dg.distinct_readings(s, "file").collect()) == [1, 2, 4]
+    for size in (1 << 19, 2):
+        monkeypatch.setattr(dg, "SLICE", size)
+        b = dg.sorted_blocks(dg.in_order(s.unionByName(s.where("value = 4").withColumn("sample_index", F.lit(None).cast("bigint"))), "file", "channel"), ["file", "channel"], delivered=True)
+        assert sorted(x for r in b.where("part is not null").collect() for x in r.part) == [1, 2, 4, 4]
     t = dg.telemetry_percentiles(s, spark.createDataFrame([("f", "2024-01-01"), ("f", "2024-01-01"), (None, "x")], "file string, day string")).collect()
     assert {(x.grouping, x.n) for x in t} == {("file_channel", 3), ("channel", 3), ("day", 3)} and {x.day for x in t if x.grouping == "day"} == {"2024-01-01"}
 

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.operators.blocks import stored_once
-from tracegrid.runtime import columns_named, materialise
+from tracegrid.operators.blocks import index_block
+from tracegrid.runtime import columns_named, materialise, spread
 
 #: A digest has at most about this many centroids, whatever the number of values.
 COMPRESSION = 200
@@ -193,26 +193,43 @@ def read_percentiles(digests: DataFrame, keys: list[str], percentiles: tuple[flo
     return columns_named(digests, *keys, "n", "least", "most", "means", "weights").mapInArrow(read, schema)
 
 
-def sorted_blocks(values: DataFrame, keys: list[str], delta: float = COMPRESSION) -> DataFrame:
+def _first_deliveries(table: pa.Table, last: tuple | None) -> tuple[pa.Table, tuple]:
+    """Rows of ``table``, in the order of block and sample_index, without those that repeat the reading before; and the last reading."""
+    h, i = _column(table, "__h").to_numpy(), _column(table, "__i").to_numpy()
+    at = _column(table, "sample_index")
+    known, at = at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy()
+    again = np.r_[False, (h[1:] == h[:-1]) & (i[1:] == i[:-1]) & (at[1:] == at[:-1])] & known
+    again[0] = bool(known[0]) and (h[0], i[0], at[0]) == last
+    return table.filter(pa.array(~again)), (h[-1], i[-1], at[-1])
+
+
+def sorted_blocks(values: DataFrame, keys: list[str], delta: float = COMPRESSION, delivered: bool = False) -> DataFrame:
     """(keys..., block, n, least, most, means, weights, part): ``values`` in sorted blocks with a digest each, without a shuffle.
 
     A block holds the values of one key in a slice of a partition.  Its first row
     has the digest; the others (``means`` NULL) its values in order, ``PART`` to a
     row, so that a key of any size is many rows.  Meant to be written once: the
     digests and, later, the counting pass read what they need of it.
+
+    ``delivered``: the rows come from ``in_order`` and a reading that stands more
+    than once counts once.
     """
-    v = _hashed(_counted(values, keys), keys)
+    v = values if delivered else _hashed(_counted(values, keys), keys)
     kinds = dict(v.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "block bigint", DIGEST, "part array<double>"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
+        made, last = 0, None
         first_id = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal made
+            nonlocal made, last
+            if delivered:
+                table, last = _first_deliveries(table, last)
+            if not table.num_rows:
+                return
             h, i, x = (_column(table, c).to_numpy(zero_copy_only=False) for c in ("__h", "__i", "value"))
             by = np.lexsort((x, i, h))
             h, i, x = h[by], i[by], x[by]
@@ -307,14 +324,17 @@ def certified_percentiles(values: DataFrame, keys: list[str], percentiles: tuple
     return certify(read, count_below(blocks, read.select(*keys, F.col("estimates").alias("cuts")), keys, len(percentiles)), keys, percentiles)
 
 
-def distinct_readings(samples: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., value): each stored reading with a finite value once, though delivered several times.
+def in_order(samples: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., sample_index, value, __h, __i): readings with a finite value in the order of their blocks of stored samples, ``keep`` equal in a block.
 
-    Compared within blocks of stored samples, so that a hot channel is spread.
+    Deliveries of one reading lie next to each other.  Rows without sample_index
+    are dealt out by their value.
     """
-    x = F.col("value")
-    finite = samples.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return stored_once(columns_named(finite, *dict.fromkeys([*keep, "file", "channel_id", "sample_index", "value"]))).select(*keep, "value")
+    s = _counted(samples, [*dict.fromkeys([*keep, "file", "channel_id", "sample_index"])])
+    place = F.coalesce(index_block(), -1 - F.pmod(F.xxhash64("value"), F.lit(4096)))
+    block = [*dict.fromkeys([*keep, "file", "channel_id"]), place]
+    s = s.withColumns({"__h": F.xxhash64(*block), "__i": F.hash(*block)}).select(*keep, "sample_index", "value", "__h", "__i")
+    return spread(s, samples, "__h", "__i").sortWithinPartitions("__h", "__i", "sample_index")
 
 
 def telemetry_percentiles(samples: DataFrame, days: DataFrame, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -328,7 +348,7 @@ def telemetry_percentiles(samples: DataFrame, days: DataFrame, percentiles: tupl
     delivered twice counts once.
     """
     fine, k = ["file", "channel"], len(percentiles)
-    blocks = materialise(sorted_blocks(distinct_readings(samples, *fine), fine), "sorted-blocks")
+    blocks = materialise(sorted_blocks(in_order(samples, *fine), fine, delivered=True), "sorted-blocks")
     digests = materialise(merge_digests(blocks.where("means is not null"), fine), "digests")
     day = columns_named(days, "file", "day").where("file is not null").groupBy("file").agg(F.min("day").alias("day"))
     groupings = {"file_channel": (fine, digests), "channel": (["channel"], merge_digests(digests, ["channel"])), "day": (["day"], merge_digests(digests.join(day, "file", "left"), ["day"]))}
