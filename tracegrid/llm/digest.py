@@ -179,16 +179,25 @@ def read_percentiles(digests: DataFrame, keys: list[str], percentiles: tuple[flo
     kinds = dict(digests.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n bigint, estimates array<double>, bounds array<double>"])
 
+    ranks = np.array(percentiles)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            es, bs = [], []
-            for lo, hi, m, w in zip(*(b.column(c).to_pylist() for c in ("least", "most", "means", "weights")), strict=True):
-                m, w = np.array(m), np.array(w)
-                total, middle = w.sum(), np.cumsum(w) - w / 2
-                k = np.searchsorted(middle, np.array(percentiles) * total)
-                es.append([quantile(m, w, p, lo, hi) for p in percentiles])
-                bs.append(((w[np.maximum(k - 1, 0)] + w[np.minimum(k, len(w) - 1)]) / total).tolist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("n"), pa.array(es, pa.list_(pa.float64())), pa.array(bs, pa.list_(pa.float64()))], names=[*keys, "n", "estimates", "bounds"])
+            lists = b.column("means")
+            m, w = lists.flatten().to_numpy(zero_copy_only=False), b.column("weights").flatten().to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            least, most = b.column("least").to_numpy(zero_copy_only=False), b.column("most").to_numpy(zero_copy_only=False)
+            es, bs = np.empty((b.num_rows, len(ranks))), np.empty((b.num_rows, len(ranks)))
+            for r in range(b.num_rows):
+                mine = w[at[r] : at[r + 1]]
+                upto = np.cumsum(mine)
+                total, middle = upto[-1], upto - mine / 2
+                wanted = ranks * total
+                k = np.searchsorted(middle, wanted)
+                es[r] = np.interp(wanted, np.concatenate(([0.0], middle, [total])), np.concatenate(([least[r]], m[at[r] : at[r + 1]], [most[r]])))
+                bs[r] = (mine[np.maximum(k - 1, 0)] + mine[np.minimum(k, len(mine) - 1)]) / total
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(ranks))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("n"), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (es, bs))], names=[*keys, "n", "estimates", "bounds"])
 
     return columns_named(digests, *keys, "n", "least", "most", "means", "weights").mapInArrow(read, schema)
 
